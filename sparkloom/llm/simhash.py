@@ -6,10 +6,11 @@ distinct fingerprint emits, without that block's bits, all variants within half
 its one-bit flips, 131 in all. Linked fingerprints meet in at least one variant; the pairs that meet are verified.
 
 A variant shared by two or three fingerprints gives its pairs at once. Where more than three meet (many versions of a
-document) no pairs are formed: those fingerprints emit whole 64-bit variants instead, one-bit flips and, for even
-parity, two-bit flips within a half. All holders of such a variant are within three bits of any holder at one bit or
-less, so each is linked to the smallest of those and nothing is lost; a variant has at most 2,081 possible holders, so
-the lists are bounded whatever the data.
+document) no pairs are formed. Those fingerprints emit whole 64-bit variants, themselves and their one-bit flips: all
+holders of a variant are within two bits of each other, 65 at most, and one star joins them. What is left are links of
+exactly three bits between the components this gives; one end of each is outside the largest component. Fingerprints
+outside it also emit their two-bit flips within a half (two of three differing bits share a half), which meet the other
+end's one-bit flip. So nothing is lost, and lists are bounded whatever the data.
 """
 
 from __future__ import annotations
@@ -96,22 +97,34 @@ def links(fps: DataFrame) -> DataFrame:
     )
     few = met.where("not crowd").select("fp", F.explode(F.array("low", "high")).alias("other"))
     crowd = met.where("crowd").select("fp").distinct()
-    single = [(0, 0, _bit(b)) for b in range(64)]
-    even = F.bit_count("fp") % 2 == 0
-    ball = F.when(even, F.concat(_flips([(0, 0, 0), *single]), _far())).otherwise(_flips([(0, 0, 0), *single]))
-    near = F.when(F.col("k.block") == 0, F.col("fp"))
-    balls = (
-        crowd.select("fp", F.explode(ball).alias("k"))
-        .select("fp", near.alias("near"), F.col("fp").bitwiseXOR(F.col("k.flip")).alias("variant"))
-        .groupBy("variant")
-        .agg(F.min("near").alias("other"), F.collect_list("fp").alias("all"))
-        .where(F.col("other").isNotNull() & (F.size("all") > 1))
-        .select(F.explode("all").alias("fp"), "other")
-    )
+    balls = _crowd_links(checkpoint(crowd))
     both = few.unionByName(balls).where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
     return both.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
 
 
+def _crowd_links(crowd: DataFrame) -> DataFrame:
+    """Distinct fingerprints -> (fp, other): stars that join all links among them."""
+    near_kinds = _flips([(0, 0, 0)] + [(0, 0, _bit(b)) for b in range(64)])
+
+    def spread(df: DataFrame, kinds: F.Column) -> DataFrame:
+        return df.select("fp", F.explode(kinds).alias("k")).select("fp", F.col("fp").bitwiseXOR(F.col("k.flip")).alias("variant"))
+
+    near = spread(crowd, near_kinds)
+    held = near.groupBy("variant").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)  # 65 holders at most
+    stars = checkpoint(held.select(F.explode("all").alias("fp"), F.array_min("all").alias("other")).where("fp <> other").distinct())
+    roots = components(stars.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")))
+    largest = roots.groupBy("root").count().orderBy(F.col("count").desc(), "root").first()  # one row
+    if largest is None:
+        outside = crowd
+    else:
+        inside = roots.where(F.col("root") == largest.root).select(F.col("node").alias("fp"))
+        outside = crowd.join(inside, "fp", "left_anti").where(F.col("fp") != largest.root)
+    far = spread(outside, _far()).select("variant", F.lit(None).cast("long").alias("near"), F.col("fp").alias("far"))
+    met = near.select("variant", F.col("fp").alias("near"), F.lit(None).cast("long").alias("far")).unionByName(far)
+    met = met.groupBy("variant").agg(F.min("near").alias("other"), F.collect_list("far").alias("all"))  # 992 at most
+    return stars.unionByName(met.where(F.col("other").isNotNull() & (F.size("all") > 0)).select(F.explode("all").alias("fp"), "other"))
+
+
 def _far() -> F.Column:
     """All two-bit flips within a half, 992, made from ranges."""
     def half(low: int, high: int) -> F.Column:
