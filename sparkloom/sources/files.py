@@ -73,7 +73,7 @@ def read_trainer_log(spark: SparkSession, path: str, order: Column | None = None
     step = F.nullif(F.regexp_extract("value", r"step[=: ]+(\d+)", 1), F.lit("")).cast("long")
     lines = lines.withColumn("step", F.last(step, ignorenulls=True).over(W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
     pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(r"([\w./-]+)=(-?[\d.]+(?:e-?\d+)?)"), 1).alias("k"), F.regexp_extract_all("value", F.lit(r"([\w./-]+)=(-?[\d.]+(?:e-?\d+)?)"), 2).alias("v"))
-    return lines.select("step", F.explode(pairs).alias("p")).select("step", F.col("p.0").alias("name"), F.col("p.1").cast("double").alias("value")).where("name <> 'step'")
+    return lines.select("step", F.explode(pairs).alias("p")).select("step", F.col("p.k").alias("name"), F.col("p.v").cast("double").alias("value")).where("name <> 'step'")
 
 
 def write_docs(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
