@@ -5,12 +5,13 @@ either differ inside some block, and then at most two bits remain outside it, or
 distinct fingerprint emits, without that block's bits, all variants within half of that remaining radius: itself and
 its one-bit flips, 131 in all. Linked fingerprints meet in at least one variant; the pairs that meet are verified.
 
-A variant shared by two or three fingerprints gives its pairs at once. Where more than three meet (many versions of a
-document) no pairs are formed. Those fingerprints emit whole 64-bit variants, themselves and their one-bit flips: all
-holders of a variant are within two bits of each other, 65 at most, and one star joins them. What is left are links of
-exactly three bits between the components this gives; one end of each is outside the largest component. Fingerprints
-outside it also emit their two-bit flips within a half (two of three differing bits share a half), which meet the other
-end's one-bit flip. So nothing is lost, and lists are bounded whatever the data.
+A variant shared by two or three fingerprints gives its pairs at once. Where up to LISTED meet, a variant's holders are
+one list; all of it is compared at once in numpy, and only edges that join its parts leave, fewer than it has members.
+Where still more meet, no list is formed. Those fingerprints emit whole 64-bit variants, themselves and their one-bit
+flips: all holders of a variant are within two bits of each other, 65 at most, and one star joins them. What is left
+are links of exactly three bits between the components this gives; one end of each is outside the largest component.
+Fingerprints outside it also emit their two-bit flips within a half (two of three differing bits share a half), which
+meet the other end's one-bit flip. So nothing is lost, and lists are bounded whatever the data.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import checkpoint
 
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 RADIUS = 3
+#: Longest list of a variant's holders that is compared as a whole; beyond it another exact way takes over.
+LISTED = 1024
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 16
 
@@ -89,19 +92,45 @@ def links(fps: DataFrame) -> DataFrame:
     kinds = _flips(_block_variants())
     spread = fps.select("fp", F.explode(kinds).alias("k")).select("fp", F.col("k.block").alias("block"), F.col("fp").bitwiseAND(F.col("k.keep")).bitwiseXOR(F.col("k.flip")).alias("variant"))
     met = W.partitionBy("block", "variant")
+    tier = F.when(F.col("n") <= 3, 0).when(F.col("n") <= LISTED, 1).otherwise(2)
+    only = lambda k, c: F.when(F.col("tier") == k, F.col(c)).alias(c)
     met = checkpoint(
         spread.withColumns({"n": F.count("*").over(met), "low": F.min("fp").over(met), "high": F.max("fp").over(met)})
         .where("n > 1")
-        .groupBy("fp", "low", "high", (F.col("n") > 3).alias("crowd"))
+        .withColumn("tier", tier)
+        .groupBy("fp", "tier", only(0, "low"), only(0, "high"), only(1, "block"), only(1, "variant"))
         .agg(F.lit(1).alias("_"))
     )
-    few = met.where("not crowd").select("fp", F.explode(F.array("low", "high")).alias("other"))
-    crowd = met.where("crowd").select("fp").distinct()
-    balls = _crowd_links(checkpoint(crowd))
+    few = met.where("tier = 0").select("fp", F.explode(F.array("low", "high")).alias("other"))
+    lists = met.where("tier = 1").groupBy("block", "variant").agg(F.collect_list("fp").alias("all"))
+    few = few.unionByName(lists.select("all").mapInArrow(_joined_lists, "fp long, other long"))
+    crowd = met.where("tier = 2").select("fp").distinct()
+    balls = few.limit(0) if crowd.isEmpty() else _crowd_links(checkpoint(crowd))
     both = few.unionByName(balls).where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
     return both.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
 
 
+def _joined_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of fingerprints -> edges (fp, other) that join what links join within each list."""
+    for batch in batches:
+        edges: list[tuple[int, int]] = []
+        for row in batch.column(0):
+            x = np.unique(row.values.to_numpy())
+            near = np.bitwise_count((x[:, None] ^ x).view(np.uint64)) <= RADIUS
+            left = np.ones(len(x), bool)
+            while left.any():  # a search from each unreached member
+                front = [int(np.flatnonzero(left)[0])]
+                left[front[0]] = False
+                while front:
+                    i = front.pop()
+                    new = np.flatnonzero(near[i] & left)
+                    left[new] = False
+                    edges += [(int(x[j]), int(x[i])) for j in new]
+                    front += new.tolist()
+        edges = list(dict.fromkeys(edges))
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["fp", "other"])
+
+
 def _crowd_links(crowd: DataFrame) -> DataFrame:
     """Distinct fingerprints -> (fp, other): stars that join all links among them."""
     near_kinds = _flips([(0, 0, 0)] + [(0, 0, _bit(b)) for b in range(64)])

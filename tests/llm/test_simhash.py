@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from sparkloom.llm import simhash
@@ -40,8 +41,10 @@ def test_fingerprint_is_the_contract():
         assert simhash.simhash(t) & (2**64 - 1) == plain(t)
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize("listed", [1024, 5])
+def test_links_lose_nothing(spark, monkeypatch, listed):
     """Random fingerprints, chains, and dense groups of hundreds within a few bits."""
+    monkeypatch.setattr(simhash, "LISTED", listed)
     rng = random.Random(3)
     fps = {0, 1, -1, 7, 2**63 - 1, -(2**63)}
     for _ in range(40):
