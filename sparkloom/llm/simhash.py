@@ -36,26 +36,35 @@ LISTED = 1024
 COUNTED = 1 << 16
 
 
-def simhash(text: str | None, width: int = 3) -> int:
-    """The fingerprint of a whole text, as a signed 64-bit number; 0 without words."""
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """XXH64 of each shingle of a whole text, repeats included; none without words."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only; splits at space and 9 to 13
-    if not words:
-        return 0
     joined = b" ".join(words)
-    if len(words) <= width:
+    if not words:
+        hashes = []
+    elif len(words) <= width:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = [0, *ends[:-width].tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+    return np.array(hashes, "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number."""
     counts = np.zeros(64, np.int64)
-    h = np.array(hashes, "<u8")
     for k in range(0, len(h), COUNTED):
         counts += np.unpackbits(h[k : k + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def simhash(text: str | None, width: int = 3) -> int:
+    """The fingerprint of a whole text, as a signed 64-bit number; 0 without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, out: str = "fp") -> DataFrame:
     """docs without the text, with the fingerprint of each whole text in column out (long)."""
     kept = [f for f in docs.schema.fields if f.name not in (text, out)]
@@ -196,10 +205,12 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def group_of(fps: DataFrame) -> DataFrame:
-    """Fingerprints (column fp, repeats allowed) -> (fp, root): the smallest fingerprint that links reach."""
+def group_of(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Fingerprints (column fp, repeats allowed) -> (fp, root): the smallest fingerprint that links reach; more holds
+    further links (a, b)."""
     each = checkpoint(fps.select("fp").distinct())
-    members = components(links(each)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    edges = links(each) if more is None else links(each).unionByName(more)
+    members = components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     return each.join(members, F.col("fp") == F.col("_node"), "left").select("fp", F.coalesce("_root", "fp").alias("root"))
 
 
