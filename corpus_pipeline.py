@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import mixing, pii, quality, simhash, spm
+from sparkloom.llm import mixing, pii, quality, shingled, simhash, spm
 from sparkloom.llm.common import checkpoint, free_name, scratch, table
 from sparkloom.llm.queries import MODEL, TOKENIZERS
 
@@ -23,12 +23,14 @@ SHINGLE = 5
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the smallest id; of rows that share it, one of those with the smallest hash
-    of id and text. Rows without an id whose group has none keep the smallest hash."""
+    of id and text. Rows without an id whose group has none keep the smallest hash. Texts link at three SimHash bits or
+    fewer, and at a Jaccard similarity of 0.8 or more of their shingles."""
     key, part = free_name(docs, "_key"), free_name(docs, "_component")
     row_key = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = docs.select("doc_id", "text", row_key.alias("_key"))
-    fps = checkpoint(simhash.fingerprints(rows, width=SHINGLE))
-    groups = simhash.group_of(fps.select("fp"))
+    seen = checkpoint(shingled.features(rows, width=SHINGLE))
+    fps = seen.select("doc_id", "_key", "fp")
+    groups = simhash.group_of(fps, shingled.links(seen))
     member = fps.join(groups, "fp")
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"), F.count("*").alias("n"))
     chosen = first.select(F.col("first._key").alias(key), F.lit(True).alias(part))
