@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from sparkloom.plans import analytics, corpus
+from sparkloom.plans import analytics, corpus, upkeep
 
-QUERIES, SQL = corpus.QUERIES | analytics.QUERIES, corpus.SQL | analytics.SQL
+QUERIES, SQL = corpus.QUERIES | analytics.QUERIES | upkeep.QUERIES, corpus.SQL | analytics.SQL | upkeep.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
