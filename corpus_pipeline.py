@@ -28,9 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, part = free_name(docs, "_key"), free_name(docs, "_component")
     row_key = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = docs.select("doc_id", "text", row_key.alias("_key"))
-    seen = checkpoint(shingled.features(rows, width=SHINGLE))
+    seen = checkpoint(shingled.features(rows, width=SHINGLE, whole=False))
     fps = seen.select("doc_id", "_key", "fp")
-    groups = simhash.group_of(fps, shingled.links(seen))
+    groups = simhash.group_of(fps, shingled.links(seen, rows=rows.select("_key", "text"), width=SHINGLE))
     member = fps.join(groups, "fp")
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"), F.count("*").alias("n"))
     chosen = first.select(F.col("first._key").alias(key), F.lit(True).alias(part))
