@@ -15,10 +15,10 @@ def nfkc(s):
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def normalize(text: Column, compatibility: bool = False) -> Column:
-    """Lower case, punctuation to spaces, white space collapsed. compatibility: NFKC first (an Arrow UDF; texts that
-    are NFKC-stable, such as ASCII, don't need it)."""
-    t = nfkc(text) if compatibility else text
+def normalize(text: Column, compatibility: bool = True) -> Column:
+    """NFKC, lower case, punctuation to spaces, white space collapsed. Texts of ASCII alone, which NFKC leaves as they
+    are, are not sent to Python; without compatibility none is, and forms stay as they are."""
+    t = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if compatibility else text
     t = F.regexp_replace(F.lower(t), r"(?U)[^\w\s]", " ")
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 

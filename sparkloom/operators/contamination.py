@@ -16,27 +16,27 @@ from sparkloom.functions.text import SHORTEST, WIDTH, keys_for_field, length_cla
 BROADCAST_ROWS = 1_000_000
 
 
-def item_index(items: DataFrame, item: str = "item_id", text: str = "text", compatibility: bool = False) -> DataFrame:
+def item_index(items: DataFrame, item: str = "item_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """(item, ngram, width, prefix): every key of every item that can be assessed."""
-    w = words(normalize(F.col(text), compatibility))
-    keyed = items.select(F.col(item).alias("item_id"), F.explode(keys_for_field(w)).alias("ngram")).distinct()
+    normal = items.select(F.col(item).alias("item_id"), words(normalize(F.col(text), compatibility)).alias("_w"))
+    keyed = normal.select("item_id", F.explode(keys_for_field(F.col("_w"))).alias("ngram")).distinct()
     parts = F.split("ngram", " ")
     return keyed.select("item_id", "ngram", F.size(parts).alias("width"), F.xxhash64(F.slice(parts, 1, SHORTEST)).alias("prefix"))
 
 
-def index_summary(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+def index_summary(items: DataFrame, item: str = "item_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """One row: items, not assessable, keys, distinct keys and 8-word prefixes, prefixes with several widths."""
-    w = words(normalize(F.col(text)))
+    w = words(normalize(F.col(text), compatibility))
     classed = items.select(length_class(w).alias("c"))
     counts = classed.agg(F.count("*").alias("items"), F.count_if(F.col("c") == "not_assessable").alias("not_assessable"), F.count_if(F.col("c") == "short").alias("short"))
-    idx = item_index(items, item, text)
+    idx = item_index(items, item, text, compatibility)
     keys = idx.agg(F.count("*").alias("item_keys"), F.countDistinct("ngram").alias("exact_keys"))
     by_prefix = idx.groupBy("prefix").agg(F.countDistinct("width").alias("n"))
     prefixes = by_prefix.agg(F.count("*").alias("prefixes"), F.count_if(F.col("n") > 1).alias("multi_width_prefixes"))
     return counts.crossJoin(keys).crossJoin(prefixes)  # three single rows
 
 
-def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", compatibility: bool = False) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """(doc, pos, width, item_id) of every exact key found; pos counts words from 1."""
     idx = item_index(items, compatibility=compatibility)
     if idx.count() <= BROADCAST_ROWS:
@@ -58,10 +58,10 @@ def collapse(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
     return hits.groupBy(doc).agg(F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("matched_words"), F.countDistinct("item_id").alias("n_items"))
 
 
-def rates_by_source(docs: DataFrame, items: DataFrame, source: str = "source", doc: str = "doc_id", text: str = "text") -> DataFrame:
+def rates_by_source(docs: DataFrame, items: DataFrame, source: str = "source", doc: str = "doc_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """Documents and words scanned and matched by source, with rates rounded to ten digits."""
-    found = collapse(scan(docs, items, doc, text), doc).withColumnRenamed(doc, "_d")
-    sized = docs.select(source, F.col(doc).alias("_doc"), F.size(words(normalize(F.col(text)))).cast("long").alias("n"))
+    found = collapse(scan(docs, items, doc, text, compatibility), doc).withColumnRenamed(doc, "_d")
+    sized = docs.select(source, F.col(doc).alias("_doc"), F.size(words(normalize(F.col(text), compatibility))).cast("long").alias("n"))
     both = sized.join(found, F.col("_doc") == F.col("_d"), "left")
     out = both.groupBy(source).agg(
         F.count("*").alias("docs_scanned"), F.sum("n").alias("words_scanned"), F.count("_d").alias("matched_documents"), F.coalesce(F.sum("matched_words"), F.lit(0)).alias("matched_span_words")
