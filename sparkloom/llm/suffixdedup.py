@@ -52,14 +52,30 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.arange(len(g) - WINDOW + 1)
     parts = [np.lib.stride_tricks.sliding_window_view(g, WINDOW)[k : k + 65536].argmin(1) + starts[k : k + 65536] for k in range(0, len(starts), 65536)]
     at = np.unique(np.concatenate(parts))
-    # in a loop of up to PERIODS words every gram comes back at once: one position in WINDOW stays
+    # in a loop of up to PERIODS words every gram comes back at once: only so many stay that each WINDOW has one
     again = np.zeros(len(at), bool)
     for p in range(1, PERIODS + 1):
         again |= (at >= p) & (g[np.maximum(at - p, 0)] == g[at])
-    at = at[~again | (at % WINDOW == 0)]
+    at = at[_thinned(at, g[at], again)]
     return at, g[at]
 
 
+def _thinned(at: np.ndarray, grams: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Which positions stay: all outside loops; of a loop the first, the last and those between, no more than WINDOW
+    words apart, counted from its first."""
+    keep = ~again
+    looped = np.flatnonzero(again)
+    starts = np.r_[True, (np.diff(looped) > 1) | (grams[looped[1:]] != grams[looped[:-1]])] if len(looped) else []
+    for run in np.split(looped, np.flatnonzero(starts)[1:]):
+        i, places = 0, at[run]
+        while i < len(run):
+            keep[run[i]] = True
+            if i == len(run) - 1:
+                break
+            i = max(i + 1, int(np.searchsorted(places, places[i] + WINDOW, "right")) - 1)
+    return keep
+
+
 def contexts(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the words from each position on, and of those before it backwards; 0 beyond the text."""
     short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
