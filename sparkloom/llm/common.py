@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.staging import checkpoint, free_name, scratch, shared_dir
+
+__all__ = ["CHUNK_CHARS", "SPACES", "WORD", "checkpoint", "chunked", "free_name", "n_matches", "n_words", "scratch", "shared_dir", "table"]
+
 #: Java regular expression of a word: anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]"
 #: Code points that a Python operator handles at a time; bounds a worker's memory.
 CHUNK_CHARS = 1 << 21
 
@@ -19,50 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only a local session without the setting gets a folder of its own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if found is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    # a checkpointed plan keeps its constraints, and self-joins of such plans can fail in the optimiser
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores before it until no column of df has it (names are compared without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def n_matches(text: Column, token: str, skip: str = SPACES) -> Column:
+    """How often token matches in a text column, as a long; null counts as empty. skip: a class of every character that
+    is in no match. Each match leaves one character of the text, so none is kept as a string of its own."""
+    left = F.length(F.regexp_replace(text, f"{skip}*+(?:{token}){skip}*+", "x"))
+    return F.coalesce(F.when(text.rlike(token), left), F.lit(0)).cast("long")
 
 
-def n_words(text) -> F.Column:
+def n_words(text: Column) -> Column:
     """Words of a text column as a long; null counts as empty."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return n_matches(text, r"[^\x20\x09-\x0D]++")
 
 
 def chunked(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
