@@ -1,13 +1,19 @@
 """Passages that documents share, with a sparse suffix array over words.
 
-Suffixes are kept only at minimisers: of every WINDOW consecutive GRAM-word grams the one with the smallest hash, so
-the choice depends on content alone and every run of MIN_WORDS words holds one. A suffix whose gram occurs nowhere
-else cannot begin a match and is dropped by a pre-aggregated count. The rest are sorted by the words from their
-position on (then by those before it), dealt by ranges of that content, so that a passage in very many documents
-spreads over tasks. Each suffix is compared with its nearest neighbours from other documents on both sides; their
-common words to the right and to the left of the position make the match. Matches of MIN_WORDS words and more are
+Suffixes are kept only at minimisers: of every WINDOW consecutive GRAM-word grams the one with the smallest hash (the
+first of equals), so the choice depends on content alone and every run of MIN_WORDS words has exactly one. A suffix
+whose gram occurs in no other document cannot begin a match and is dropped by a pre-aggregated count. The rest are
+sorted by their words; neighbours that differ bound the groups of suffixes with so many words in common to the right.
+Each suffix is then extended to the left and right: a run that has it as its minimiser, l words to the left and
+MIN_WORDS - l from it on, is shared if a suffix of another document in its group has the same l words before it. That
+is asked for every l, so the longest match isn't hidden by a neighbour that is closer on one side only. Shared runs are
 merged by document.
 
+Suffixes with one gram are compared as one list of up to LISTED rows. Where a gram has more, its suffixes' runs are
+dealt by the hash of their words instead, pre-aggregated, so that a passage in very many documents spreads over tasks;
+the answer is the same. Text that repeats up to PERIODS words has only so many different runs, and each is asked for
+once.
+
 Defined results: a null text has no words; words are runs of anything but space and ASCII 9 to 13, compared exactly; a
 passage counts if another row has it (another id or another text), so repeats inside one document alone don't; rows
 equal in id and text are one document, listed once; rows without an id are listed with a null id; an empty table gives
@@ -28,11 +34,15 @@ from .common import checkpoint
 
 MIN_WORDS, GRAM = 50, 16
 WINDOW = MIN_WORDS - GRAM + 1
-#: Words of context to the left and right of a position; neighbouring positions' contexts overlap.
-LEFT, RIGHT = WINDOW + 8, MIN_WORDS
 PERIODS = 4
+#: Suffixes with one gram that are compared as one list.
+LISTED = 1024
+#: Suffixes of a document that are written at a time.
+AT_ONCE = 4096
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PLACE = "key long, gram long, at int, low int, high int, reach int"
+_NAMES = ("gram", "at", "low", "high", "reach")
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -40,214 +50,243 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minimisers and the hashes of their grams."""
-    if len(words) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * _A + b) * _B
+    return h ^ (h >> np.uint64(29))
+
+
+def grams(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of GRAM words."""
     g, step = words, 1
     while step < GRAM:
-        g = (g[:-step] * _A + g[step:]) * _B
-        g ^= g >> np.uint64(29)
-        step *= 2
-    starts = np.arange(len(g) - WINDOW + 1)
-    parts = [np.lib.stride_tricks.sliding_window_view(g, WINDOW)[k : k + 65536].argmin(1) + starts[k : k + 65536] for k in range(0, len(starts), 65536)]
-    at = np.unique(np.concatenate(parts))
-    # in a loop of up to PERIODS words every gram comes back at once: only so many stay that each WINDOW has one
-    again = np.zeros(len(at), bool)
-    for p in range(1, PERIODS + 1):
-        again |= (at >= p) & (g[np.maximum(at - p, 0)] == g[at])
-    at = at[_thinned(at, g[at], again)]
-    return at, g[at]
-
-
-def _thinned(at: np.ndarray, grams: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """Which positions stay: all outside loops; of a loop the first, the last and those between, no more than WINDOW
-    words apart, counted from its first."""
-    keep = ~again
-    looped = np.flatnonzero(again)
-    starts = np.r_[True, (np.diff(looped) > 1) | (grams[looped[1:]] != grams[looped[:-1]])] if len(looped) else []
-    for run in np.split(looped, np.flatnonzero(starts)[1:]):
-        i, places = 0, at[run]
-        while i < len(run):
-            keep[run[i]] = True
-            if i == len(run) - 1:
-                break
-            i = max(i + 1, int(np.searchsorted(places, places[i] + WINDOW, "right")) - 1)
-    return keep
-
-
-def contexts(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the words from each position on, and of those before it backwards; 0 beyond the text."""
+        g, step = _mix(g[:-step], g[step:]), step * 2
+    return g
+
+
+def first_of_equals(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of MIN_WORDS words, by its start: whether it is the first of those that a loop of up to PERIODS
+    words repeats, and the start of the last of them."""
+    n = len(words) - MIN_WORDS + 1
+    to = np.arange(n)
+    for p in range(PERIODS, 0, -1):  # the shortest period is set last
+        same = np.r_[np.zeros(p, np.int64), np.cumsum(words[p:] == words[:-p])]
+        again = np.flatnonzero(same[MIN_WORDS - 1 :] - np.r_[0, same[: n - 1]] == MIN_WORDS)
+        to[again[again >= p]] = again[again >= p] - p
+    last = np.arange(n)
+    if (to == last).all():
+        return np.ones(n, bool), last
+    while (to[to] != to).any():
+        to = to[to]
+    np.maximum.at(last, to, np.arange(n))
+    return to == np.arange(n), last
+
+
+def places(words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Kept suffixes: their gram's hash, their position, the least and most words to the left with which a run has them
+    as its minimiser, and how far a loop repeats that run."""
+    n = len(words) - MIN_WORDS + 1
+    if n < 1:
+        return tuple(np.zeros(0, np.uint64 if i == 0 else np.int64) for i in range(5))
+    g = grams(words)
+    view = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
+    starts = np.arange(n)
+    at = np.concatenate([view[k : k + 65536].argmin(1) + starts[k : k + 65536] for k in range(0, n, 65536)])
+    leads, last = first_of_equals(words)
+    s = starts[leads]
+    m, reach = at[s], last[s] - s
+    new = np.r_[True, (m[1:] != m[:-1]) | (s[1:] != s[:-1] + 1) | (reach[1:] > 0) | (reach[:-1] > 0)]
+    first = np.flatnonzero(new)
+    final = np.r_[first[1:], len(s)] - 1
+    return g[m[first]], m[first], m[first] - s[final], m[first] - s[first], reach[first]
+
+
+def contexts(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """32-bit hashes of the words from each position on, MIN_WORDS - low, and of high words before it backwards."""
     short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
-    padded = np.r_[np.zeros(LEFT, np.uint32), short, np.zeros(RIGHT, np.uint32)]
-    right = padded[LEFT + at[:, None] + np.arange(RIGHT)]
-    left = padded[LEFT + at[:, None] - 1 - np.arange(LEFT)]
-    return right, left
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Rows of 32-bit numbers as big-endian bytes, whose order is the numbers' order."""
-    width = rows.shape[1] * 4
-    data = pa.py_buffer(rows.astype(">u4").tobytes())
-    offsets = pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, data])
-
-
-def _numbers(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, width)
-
-
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common start of each pair of rows; 0 never matches."""
-    differs = (a != b) | (a == 0)
-    return np.where(differs.any(1), differs.argmax(1), a.shape[1])
-
-
-def _edges(batch: pa.RecordBatch) -> list[tuple]:
-    return list(zip(*(batch.column(n).to_pylist() for n in ("key", "right", "left"))))
-
-
-def match_sorted(keys: np.ndarray, right: np.ndarray, left: np.ndarray, before, after) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted suffixes the longest match with a neighbour from another document: words to the left and right.
-
-    before, after: up to two (key, right, left) rows from other documents than each other, nearest first, that stand
-    before the first and after the last suffix."""
-    n = len(keys)
-    pad = lambda rows, i, like: np.array([r[i] for r in rows], like.dtype).reshape(len(rows), like.shape[1])
-    before = before[::-1]
-    all_keys = np.concatenate([np.array([r[0] for r in before], np.int64), keys, np.array([r[0] for r in after], np.int64)])
-    r = np.concatenate([pad(before, 1, right), right, pad(after, 1, right)])
-    w = np.concatenate([pad(before, 2, left), left, pad(after, 2, left)])
-    change = np.r_[True, all_keys[1:] != all_keys[:-1]]
-    block = np.cumsum(change) - 1
-    first = np.flatnonzero(change)
-    last = np.r_[first[1:], len(all_keys)] - 1
-    own = np.arange(len(before), len(before) + n)
-    best_l, best_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for other in (first[block[own]] - 1, last[block[own]] + 1):
-        ok = np.flatnonzero((other >= 0) & (other < len(all_keys)))
-        a, b = common(w[own[ok]], w[other[ok]]), common(r[own[ok]], r[other[ok]])
-        longer = a + b > best_l[ok] + best_r[ok]
-        best_l[ok], best_r[ok] = np.where(longer, a, best_l[ok]), np.where(longer, b, best_r[ok])
-    return best_l, best_r
+    return _runs(short, at, MIN_WORDS - low, 1), _runs(short, at - 1, high, -1)
+
+
+def _runs(short: np.ndarray, start: np.ndarray, n: np.ndarray, step: int) -> pa.Array:
+    """n numbers from each start on, as big-endian bytes, whose order is the numbers' order."""
+    ends = np.cumsum(n)
+    inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+    data = short[np.repeat(start, n) + step * inside].astype(">u4").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.r_[0, ends] * 4).astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of numbers, filled up with 0."""
+    rows = [np.frombuffer(x, ">u4") for x in column.to_pylist()]
+    n = np.array([len(r) for r in rows], np.int64)
+    out = np.zeros((len(rows), width), np.uint32)
+    if n.sum():
+        out[np.repeat(np.arange(len(rows)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = np.concatenate(rows)
+    return out
+
+
+def shared_runs(gram: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For suffixes sorted by gram and right words: whether the run with l words to the left is another document's too,
+    as a row of flags by l."""
+    n = len(gram)
+    found = np.zeros((n, WINDOW), bool)
+    differs = right[1:] != right[:-1]
+    in_common = np.where(differs.any(1), differs.argmax(1), MIN_WORDS)  # words shared with the neighbour before
+    in_common[gram[1:] != gram[:-1]] = -1
+    before = np.zeros(n, np.uint64)
+    for l in range(WINDOW):  # noqa: E741
+        if l:
+            before = _mix(before, left[:, l - 1].astype(np.uint64))
+        rows = np.flatnonzero((low <= l) & (l <= high))
+        if not len(rows):
+            continue
+        group = np.cumsum(np.r_[0, in_common < MIN_WORDS - l])[rows]
+        run = _mix(before[rows], group.astype(np.uint64))
+        order = np.argsort(run, kind="stable")
+        first = np.flatnonzero(np.r_[True, run[order][1:] != run[order][:-1]])
+        keys = key[rows][order]
+        several = np.minimum.reduceat(keys, first) < np.maximum.reduceat(keys, first)
+        found[rows[order], l] = np.repeat(several, np.diff(np.r_[first, len(order)]))
+    return found
+
+
+def _spans(found: np.ndarray, at: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flags by words to the left -> (row, start, end) of the stretches of neighbouring runs."""
+    edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, lo = np.nonzero(edge == 1)
+    hi = np.nonzero(edge == -1)[1] - 1
+    return row, at[row] - hi, at[row] - lo + MIN_WORDS + reach[row]
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words of every maximal run that other documents share in parts of
     MIN_WORDS words or more."""
-    spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     slim = slim.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(word_hashes(t.as_py())) for t in batch.column("text")]
-            n = np.array([len(a) for a, _ in found], np.int64)
-            at = np.concatenate([a for a, _ in found] or [np.zeros(0, np.int64)])
-            gram = np.concatenate([g for _, g in found] or [np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("key").to_numpy(), n)), pa.array(gram.view(np.int64)), pa.array(at.astype(np.int32))], ["key", "gram", "at"])
-
-    sparse = slim.select("key", "text").mapInArrow(suffixes, "key long, gram long, at int")
-    often = sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("_g"))
-    kept = sparse.join(often, F.col("gram") == F.col("_g"), "left_semi").groupBy(F.col("key").alias("_k")).agg(F.collect_set("at").alias("at"))
+            found = [places(word_hashes(t.as_py())) for t in batch.column("text")]
+            n = np.array([len(f[0]) for f in found], np.int64)
+            key = np.repeat(batch.column("key").to_numpy(), n)
+            gram, *rest = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5))
+            yield _batch({"key": key, "gram": gram.view(np.int64)} | {k: v.astype(np.int32) for k, v in zip(_NAMES[1:], rest)})
+
+    sparse = checkpoint(slim.select("key", "text").mapInArrow(suffixes, _PLACE))
+    counts = sparse.groupBy(F.col("gram").alias("_g")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+    often = checkpoint(counts.where("a < b").select("_g", (F.col("n") > LISTED).alias("hot")))
+    kept = sparse.join(often, F.col("gram") == F.col("_g")).select("key", "hot", F.struct(*_NAMES).alias("place"))
+    spans = _listed(_with_places(slim, kept.where("not hot")))
+    if not often.where("hot").isEmpty():
+        spans = spans.unionByName(_dealt(_with_places(slim, kept.where("hot"))))
+    return _merged(spans)
+
+
+def _with_places(slim: DataFrame, kept: DataFrame) -> DataFrame:
+    """Documents with the suffixes kept of them, as one array a document."""
+    each = kept.groupBy(F.col("key").alias("_k")).agg(F.collect_set("place").alias("places"))
+    return slim.join(each, F.col("key") == F.col("_k")).select("doc_id", "key", "text", "places")
+
+
+def _each_document(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Of each document, AT_ONCE suffixes at a time: its id and key, one of each for every suffix, its word hashes, and
+    the suffixes' numbers."""
+    for d, k, t, p in zip(*(batch.column(n) for n in ("doc_id", "key", "text", "places"))):
+        words = word_hashes(t.as_py())
+        every = [p.values.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in _NAMES]
+        for i in range(0, len(every[0]), AT_ONCE):
+            numbers = [x[i : i + AT_ONCE] for x in every]
+            n = len(numbers[0])
+            yield {"doc_id": pa.array([d.as_py()] * n, pa.int64()), "key": np.full(n, k.as_py())}, words, numbers
+
+
+def _listed(placed: DataFrame) -> DataFrame:
+    """Spans of suffixes that are compared with all others of their gram in one list."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, k, t, at in zip(*(batch.column(n) for n in ("doc_id", "key", "text", "at"))):
-                at = np.sort(at.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                right, left = contexts(word_hashes(t.as_py()), at)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d.as_py()] * n, pa.int64()), pa.array([k.as_py()] * n, pa.int64()), pa.array(at.astype(np.int32)), _binary(right), _binary(left)],
-                    ["doc_id", "key", "at", "right", "left"],
-                )
-
-    listed = slim.join(kept, F.col("key") == F.col("_k")).select("doc_id", "key", "text", "at").mapInArrow(spread, "doc_id long, key long, at int, right binary, left binary")
-    order = ["right", "left", "key", "at"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = checkpoint(listed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first and last rows of a partition, and the nearest to them from another document."""
-        head, tail, part = [], [], None
+            for who, words, (gram, at, low, high, reach) in _each_document(batch):
+                right, left = contexts(words, at, low, high)
+                yield _batch(who | {"gram": gram} | {k: v.astype(np.int32) for k, v in zip(_NAMES[1:], (at, low, high, reach))} | {"right": right, "left": left})
+
+    rows = placed.mapInArrow(spread, f"doc_id long, {_PLACE}, right binary, left binary")
+    rows = rows.repartition("gram").sortWithinPartitions("gram", "right")
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gram, key, at, low, high, reach = (batch.column(n).to_numpy().astype(np.int64) for n in ("gram", "key", *_NAMES[1:]))
+        found = shared_runs(gram, key, low, high, _matrix(batch.column("right"), MIN_WORDS), _matrix(batch.column("left"), WINDOW))
+        row, start, end = _spans(found, at, reach)
+        return _batch({"doc_id": batch.column("doc_id").take(pa.array(row)), "key": key[row], "start": start, "end": end})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the gram that the last batch ended in, LISTED at most
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column("part")[0].as_py()
-            keys = batch.column("key").to_numpy()
-            for want, rows, picks in ((head, head, range(batch.num_rows)), (tail, None, range(batch.num_rows - 1, -1, -1))):
-                if rows is head and len(head) < 2:
-                    firsts = [0, *(np.flatnonzero(keys != keys[0])[:1].tolist())]
-                    for i in firsts:
-                        if len(head) < 2 and all(h[0] != keys[i] for h in head):
-                            head.append(_edges(batch.slice(i, 1))[0])
-                elif rows is None:
-                    lasts = [batch.num_rows - 1, *(np.flatnonzero(keys != keys[-1])[-1:].tolist())]
-                    new = [_edges(batch.slice(i, 1))[0] for i in lasts]
-                    tail = (new + [x for x in tail if x[0] != new[0][0]])[:2]
-        if part is not None:
-            both = [(0, i, *x) for i, x in enumerate(head)] + [(1, i, *x) for i, x in enumerate(tail)]
-            cols = list(zip(*both))
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(both), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["part", "side", "i", "key", "right", "left"])
-
-    # four rows a partition at most
-    found: dict[tuple[int, int], list] = {}
-    for row in sorted(ordered.mapInArrow(ends, "part int, side int, i int, key long, right binary, left binary").collect(), key=lambda r: (r.part, r.side, r.i)):
-        found.setdefault((row.part, row.side), []).append((row.key, np.frombuffer(bytes(row.right), ">u4"), np.frombuffer(bytes(row.left), ">u4")))
-    used = sorted({p for p, _ in found})
-
-    def beyond(part: int, side: int) -> list:
-        """Up to two rows from different documents outside a partition, nearest first."""
-        i, out = used.index(part), []
-        for p in reversed(used[:i]) if side else used[i + 1 :]:
-            out += [x for x in found[p, side] if all(x[0] != y[0] for y in out)]
-            if len(out) >= 2:
-                break
-        return out[:2]
-
-    outside = {p: (beyond(p, 1), beyond(p, 0)) for p in used}
-    shared = spark.sparkContext.broadcast(outside)
+            gram = batch.column("gram").to_numpy()
+            whole = int(np.searchsorted(gram, gram[-1]))  # where the last gram begins
+            if held and (whole or held[0].column("gram")[0].as_py() != gram[-1]):
+                yield compared(pa.concat_batches([*held, batch.slice(0, whole)]))
+                held = []
+            elif whole:
+                yield compared(batch.slice(0, whole))
+            held.append(batch.slice(whole))
+        if held:
+            yield compared(pa.concat_batches(held))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "start", "end"]
-        held, before = None, None
-
-        def matched(batch: pa.RecordBatch, before: list, after: list) -> pa.RecordBatch:
-            at = batch.column("at").to_numpy().astype(np.int64)
-            l, r = match_sorted(batch.column("key").to_numpy(), _numbers(batch.column("right"), RIGHT), _numbers(batch.column("left"), LEFT), before, after)
-            hit = np.flatnonzero(l + r >= MIN_WORDS)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(hit)), batch.column("key").take(pa.array(hit)), pa.array(at[hit] - l[hit]), pa.array(at[hit] + r[hit])], names)
-
-        def near(batch: pa.RecordBatch, at_end: bool, more: list) -> list:
-            """Up to two rows from different documents at a batch's end (or start), nearest first, then those in more."""
-            keys = batch.column("key").to_numpy()
-            picks = [len(keys) - 1, *np.flatnonzero(keys != keys[-1])[-1:].tolist()] if at_end else [0, *np.flatnonzero(keys != keys[0])[:1].tolist()]
-            out = []
-            for i in picks:
-                k, r, w = _edges(batch.slice(i, 1))[0]
-                out.append((k, np.frombuffer(r, ">u4"), np.frombuffer(w, ">u4")))
-            return (out + [x for x in more if all(x[0] != y[0] for y in out)])[:2]
+    return rows.mapInArrow(compare, "doc_id long, key long, start long, end long")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Spans of suffixes whose gram has more rows than a list: every run by the hash of its words."""
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for who, words, (_, at, low, high, reach) in _each_document(batch):
+                g = grams(words)
+                n = high - low + 1
+                start = np.repeat(at - high, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                run = g[start]
+                for more in (*range(GRAM, MIN_WORDS - GRAM, GRAM), MIN_WORDS - GRAM):
+                    run = _mix(run, g[start + more])
+                again = np.repeat(np.arange(len(n)), n)
+                columns = {"doc_id": who["doc_id"].take(pa.array(again)), "key": who["key"][again]}
+                yield _batch(columns | {"run": run.view(np.int64), "start": start, "end": start + MIN_WORDS + reach[again]})
+
+    rows = checkpoint(placed.mapInArrow(runs, "doc_id long, key long, run long, start long, end long"))
+    ends = rows.groupBy(F.col("run").alias("_run")).agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    shared = checkpoint(ends.where("a < b").select("_run"))
+    return rows.join(shared, F.col("run") == F.col("_run"), "left_semi").select("doc_id", "key", "start", "end")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans that meet joined up, read as neighbouring rows; a document's rows are in one task, and none are held."""
+    names = ["doc_id", "start_word", "end_word", "n_words"]
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # doc_id, key, start, end of the span that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held is None:
-                before, last = shared.value[batch.column("part")[0].as_py()]
-            else:
-                yield matched(held, before, near(batch, False, last))
-                before = near(held, True, before)
-            held = batch
+            docs = batch.column("doc_id")
+            key, start, end = (batch.column(n).to_numpy().astype(np.int64) for n in ("key", "start", "end"))
+            if held is not None:
+                docs = pa.concat_arrays([pa.array([held[0]], pa.int64()), docs])
+                key, start, end = np.r_[held[1], key], np.r_[held[2], start], np.r_[held[3], end]
+            doc = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            far = int(end.max()) + 1
+            upto = np.maximum.accumulate(end + doc * far) - doc * far  # furthest end so far in the document
+            new = np.r_[True, (key[1:] != key[:-1]) | (start[1:] > upto[:-1])]
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(key)] - 1
+            held = (docs[int(first[-1])].as_py(), key[-1], start[first[-1]], upto[-1])
+            first, last = first[:-1], last[:-1]
+            yield _batch(dict(zip(names, (docs.take(pa.array(first)), start[first], upto[last], upto[last] - start[first]))))
         if held is not None:
-            yield matched(held, before, last)
-
-    spans = ordered.mapInArrow(compare, "doc_id long, key long, start long, end long")
-    each = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-
-    def join_up(done, x):
-        tail = F.element_at(done, -1)
-        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)).getField("end") >= x.getField("start"))
-        longer = F.struct(tail.getField("start").alias("start"), F.greatest(tail.getField("end"), x.getField("end")).alias("end"))
-        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+            yield _batch(dict(zip(names, (pa.array([held[0]], pa.int64()), [held[2]], [held[3]], [held[3] - held[2]]))))
 
-    merged = F.aggregate("spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"), join_up)
-    return each.select("doc_id", F.explode(merged).alias("s")).select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), (F.col("s.end") - F.col("s.start")).alias("n_words"))
+    rows = spans.repartition("key").sortWithinPartitions("key", "start")
+    return rows.mapInArrow(join_up, "doc_id long, start_word long, end_word long, n_words long")
