@@ -1,15 +1,20 @@
 """Exact top-k by inner product with a pivot table.
 
-Every vector stores its distances to PIVOTS fixed vectors and the origin. For a query the largest difference of two
-such distances bounds a candidate's distance from below, and so its inner product from above. Candidates are evaluated
-in the order of that bound until no remaining bound reaches the k-th score: the rest are eliminated, nothing is missed.
-
-Queries and candidates meet in blocks of bounded size; each pair of blocks keeps k rows a query, and the blocks'
-results are ranked together.
-
-Defined results: null vectors, vectors with null, NaN or infinite components and rows without an id take no part; an id
-that repeats counts once, with its smallest vector; vectors of different lengths have no score with each other; equal
-scores rank by smaller id; scores that don't fit a long raise OverflowError; an empty table gives no rows.
+Every vector stores its distances to PIVOTS fixed vectors and the origin. Candidates that are near the same pivot form
+cells of CELL rows, and a cell stores the least and largest of its distances. For a query the largest gap between its
+own distance to a pivot and a cell's range bounds the distance to the cell's candidates from below, and so their inner
+product from above. Cells are evaluated in the order of that bound until no remaining bound reaches the k-th score: the
+rest are eliminated, nothing is missed.
+
+The k-th score of each query among PILOTS candidates is known before any search and holds for all of them, so whole
+pivot groups of candidates whose bound is below it never meet the query. Queries and the candidates of a group meet in
+blocks of bounded size; each pair of blocks keeps k rows a query, and the blocks' results are ranked together. Every
+query may have to meet every candidate, so the work grows with their product where bounds don't part them.
+
+Defined results: candidates are all rows but the query's own, so rows that share an id, or have none (null), are
+candidates each, and each row whose id is divisible is a query of its own; null vectors and vectors with null, NaN or
+infinite components take no part; vectors of different lengths have no score with each other; equal scores rank by
+smaller id, null last; scores that don't fit a long raise OverflowError; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors with the smallest hashes of their id serve as pivots: a bounded sample; every row is indexed against them.
-PIVOTS = 24
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-#: Candidates evaluated at first; each further step doubles.
-FIRST = 256
+from .common import checkpoint
+
+#: Vectors with the smallest hashes serve as pivots and pilots: bounded samples; every row is indexed against the pivots.
+PIVOTS, PILOTS = 24, 2048
+QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
+#: Candidates that share a bound.
+CELL = 64
+#: Above any rounding of a bound.
+SLACK = 1e-9
+
+_ROW = "key long, id long, none boolean, n long, v array<double>, dist array<double>, grp int"
+_KEPT = ["key", "id", "none", "n"]
 
 
 def usable(vec: Column) -> Column:
@@ -34,101 +46,144 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
-
-
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances of the rows of x to the origin and the pivots of the same length, one row each."""
-    own = [np.sqrt((x * x).sum(1))]
-    if pivots.shape[1:] == x.shape[1:]:
-        own += [np.sqrt(((x - p) ** 2).sum(1)) for p in pivots]
-    return np.array(own)
-
-
-def search_block(q_ids, q, c_ids, c, k: int, pivots: np.ndarray, q_dist=None, c_dist=None) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score) of the k best candidates of each query; vectors of one length, whole numbers."""
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    dq = _distances(q, pivots) if q_dist is None else q_dist
-    dc = _distances(c, pivots) if c_dist is None else c_dist[:, order]
-    exact = not len(q) or not len(c) or float(dq[0].max()) * float(dc[0].max()) < 2.0**52
-    out = []
-    for i in range(len(q)):
-        low = np.zeros(len(c))
-        for a, b in zip(dq[:, i], dc):
-            np.maximum(low, np.abs(b - a), out=low)
-        high = (dq[0, i] ** 2 + dc[0] ** 2 - low * low) / 2
-        high += 1e-9 * (dq[0, i] ** 2 + dc[0] ** 2) + 1e-6  # above any rounding of the bound
-        high[c_ids == q_ids[i]] = -np.inf
-        rank = np.argsort(-high, kind="stable")
-        rank = rank[high[rank] > -np.inf]
-        best_s, best_j, at, step = np.zeros(0, np.float64 if exact else object), np.zeros(0, np.int64), 0, FIRST
-        while at < len(rank) and (len(best_s) < k or high[rank[at]] >= best_s[-1]):
-            j = rank[at : at + step]
-            s = c[j] @ q[i] if exact else np.array([sum(int(x) * int(y) for x, y in zip(c[n], q[i])) for n in j], object)
-            best_s, best_j = np.r_[best_s, s], np.r_[best_j, j]
-            keep = np.array(sorted(range(len(best_s)), key=lambda n: (-best_s[n], best_j[n]))[:k]) if not exact else np.lexsort((best_j, -best_s))[:k]
-            best_s, best_j = best_s[keep], best_j[keep]
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x to the origin and the pivots of the same length, one row of the result each."""
+    if pivots.shape[1] != x.shape[1]:
+        pivots = pivots[:0, :0].reshape(0, x.shape[1])
+    return np.array([np.sqrt((x * x).sum(1))] + [np.sqrt(((x - p) ** 2).sum(1)) for p in pivots])
+
+
+def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Upper bounds of inner products: a row a query and a column a cell. q: distances of queries, one column each;
+    low, high: ranges of the cells' distances, one column each. Row 0 is the distance to the origin."""
+    gap = np.zeros((q.shape[1], low.shape[1]))
+    for d, a, b in zip(q, low, high):
+        np.maximum(gap, np.maximum(a - d[:, None], d[:, None] - b), out=gap)
+    squares = q[0][:, None] ** 2 + high[0] ** 2
+    return (squares - gap * gap) / 2 + SLACK * squares + 1e-6
+
+
+def _exact(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether all inner products, and their partial sums, are whole numbers that a double holds."""
+    norm = lambda x: float(np.sqrt((x * x).sum(1).max())) if len(x) else 0.0
+    return norm(q) * norm(c) < 2.0**52
+
+
+def _scores(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
+    if exact:
+        return c @ q
+    return np.array([sum(int(x) * int(y) for x, y in zip(row, q)) for row in c], object)
+
+
+def search_block(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q and c, and their scores, among which are each query's k best candidates. Both hold v (vectors of one
+    length, whole numbers), dist (a column a row) and key; q a floor, a score that the k-th best is known to reach; c its
+    id, none (whether it has no id) and n, how many equal rows it stands for."""
+    dist = c["dist"]
+    order = np.lexsort((dist[0], dist[1:].argmin(0))) if len(dist) > 1 else np.argsort(dist[0], kind="stable")
+    cells = np.arange(0, len(order), CELL)
+    low, high = (f.reduceat(dist[:, order], cells, axis=1) for f in (np.minimum, np.maximum))
+    top, exact = bounds(q["dist"], low, high), _exact(q["v"], c["v"])
+    rows, found, scores = [], [], []
+    for i in range(len(top)):
+        rank = np.argsort(-top[i], kind="stable")
+        rank = rank[top[i][rank] >= q["floor"][i]]
+        best_s, best_j, at, step = np.zeros(0, np.float64 if exact else object), np.zeros(0, np.int64), 0, 2
+        while at < len(rank) and (len(best_s) < k or top[i][rank[at]] >= best_s[-1]):
+            j = np.concatenate([order[x : x + CELL] for x in cells[rank[at : at + step]]])
+            j = j[(c["key"][j] != q["key"][i]) | (c["n"][j] > 1)]  # not the query's own row, unless others equal it
+            best_s, best_j = np.r_[best_s, _scores(q["v"][i], c["v"][j], exact)], np.r_[best_j, j]
+            best = sorted(range(len(best_s)), key=lambda x: (-best_s[x], c["none"][best_j[x]], c["id"][best_j[x]])) if not exact else np.lexsort((c["id"][best_j], c["none"][best_j], -best_s))
+            best_s, best_j = best_s[np.array(best[:k], np.int64)], best_j[np.array(best[:k], np.int64)]
             at, step = at + step, step * 2
-        for s, j in zip(best_s, best_j):
-            if not -(1 << 63) <= int(s) < 1 << 63:
-                raise OverflowError("a score doesn't fit a long")
-            out.append((int(q_ids[i]), int(c_ids[j]), int(s)))
-    return out
+        rows += [i] * len(best_j)
+        found += best_j.tolist()
+        scores += [int(x) for x in best_s]
+    if scores and not -(1 << 63) <= min(scores) <= max(scores) < 1 << 63:
+        raise OverflowError("a score doesn't fit a long")
+    return np.array(rows, np.int64), np.array(found, np.int64), np.array(scores, np.int64)
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every` the k best other rows by integer
     inner product of floor(scale * x)."""
-    rows = (
-        df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v"))
-        .where(F.col("id").isNotNull() & usable(F.col("v")))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
-    )
-    is_query = F.pmod("id", F.lit(every)) == 0
-    n, nq = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    chosen = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
-    size = max(map(len, chosen), key=[len(v) for v in chosen].count, default=0)
-    pivots = np.floor(scale * np.array([v for v in chosen if len(v) == size], np.float64).reshape(-1, max(size, 1)))
+    own = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vec}`").alias("v")).where(usable(F.col("v"))).withColumn("key", F.xxhash64("id", "v"))
+    sample = [r.v for r in own.orderBy(F.xxhash64("key"), "key").select("v").limit(PILOTS).collect()]
+    size = max(map(len, sample), key=[len(v) for v in sample].count, default=0)
+    pilots = np.floor(scale * np.array([v for v in sample if len(v) == size], np.float64).reshape(-1, max(size, 1)))
+    pivots = pilots[:PIVOTS]
+    # rows equal in id and vector are one row that counts n times
+    rows = own.groupBy("id", "v").agg(F.count("*").alias("n"), F.first("key").alias("key"))
+    rows = rows.select("key", F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("none"), "n", "v")
+
+    def blocks(f: pd.DataFrame):
+        """Rows of each length with their vectors as one matrix."""
+        for size, own in f.groupby(f.v.map(len)):
+            yield own, np.concatenate([*own.v, np.zeros(0)]).astype(np.float64).reshape(len(own), size)
 
     def index(frames):
         for f in frames:
-            out = {"v": [], "dist": []}
-            for v in f.v:
-                x = np.floor(scale * np.asarray(v, np.float64))[None]
-                out["v"].append(x[0])
-                out["dist"].append(_distances(x, pivots)[:, 0])
-            yield f[["id"]].assign(**out)
-
-    table = rows.mapInPandas(index, "id long, v array<double>, dist array<double>")
-    gq, gc = max(1, ceil(nq / QUERY_BLOCK)), max(1, ceil(n / CANDIDATE_BLOCK))
-    mine = lambda g: F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
-    every_one = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    queries = table.where(is_query).withColumn("qb", mine(gq)).withColumn("cb", every_one(gc))
-    candidates = table.withColumn("cb", mine(gc)).withColumn("qb", every_one(gq))
+            for own, x in blocks(f):
+                x = np.floor(scale * x)
+                dist = distances(x, pivots)
+                grp = dist[1:].argmin(0) if len(dist) > 1 else np.full(len(x), -1)
+                yield own[_KEPT].assign(v=list(x), dist=list(dist.T), grp=grp.astype(np.int32))
+
+    table = checkpoint(rows.mapInPandas(index, _ROW))
+    # one row a pivot, PIVOTS + 1 at most
+    ends = table.groupBy("grp").agg(F.count("*").alias("rows"), *[f(F.get("dist", F.lit(i))).alias(f"{n}{i}") for i in range(len(pivots) + 1) for n, f in (("low", F.min), ("high", F.max))]).collect()
+    is_query = ~F.col("none") & (F.pmod("id", F.lit(every)) == 0)
+    nq = table.where(is_query).count()
+    parts = {r.grp: max(1, ceil(r["rows"] / CANDIDATE_BLOCK)) for r in ends}
+    gq = max(1, ceil(nq / QUERY_BLOCK))
+
+    def route(frames):
+        """Queries with the score that their k-th best candidate is known to reach, once for each block to search."""
+        for f in frames:
+            for own, x in blocks(f):
+                dist, floor = np.stack(own.dist.to_numpy()).T, np.full(len(x), -np.inf)
+                if pilots.shape[1] == x.shape[1] and len(pilots) > k + 1 and _exact(x, pilots):
+                    # one row more than k: the query itself may be a pilot
+                    floor = np.partition(x @ pilots.T, -k - 1, axis=1)[:, -k - 1]
+                for r in ends:
+                    if (r.grp < 0) != (len(dist) == 1):
+                        continue
+                    span = lambda n: np.array([[r[f"{n}{i}"]] for i in range(len(dist))])
+                    hit = np.flatnonzero(bounds(dist, span("low"), span("high"))[:, 0] >= floor)
+                    for b in range(parts[r.grp]):
+                        yield own.iloc[hit][[*_KEPT, "v", "dist"]].assign(grp=np.int32(r.grp), floor=floor[hit], sub=np.int32(b))
+
+    deal = lambda g: F.pmod(F.xxhash64("key", F.lit(g)), F.lit(g)).cast("int")
+    queries = table.where(is_query).mapInPandas(route, f"{_ROW}, floor double, sub int").withColumn("qb", deal(gq))
+    each_part = F.element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), F.col("grp")) if parts else F.lit(1)
+    candidates = table.withColumn("sub", F.pmod(F.xxhash64("key"), each_part).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
 
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        whole = lambda own, x: {n: own[n].to_numpy() for n in own if n not in ("v", "dist")} | {"v": x, "dist": np.stack(own.dist.to_numpy()).T}
+        other = {x.shape[1]: whole(own, x) for own, x in blocks(c)}
         found = []
-        q, c = q.assign(n=q.v.map(len)), c.assign(n=c.v.map(len))
-        for size, own in q.groupby("n"):
-            other = c[c.n == size]
-            if len(other):
-                found += search_block(own.id.to_numpy(), _matrix(own.v), other.id.to_numpy(), _matrix(other.v), k, pivots, _matrix(own.dist).T, _matrix(other.dist).T)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(pair, "query_id long, vec_id long, score long")
-    place = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        for a in (whole(own, x) for own, x in blocks(q)):
+            if a["v"].shape[1] in other:
+                b = other[a["v"].shape[1]]
+                i, j, score = search_block(a, b, k)
+                times = np.minimum(k, b["n"][j] - (a["key"][i] == b["key"][j]))
+                found.append(pd.DataFrame({"key": a["key"][i], "query_id": a["id"][i], "n": a["n"][i], "vec_id": b["id"][j], "none": b["none"][j], "score": score, "times": times}))
+        return pd.concat(found) if found else pd.DataFrame({n: [] for n in ("key", "query_id", "n", "vec_id", "none", "score", "times")})
+
+    on = ["grp", "sub", "qb"]
+    found = queries.groupBy(*on).cogroup(candidates.groupBy(*on)).applyInPandas(pair, "key long, query_id long, n long, vec_id long, none boolean, score long, times long")
+    found = found.withColumn("vec_id", F.when(~F.col("none"), F.col("vec_id")))
+    place = W.partitionBy("query_id", "key").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    again = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
+    ranked = found.withColumn("_", again("times")).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return ranked.withColumn("_", again("n")).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
-SELECT * FROM r WHERE rank <= 5
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.r <> q.r AND len(c.v) = len(q.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
