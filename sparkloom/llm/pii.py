@@ -1,9 +1,9 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, scheme marks, digits and identifier cue words.
-At each anchor a local parser expands to the boundaries of an address or number and validates it; text away from
-anchors is never parsed. Kinds: email, ip, card, phone (the base kinds) and, added by cues, cred (user and password in
-a URL), iban (check digits verified), account (a number after an account cue) and secret (a value after a token,
+Cues are met in any case of A-Z. At each anchor a local parser expands to the boundaries of an address or number and
+validates it; text away from anchors is never parsed. Kinds: email, ip, card, phone (the base kinds) and, added by cues, cred (user and password in
+a URL), iban (check digits verified), account (a number after an account cue, a word of its own; SSNs in their ranges) and secret (a value after a token,
 key or password cue).
 
 Defined results: a null text counts as empty; spans are in code points, end exclusive; spans of one kind never
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import free_name
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "cred", "iban", "account", "secret")
 Span = tuple[str, int, int]
@@ -33,7 +35,8 @@ CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 CREDENTIALS = re.compile(r"://([^\s/?#@:]+:[^\s/?#@]+)@")
 IBAN = re.compile(r"(?:[\s:#=]|number|no\.?){0,12}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.I)
-ACCOUNT = re.compile(r"(?:[\s:#=.]|number|num|no\b){0,12}([0-9](?:[ -]?[0-9]){5,33})", re.I)
+ACCOUNT = re.compile(r"(?:[\s:#=.]|number|num|no\b){0,12}([0-9](?:[ -]?[0-9]){5,33})(?![A-Za-z0-9_])", re.I)
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}[ -]?(?!00)[0-9]{2}[ -]?(?!0000)[0-9]{4}")
 SECRET = re.compile(r"[A-Za-z_]{0,12}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{16,})")
 ACCOUNT_CUES = ("account", "acct", "a/c", "passport", "ssn")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
@@ -44,13 +47,13 @@ def _automaton() -> ahocorasick.Automaton:
     cues |= dict.fromkeys(ACCOUNT_CUES, "account") | dict.fromkeys(SECRET_CUES, "secret")
     a = ahocorasick.Automaton()
     for cue, kind in cues.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, (kind, len(form)))
+        a.add_word(cue, (kind, cue))
     a.make_automaton()
     return a
 
 
 ANCHORS = _automaton()
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def luhn(digits: str) -> bool:
@@ -63,6 +66,11 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def account_ok(cue: str, number: str) -> bool:
+    """Whether a number after a cue can be one: not the same digit throughout, and, for ssn, in its ranges."""
+    return len({c for c in number if c.isdigit()}) > 1 and (cue != "ssn" or SSN.fullmatch(number) is not None)
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a text, by start and then kind."""
     text = text or ""
@@ -73,8 +81,9 @@ def find(text: str | None) -> list[Span]:
         spans.append((kind, start, end))
         done[kind] = end
 
-    for last, (kind, size) in ANCHORS.iter(text):
-        at = last - size + 1
+    # A-Z only, so that places stay as they are
+    for last, (kind, cue) in ANCHORS.iter(text.lower() if text.isascii() else text.translate(_LOWER)):
+        at = last - len(cue) + 1
         if kind == "digit":
             if at >= done["card"]:
                 end = CHAIN.match(text, at).end()
@@ -101,14 +110,14 @@ def find(text: str | None) -> list[Span]:
             if at >= done["cred"] and (m := CREDENTIALS.match(text, at)):
                 add("cred", *m.span(1))
         elif kind == "iban":
-            if last + 1 >= done["iban"] and (m := IBAN.match(text, last + 1)):
+            if last + 1 >= done["iban"] and (not at or not text[at - 1].isalnum()) and (m := IBAN.match(text, last + 1)):
                 whole = m[1]
                 for end in range(len(whole), 14, -1):  # words after the number may look like a part of it
                     if whole[end - 1] != " " and (end == len(whole) or whole[end] == " ") and iban_ok(whole[:end]):
                         add("iban", m.start(1), m.start(1) + end)
                         break
         elif kind == "account":
-            if last + 1 >= done["account"] and (m := ACCOUNT.match(text, last + 1)):
+            if last + 1 >= done["account"] and (not at or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)) and account_ok(cue, m[1]):
                 add("account", *m.span(1))
         elif last + 1 >= done["secret"] and (m := SECRET.match(text, last + 1)) and re.search("[0-9]", m[1]):
             add("secret", *m.span(1))
@@ -170,7 +179,7 @@ def pii_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFram
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the text redacted in place and, where there is one, n_chars set to its code points; rows and columns
     stay as they are."""
-    new = "_redacted_"
+    new = free_name(docs, "_redacted_")
     df = _narrow(docs, text, [T.StructField(new, T.StringType())], lambda t: (redact(t, find(t)),))
     from pyspark.sql import functions as F
 
@@ -186,14 +195,14 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, counts of the base kinds, SHA-256 of the joined base spans, all spans joined."""
+    """doc_id, counts of the base kinds and of all spans, SHA-256 of the joined base spans, all spans joined."""
     def row(t):
         spans = find(t)
         base = [s for s in spans if s[0] in BASE_KINDS]
         counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
-        return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
+        return (*counts, len(spans), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
 
-    outs = [T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    outs = [T.StructField(f"n_{k}", T.LongType()) for k in (*BASE_KINDS, "spans")] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     from pyspark.sql import functions as F
 
     return _narrow(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text")), "_text", outs, row, ("_text",))

@@ -51,6 +51,18 @@ def test_added_kinds():
     assert pii.redact(t, pii.find(t)).startswith('token = "[SECRET]" see ftp://[CRED]@host/ IBAN: [IBAN]')
 
 
+def test_cues_in_any_case_and_numbers_that_are_none():
+    value = "254ca002228af484f240146ffd26ba44"
+    for cue in ("apiKey", "API_Key", "Api-Key", "aCCess_Key", "TOKEN", "passWord"):
+        t = f"é İ {cue} = '{value}'"
+        assert [t[a:b] for k, a, b in pii.find(t) if k == "secret"] == [value], cue
+    for cue in ("ACCOUNT no. ", "Acct: ", "a/C ", "paSSport number "):
+        t = f"İİ {cue}12345678."
+        assert [t[a:b] for k, a, b in pii.find(t)] == ["12345678"], cue
+    t = "ssn 123-45-6789, SSN: 000-12-3456, ssn 12345678, lessness 123456789, account 0000000, account 123456abc, xiban DE89370400440532013000"
+    assert [t[a:b] for k, a, b in pii.find(t)] == ["123-45-6789"]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = pii.digests(odd_docs).collect()
     assert len(rows) == 10
@@ -71,5 +83,6 @@ def test_query(spark, sf_dir):
         base = plain(texts[r.doc_id])
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert r.n_spans == len(list(filter(None, r.spans.split(","))))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in PATTERNS]
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
