@@ -34,6 +34,8 @@ RADIUS = 3
 LISTED = 1024
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 16
+#: Fingerprints whose variants one task emits, about.
+EMITTED = 1 << 15
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
@@ -209,7 +211,9 @@ def group_of(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """Fingerprints (column fp, repeats allowed) -> (fp, root): the smallest fingerprint that links reach; more holds
     further links (a, b)."""
     each = checkpoint(fps.select("fp").distinct())
-    edges = links(each) if more is None else links(each).unionByName(more)
+    parts = max(int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")), each.count() // EMITTED)
+    spread = each.repartition(parts)  # each row becomes 131
+    edges = links(spread) if more is None else links(spread).unionByName(more)
     members = components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     return each.join(members, F.col("fp") == F.col("_node"), "left").select("fp", F.coalesce("_root", "fp").alias("root"))
 
@@ -224,7 +228,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", tex
     first = slim.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = checkpoint(group_of(slim.select("fp")).join(first, "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
+    # kept, so that the join below is of two plain shuffles, which can be split where a fingerprint is hot
+    by_fp = checkpoint(rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id"))
     return slim.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 

@@ -1,7 +1,6 @@
 from collections import Counter
 
 import corpus_pipeline as cp
-import numpy as np
 import sentencepiece
 
 from sparkloom.llm import mixing, pii, quality, shingled, simhash
@@ -9,13 +8,8 @@ from sparkloom.llm.queries import MODEL, TOKENIZERS
 
 
 def _similar(x: set, y: set) -> bool:
-    """By the sketch's rule: of the smallest hashes of the union, those in both."""
-    low = lambda s: set((np.array(list(s), np.uint64) >> np.uint64(32)).tolist())
-    if min(len(x), len(y)) < 0.5 * max(len(x), len(y)) or not x or not y:
-        return False
-    x, y = low(x), low(y)
-    least = sorted(x | y)[: shingled.SKETCH]
-    return sum(h in x and h in y for h in least) >= shingled.SIMILAR * len(least)
+    """By the whole shingle sets."""
+    return bool(x and y) and len(x & y) >= shingled.SIMILAR * len(x | y)
 
 
 def test_run_equals_plain_stages(spark, sf_dir):
@@ -52,3 +46,14 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, sf_dir):
             assert n == 0 if docs is no_docs else n > 0
     left = cp.near_dedup(spark, odd_docs, sf_dir).collect()
     assert Counter(r.doc_id for r in left) == Counter([1, 3, 6, 7])  # the row without an id has one word more than 1
+
+
+def test_clashing_names(spark, odd_docs, sf_dir):
+    """Columns named like those that the stages add are kept as they are."""
+    extra = ("_score", "_key", "_doc", "_mix_key", "_copies_of_row", "_mix_id", "_redacted_", "h", "fp", "copies_")
+    docs = odd_docs.drop("_key").selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in extra])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in extra)
