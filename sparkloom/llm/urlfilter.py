@@ -2,15 +2,15 @@
 
 Level by level the path segments under a host's node are generalised: segments with digits, and all segments of a node
 with very many children, become wildcards; branches whose share of labelled bad pages doesn't differ significantly
-from their siblings' (or that have too few labels to tell) merge into the wildcard too. A template is rejected when it
-has MIN_LABELLED labels and its bad share, smoothed towards its host's and the whole table's, reaches REJECT. Labels
-come from the rules' own verdicts (block: bad) and, if given, from labelled URLs. Explicit rules always win.
+from their siblings' (or that have too few labels to tell) merge into the wildcard too. A template is rejected when its
+smoothed bad share reaches REJECT: its own labels count, and so do those of the same template on other hosts, so hosts
+that no label reaches are judged by what the template is like elsewhere. Labels come from the rules' own verdicts
+(block: bad) and, if given, from labelled URLs. Explicit rules always win.
 
-Only counts are grouped, pre-aggregated, by host and segment; no host's URLs meet in one task.
+Only counts of distinct generalised paths are grouped, pre-aggregated; no host's URLs meet in one task.
 
 Defined results: a null URL or one without "://" has empty host and path, no rule and the verdict allow; ties between
-rules of one length go to the first listed; segments from the DEPTH-th on are one wildcard; repeated rows are judged
-each, alike; an empty table gives no rows.
+rules of one length go to the first listed; repeated rows are judged each, alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 8
+WILD = "*"
+#: A node whose branches are more than this, and than this share of its pages, has a variable segment.
 MANY_CHILDREN, CHILD_SHARE = 32, 0.5
 MIN_LABELLED = 5
+#: Hosts with labels of a template that make it count on others.
+MIN_HOSTS = 5
 Z = 1.96
 REJECT = 0.9
 PRIOR = 2.0
@@ -56,37 +59,75 @@ def _differs(child_bad: Column, child_n: Column, bad: Column, n: Column) -> Colu
     return (rest_n == 0) | ((spread > 0) & (gap > Z * spread))
 
 
-def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, template of every page. labelled: (url, bad 0/1) rows to learn from as well."""
-    own = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("_u"), F.lit(None).cast("int").alias("_bad"))
-    if labelled is not None:
-        own = own.withColumn("_own", F.lit(True)).unionByName(labelled.select(F.lit(None).cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("_u"), F.col("bad").cast("int").alias("_bad"), F.lit(False).alias("_own")))
-    else:
-        own = own.withColumn("_own", F.lit(True))
-    host, path = host_and_path(F.col("_u"))
-    rows = own.select("page_id", "_own", "_bad", host.alias("host"), path.alias("path"))
-    text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = checkpoint(rows.withColumn("rule", text).withColumn("_ruled", verdict).withColumn("_bad", F.coalesce("_bad", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0))).withColumn("_parts", parts).withColumn("template", F.lit("")))
-    deepest = rows.agg(F.max(F.size("_parts"))).first()[0] or 0
-    for level in range(1, min(deepest, DEPTH) + 1):
-        here = F.when(F.size("_parts") >= level, F.lit("*") if level == DEPTH else F.when(F.get("_parts", F.lit(level - 1)).rlike("[0-9]"), "*").otherwise(F.get("_parts", F.lit(level - 1))))
-        rows = rows.withColumn("_seg", here)
-        seen = rows.where("_seg is not null").groupBy("host", "template", "_seg").agg(F.count("*").alias("n"), F.count("_bad").alias("labels"), F.sum("_bad").alias("bad"))
-        seen = seen.withColumn("bad", F.coalesce("bad", F.lit(0)))
+def segments(path: Column) -> Column:
+    """A path's segments, those with digits as wildcards; empty ones don't count."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.transform(parts, lambda x: F.when(x.rlike("[0-9]"), WILD).otherwise(x))
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """host, segs (distinct), n, labels, bad -> with the template of each: level by level, branches of a node merge.
+
+    The rounds end where no two paths share a branch; what is left of each is then a chain of its own."""
+    at = checkpoint(paths.withColumn("template", F.lit("")))
+    left, level = at.where(F.size("segs") > 0), 0
+    while not left.isEmpty():
+        level += 1
+        seen = left.withColumn("seg", F.get("segs", F.lit(level - 1))).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
         node = seen.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.count("*").alias("_kids"), F.sum("n").alias("_n"), F.sum("labels").alias("_labels"), F.sum("bad").alias("_nbad"))
         many = (F.col("_kids") > MANY_CHILDREN) & (F.col("_kids") > CHILD_SHARE * F.col("_n"))
-        apart = (F.col("labels") >= MIN_LABELLED) & _differs(F.col("bad"), F.col("labels"), F.col("_nbad"), F.col("_labels"))
-        kept = seen.join(node, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select("_h", "_t", F.col("_seg").alias("_s"), F.when((F.col("_seg") != "*") & ~many & F.coalesce(apart, F.lit(False)), F.col("_seg")).otherwise("*").alias("_as"))
-        on = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_seg") == F.col("_s"))
-        rows = checkpoint(rows.join(kept, on, "left").withColumn("template", F.when(F.col("_as").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_as"))).drop("_h", "_t", "_s", "_as", "_seg"))
-    leaf = rows.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.count("_bad").alias("labels"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
-    hosts = leaf.groupBy(F.col("_h").alias("_hh")).agg(F.sum("labels").alias("h_labels"), F.sum("bad").alias("h_bad"))
-    total = leaf.agg(F.sum("labels"), F.sum("bad")).first()
+        apart = (F.col("labels") >= MIN_LABELLED) & F.coalesce(_differs(F.col("bad"), F.col("labels"), F.col("_nbad"), F.col("_labels")), F.lit(False))
+        kept = seen.join(node, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).where((F.col("seg") != WILD) & ~many & apart)
+        kept = kept.select("_h", "_t", F.col("seg").alias("_s"))
+        here = F.get("segs", F.lit(level - 1))
+        on = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (here == F.col("_s"))
+        at = at.join(kept, on, "left").withColumn("template", F.when(F.size("segs") < level, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_s", F.lit(WILD))))).drop("_h", "_t", "_s")
+        at = checkpoint(at)
+        left = at.where(F.size("segs") > level)
+        rows, nodes = left.agg(F.count("*"), F.countDistinct("host", "template")).first()
+        if rows == nodes:
+            rest = F.transform(F.slice("segs", level + 1, F.greatest(F.size("segs") - level, F.lit(0))), lambda x: F.when(F.col("labels") >= MIN_LABELLED, x).otherwise(WILD))
+            return at.withColumn("template", F.when(F.size("segs") > level, F.concat_ws("/", "template", F.array_join(rest, "/"))).otherwise(F.col("template")))
+    return at
+
+
+def rejected(leaves: DataFrame) -> DataFrame:
+    """host, segs, template, labels, bad -> host, segs, template, reject.
+
+    A template's bad share is smoothed towards that of the same template on all hosts, if MIN_HOSTS of them have labels
+    of it, and towards its host's else; these are smoothed towards the whole table's. It is rejected at REJECT, if it or
+    the same template elsewhere has MIN_LABELLED labels."""
+    own = checkpoint(leaves.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")))
+    total = own.agg(F.sum("labels"), F.sum("bad")).first()
     everywhere = (total[1] / total[0]) if total and total[0] else 0.5
-    prior = (F.col("h_bad") + PRIOR * everywhere) / (F.col("h_labels") + PRIOR)
-    purity = (F.col("bad") + PRIOR * prior) / (F.col("labels") + PRIOR)
-    judged = leaf.join(hosts, F.col("_h") == F.col("_hh")).select("_h", "_t", ((F.col("labels") >= MIN_LABELLED) & (purity >= REJECT)).alias("_reject"))
-    out = rows.where("_own").join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
-    found = F.when(F.col("host") == "", "allow").when(F.coalesce("_reject", F.lit(False)), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", found).alias("verdict"), "template")
+    by_host = own.groupBy(F.col("host").alias("_h")).agg(F.sum("labels").alias("_hl"), F.sum("bad").alias("_hb"))
+    labelled = own.where("labels > 0")
+    by_shape = checkpoint(labelled.groupBy(F.col("template").alias("_t")).agg(F.sum("labels").alias("_sl"), F.sum("bad").alias("_sb"), F.count("*").alias("_hosts")))
+    j = own.join(by_host, F.col("host") == F.col("_h")).join(by_shape, F.col("template") == F.col("_t"), "left")
+    smooth = lambda bad, n, prior: (F.col(bad) + PRIOR * prior) / (F.col(n) + PRIOR)
+    wide = F.coalesce(F.col("_hosts") >= MIN_HOSTS, F.lit(False))
+    prior = F.when(wide, smooth("_sb", "_sl", F.lit(everywhere))).otherwise(smooth("_hb", "_hl", F.lit(everywhere)))
+    known = (F.col("labels") >= MIN_LABELLED) | (wide & (F.col("_sl") >= MIN_LABELLED))
+    judged = j.select(F.col("host").alias("_h"), F.col("template").alias("_t"), (known & (smooth("bad", "labels", prior) >= REJECT)).alias("reject"))
+    return leaves.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select("host", "segs", "template", "reject")
+
+
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict, template of every page. labelled: (url, bad 0/1) rows to learn from as well."""
+    def parsed(df: DataFrame, url: Column, *more: Column) -> DataFrame:
+        host, path = host_and_path(F.coalesce(url, F.lit("")))
+        df = df.select(host.alias("host"), path.alias("path"), *more)
+        text, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        return df.select("*", text.alias("rule"), verdict.alias("_ruled"), segments(F.col("path")).alias("segs"))
+
+    own = parsed(pages, F.col(f"`{url}`"), F.col(f"`{page_id}`").alias("page_id"))
+    ruled = F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0)
+    learn = own.select("host", "segs", ruled.alias("_bad"))
+    if labelled is not None:
+        more = parsed(labelled, F.col("url"), F.col("bad").cast("int").alias("_given"))
+        learn = learn.unionByName(more.select("host", "segs", F.coalesce("_given", ruled).alias("_bad")))
+    paths = learn.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("_bad").alias("labels"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
+    found = checkpoint(rejected(templates(paths))).select(F.col("host").alias("_h"), F.col("segs").alias("_s"), "template", "reject")
+    out = own.join(found, (F.col("host") == F.col("_h")) & (F.col("segs") == F.col("_s")), "left")
+    by_tree = F.when((F.col("host") != "") & F.coalesce("reject", F.lit(False)), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", by_tree).alias("verdict"), "template")

@@ -1,4 +1,9 @@
+import math
+import random
 import re
+from collections import defaultdict
+
+import pytest
 
 from sparkloom.llm import urlfilter as u
 from sparkloom.llm.queries import op8_urlfilter
@@ -16,14 +21,103 @@ def ruled(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def test_query_equals_plain_rules(spark, sf_dir):
-    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    rows = op8_urlfilter(spark, sf_dir).collect()
+def plain_tree(labelled):
+    """(host, path, label or None) rows -> {(host, segments): (template, whether it is rejected)}, by recursion."""
+    of = defaultdict(list)
+    for host, path, bad in labelled:
+        of[host, tuple("*" if re.search("[0-9]", x) else x for x in path.split("/") if x)].append(bad)
+    names = {}
+
+    def stats(keys):
+        given = [b for k in keys for b in of[k] if b is not None]
+        return sum(len(of[k]) for k in keys), len(given), sum(given)
+
+    def walk(keys, level, name):
+        names.update({k: name for k in keys if len(k[1]) == level})
+        kids = defaultdict(list)
+        for k in keys:
+            if len(k[1]) > level:
+                kids[k[1][level]].append(k)
+        n, labels, bad = stats([k for ks in kids.values() for k in ks])
+        merged = defaultdict(list)
+        for seg, ks in kids.items():
+            _, own, own_bad = stats(ks)
+            rest, rest_bad, keep = labels - own, bad - own_bad, False
+            if seg != "*" and own >= u.MIN_LABELLED and not (len(kids) > u.MANY_CHILDREN and len(kids) > u.CHILD_SHARE * n):
+                p = bad / labels
+                spread = math.sqrt(p * (1 - p) * (1 / own + 1 / rest)) if rest else 0
+                keep = rest == 0 or (spread > 0 and abs(own_bad / own - rest_bad / rest) > u.Z * spread)
+            merged[seg if keep else "*"] += ks
+        for seg, ks in merged.items():
+            walk(ks, level + 1, f"{name}/{seg}")
+
+    for host in {h for h, _ in of}:
+        walk([k for k in of if k[0] == host], 0, "")
+    leaf, by_host, by_shape, hosts = (defaultdict(lambda: [0, 0]) for _ in range(4))
+    for k, name in names.items():
+        _, labels, bad = stats([k])
+        for table, key in ((leaf, (k[0], name)), (by_host, k[0]), (by_shape, name)):
+            table[key][0] += labels
+            table[key][1] += bad
+    for (_, name), (labels, _) in leaf.items():
+        hosts[name][0] += labels > 0
+    total, total_bad = (sum(x[i] for x in leaf.values()) for i in (0, 1))
+    everywhere = total_bad / total if total else 0.5
+    smooth = lambda row, prior: (row[1] + u.PRIOR * prior) / (row[0] + u.PRIOR)
+    out = {}
+    for k, name in names.items():
+        wide = hosts[name][0] >= u.MIN_HOSTS
+        row = leaf[k[0], name]
+        known = row[0] >= u.MIN_LABELLED or (wide and by_shape[name][0] >= u.MIN_LABELLED)
+        out[k] = name, known and smooth(row, smooth(by_shape[name] if wide else by_host[k[0]], everywhere)) >= u.REJECT
+    return out
+
+
+def verdicts(pages, labelled=()):
+    """{id: (rule, template, verdict)} of (id, url) rows, by the plain tree."""
+    rows = [(*parsed(x), None) for _, x in pages] + [(*parsed(x), b) for x, b in labelled]
+    known = [(h, p, b if b is not None else {"block": 1, "allow": 0, None: None}[ruled(h, p)[1]]) for h, p, b in rows]
+    tree, out = plain_tree(known), {}
+    for i, x in pages:
+        h, p = parsed(x)
+        rule, verdict = ruled(h, p)
+        name, bad = tree[h, tuple("*" if re.search("[0-9]", s) else s for s in p.split("/") if s)]
+        out[i] = rule, name, verdict or ("block" if h and bad else "allow")
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_plain_tree(spark, sf_dir, sf):
+    folder = sf_dir.replace("sf0.001", sf)
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    rows = op8_urlfilter(spark, folder).collect()
     assert len(rows) == len(pages)
-    for r in rows:
-        assert (r.host, r.path) == parsed(pages[r.page_id])
-        rule, verdict = ruled(r.host, r.path)
-        assert r.rule == rule and r.verdict in ("allow", "block") and verdict in (None, r.verdict)
+    assert {r.page_id: (r.host, r.path) for r in rows} == {i: parsed(x) for i, x in pages}
+    assert {r.page_id: (r.rule, r.template, r.verdict) for r in rows} == verdicts(pages)
+
+
+def test_random_trees_equal_plain_ones(spark):
+    rng = random.Random(3)
+    for share in (0.2, 0.9):
+        words = ["a", "b", "c", "d1", "e"] + [f"{x}{y}" for x in "mnopqrs" for y in "mnopqrs"]
+        url = lambda: f"http://h{rng.randrange(9)}.test/" + "/".join(rng.choice(words[: rng.choice((2, 5, 54))]) for _ in range(rng.randint(0, 5)))
+        labelled = [(x, int(rng.random() < (share if "/a" in x else 1 - share))) for x in (url() for _ in range(700))]
+        pages = list(enumerate(url() for _ in range(400)))
+        df, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labelled, "url string, bad int")
+        got = {r.page_id: (r.rule, r.template, r.verdict) for r in u.judge(df, labelled=known).collect()}
+        assert got == verdicts(pages, labelled)
+        assert {v for _, _, v in got.values()} == {"allow", "block"}
+
+
+def test_a_template_is_known_from_other_hosts(spark):
+    """Spam paths on labelled hosts, the same on a host without labels; one host alone proves nothing."""
+    labelled = [(f"http://s{h}.test/win/{i}", 1) for h in range(8) for i in range(4)] + [(f"http://s{h}.test/news/{i}", 0) for h in range(8) for i in range(9)]
+    labelled += [(f"http://one.test/odd/{i}", 1) for i in range(30)] + [(f"http://one.test/news/{i}", 0) for i in range(30)]
+    labelled += [(f"http://s{h}.test/win/{i}", 1) for h in range(8) for i in range(9, 13)]
+    pages = list(enumerate(["http://new.test/win/7", "http://new.test/news/7", "http://new.test/odd/7"]))
+    known = spark.createDataFrame(labelled, "url string, bad int")
+    got = {r.page_id: r.verdict for r in u.judge(spark.createDataFrame(pages, "page_id long, url string"), labelled=known).collect()}
+    assert got == {i: v for i, (_, _, v) in verdicts(pages, labelled).items()}
 
 
 def test_templates_learn_from_labels(spark):
