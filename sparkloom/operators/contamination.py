@@ -1,7 +1,8 @@
 """Benchmark passages in a corpus: item index, scan, rates, totals, exposure.
 
-The index is a long table of n-grams. The scan explodes hashes of 8-word runs, without the words, joins them with the
-index (broadcast only while its size is within a bound), and checks hits against the words exactly.
+The index is a long table of n-grams. The scan lists every position of a text with the hash of its next 8 words, meets
+them with the index, or with its prefixes alone where it is larger (sent to the executors only within a counted bound),
+and checks what passes against the words exactly.
 """
 
 from __future__ import annotations
@@ -11,14 +12,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import SHORTEST, WIDTH, keys_for_field, length_class, normalize, words
+from sparkloom.operators.running import ranked
+from sparkloom.staging import checkpoint
 
 #: Largest index, in rows of about 200 bytes, that is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Most prefixes, in rows of about 30 bytes, that are sent to every executor.
+BROADCAST_PREFIXES = 8_000_000
+#: Positions that are listed at a time.
+CHUNK = 1024
+
+
+def _worded(df: DataFrame, text: str, compatibility: bool, *more: Column) -> DataFrame:
+    """more columns, and the words of each text in _w. The words pass through a generator, beyond which the optimiser
+    can't copy the expression that makes them into others."""
+    return df.select(*more, F.explode(F.array(words(normalize(F.col(text), compatibility)))).alias("_w"))
 
 
 def item_index(items: DataFrame, item: str = "item_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """(item, ngram, width, prefix): every key of every item that can be assessed."""
-    normal = items.select(F.col(item).alias("item_id"), words(normalize(F.col(text), compatibility)).alias("_w"))
+    normal = _worded(items, text, compatibility, F.col(item).alias("item_id"))
     keyed = normal.select("item_id", F.explode(keys_for_field(F.col("_w"))).alias("ngram")).distinct()
     parts = F.split("ngram", " ")
     return keyed.select("item_id", "ngram", F.size(parts).alias("width"), F.xxhash64(F.slice(parts, 1, SHORTEST)).alias("prefix"))
@@ -26,30 +39,54 @@ def item_index(items: DataFrame, item: str = "item_id", text: str = "text", comp
 
 def index_summary(items: DataFrame, item: str = "item_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """One row: items, not assessable, keys, distinct keys and 8-word prefixes, prefixes with several widths."""
-    w = words(normalize(F.col(text), compatibility))
-    classed = items.select(length_class(w).alias("c"))
+    classed = _worded(items, text, compatibility).select(length_class(F.col("_w")).alias("c"))
     counts = classed.agg(F.count("*").alias("items"), F.count_if(F.col("c") == "not_assessable").alias("not_assessable"), F.count_if(F.col("c") == "short").alias("short"))
-    idx = item_index(items, item, text, compatibility)
+    idx = checkpoint(item_index(items, item, text, compatibility))
     keys = idx.agg(F.count("*").alias("item_keys"), F.countDistinct("ngram").alias("exact_keys"))
     by_prefix = idx.groupBy("prefix").agg(F.countDistinct("width").alias("n"))
     prefixes = by_prefix.agg(F.count("*").alias("prefixes"), F.count_if(F.col("n") > 1).alias("multi_width_prefixes"))
     return counts.crossJoin(keys).crossJoin(prefixes)  # three single rows
 
 
+def _runs(docs: DataFrame, doc: str, text: str, compatibility: bool, marks: bool, *more: str) -> DataFrame:
+    """Every position of every document: pos (from 1), the hash of the next SHORTEST words, and the next WIDTH words.
+    With marks a row at pos 0 as well, of every document, which alone has its number of words in n."""
+    w = _worded(docs, text, compatibility, *[F.col(c) for c in more], F.col(doc).alias("_doc"))
+    n, none = F.size("_w"), F.array().cast("array<int>")
+    starts = F.when(n >= SHORTEST, F.sequence(F.lit(1), n - SHORTEST + 1, F.lit(CHUNK))).otherwise(none)
+    chunks = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("_w", i, CHUNK + WIDTH - 1).alias("w")))
+    if marks:
+        chunks = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("w"))), chunks)
+    c = w.select(*more, "_doc", n.alias("n"), F.explode(chunks).alias("_c"))
+    at, part = F.col("_c.at"), F.col("_c.w")
+    mark = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("_doc").alias("prefix"), F.lit("").alias("span")))
+    inside = F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.size(part) - SHORTEST + 1))
+    runs = F.transform(inside, lambda k: F.struct((at + k - 1).alias("pos"), F.xxhash64(F.slice(part, k, SHORTEST)).alias("prefix"), F.array_join(F.slice(part, k, WIDTH), " ").alias("span")))
+    placed = c.select(*more, "_doc", "n", F.explode(F.when(at == 0, mark).otherwise(runs)).alias("_r")) if marks else c.select(*more, "_doc", F.lit(None).cast("int").alias("n"), F.explode(runs).alias("_r"))
+    return placed.select(*more, "_doc", F.when(F.col("_r.pos") == 0, F.col("n")).alias("n"), "_r.pos", F.col("_r.prefix").alias("_prefix"), "_r.span")
+
+
+def _found(docs: DataFrame, items: DataFrame, doc: str, text: str, compatibility: bool, marks: bool = False, *more: str) -> DataFrame:
+    """Exact keys found, with more columns of the documents, and marks if asked for. One pass over the texts; nothing but
+    what passes the prefixes of the index is ever shuffled, unless there are too many of these to send."""
+    idx = checkpoint(item_index(items, compatibility=compatibility))
+    runs = _runs(docs, doc, text, compatibility, marks, *more)
+    how, mark = ("left" if marks else "inner"), F.col("pos") == 0
+    exact = (F.col("_prefix") == F.col("prefix")) & ~mark & F.startswith(F.concat("span", F.lit(" ")), F.concat("ngram", F.lit(" ")))
+    if idx.count() <= BROADCAST_ROWS:
+        out = runs.join(F.broadcast(idx), exact, how).where(F.col("ngram").isNotNull() | mark)
+    else:
+        prefixes = idx.select(F.col("prefix").alias("_p")).distinct()
+        if prefixes.count() <= BROADCAST_PREFIXES:
+            prefixes = F.broadcast(prefixes)
+        near = checkpoint(runs.join(prefixes, F.col("_prefix") == F.col("_p"), how).where(F.col("_p").isNotNull() | mark))
+        out = near.where(~mark).join(idx, exact).unionByName(near.where(mark), allowMissingColumns=True)
+    return out.select(*more, "_doc", "n", F.col("pos").cast("long").alias("pos"), F.col("width").cast("long").alias("width"), "item_id")
+
+
 def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """(doc, pos, width, item_id) of every exact key found; pos counts words from 1."""
-    idx = item_index(items, compatibility=compatibility)
-    if idx.count() <= BROADCAST_ROWS:
-        idx = F.broadcast(idx)
-    normal = docs.select(F.col(doc).alias("_doc"), words(normalize(F.col(text), compatibility)).alias("_w"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - SHORTEST + 1), lambda i: F.xxhash64(F.slice("_w", i, SHORTEST)))
-    placed = normal.where(F.size("_w") >= SHORTEST).select("_doc", F.posexplode(runs).alias("_at", "prefix"))
-    near = placed.join(idx, "prefix").select("_doc", (F.col("_at") + 1).alias("pos"), "ngram", "width", "item_id")
-    # the words come back only for documents with candidates
-    per_doc = near.groupBy("_doc").agg(F.collect_list(F.struct("pos", "ngram", "width", "item_id")).alias("_c")).withColumnRenamed("_doc", "_d")
-    both = normal.join(per_doc, F.col("_doc") == F.col("_d"))
-    exact = F.filter("_c", lambda c: F.array_join(F.slice("_w", c["pos"], c["width"]), " ") == c["ngram"])
-    return both.select(F.col("_doc").alias(doc), F.explode(exact).alias("h")).select(doc, F.col("h.pos").cast("long").alias("pos"), F.col("h.width").cast("long").alias("width"), F.col("h.item_id").alias("item_id"))
+    return _found(docs, items, doc, text, compatibility).select(F.col("_doc").alias(doc), "pos", "width", "item_id")
 
 
 def collapse(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -59,13 +96,15 @@ def collapse(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def rates_by_source(docs: DataFrame, items: DataFrame, source: str = "source", doc: str = "doc_id", text: str = "text", compatibility: bool = True) -> DataFrame:
-    """Documents and words scanned and matched by source, with rates rounded to ten digits."""
-    found = collapse(scan(docs, items, doc, text, compatibility), doc).withColumnRenamed(doc, "_d")
-    sized = docs.select(source, F.col(doc).alias("_doc"), F.size(words(normalize(F.col(text), compatibility))).cast("long").alias("n"))
-    both = sized.join(found, F.col("_doc") == F.col("_d"), "left")
-    out = both.groupBy(source).agg(
-        F.count("*").alias("docs_scanned"), F.sum("n").alias("words_scanned"), F.count("_d").alias("matched_documents"), F.coalesce(F.sum("matched_words"), F.lit(0)).alias("matched_span_words")
-    )
+    """Documents and words scanned and matched by source, with rates rounded to ten digits. Ids tell documents apart."""
+    rows = _found(docs, items, doc, text, compatibility, True, source)
+    mark = F.col("pos") == 0
+    spans = F.collect_set(F.when(~mark, F.sequence(F.col("pos"), F.col("pos") + F.col("width") - 1)))
+    each = rows.groupBy(source, "_doc").agg(F.count_if(mark).alias("k"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(spans))).alias("matched"))
+    out = each.groupBy(source).agg(
+        F.sum("k").alias("docs_scanned"), F.sum("n").alias("words_scanned"),
+        F.sum(F.when(F.col("matched") > 0, F.col("k")).otherwise(0)).alias("matched_documents"), F.sum(F.col("k") * F.col("matched")).alias("matched_span_words"),
+    )
     rate = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 10)
     return out.withColumn("matched_document_rate", rate("matched_documents", "docs_scanned")).withColumn("matched_span_word_rate", rate("matched_span_words", "words_scanned"))
 
@@ -96,8 +135,8 @@ def spikes(index: DataFrame, count: int) -> DataFrame:
     """Control items evenly strided over the sorted keys, to be scanned beside the corpus and found again."""
     n = index.select("item_id").distinct().count()
     step = max(1, n // count)
-    ranked = index.groupBy("item_id").agg(F.min("ngram").alias("ngram")).withColumn("rn", F.row_number().over(W.orderBy("item_id")) - 1)
-    return ranked.where((F.col("rn") % step == 0) & (F.col("rn") < step * count)).select("item_id", F.col("ngram").alias("text"))
+    each = ranked(index.groupBy("item_id").agg(F.min("ngram").alias("ngram")), ["item_id"], out="rn").withColumn("rn", F.col("rn") - 1)
+    return each.where((F.col("rn") % step == 0) & (F.col("rn") < step * count)).select("item_id", F.col("ngram").alias("text"))
 
 
 def strip_shared_prefix(items: DataFrame, label: str = "label", item: str = "item_id", w: str = "w", sharers: int = 5) -> DataFrame:

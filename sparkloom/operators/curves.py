@@ -40,19 +40,14 @@ def bootstrap(points: DataFrame, draws: int, final: float, seed: int = 0, n: int
     grid = np.linspace(low, high, n)
 
     def fit(x, ys):
-        """ys: draws as rows -> alpha, a, b of each."""
-        best = np.full(len(ys), np.inf)
-        out = np.zeros((len(ys), 3))
-        for alpha in grid:
-            t = x**-alpha
-            tc = t - t.mean()
-            yc = ys - ys.mean(1, keepdims=True)
-            b = yc @ tc / (tc @ tc)
-            sse = (yc * yc).sum(1) - b * b * (tc @ tc)
-            better = sse < best
-            best[better] = sse[better]
-            out[better] = np.c_[np.full(len(ys), alpha), ys.mean(1) - b * t.mean(), b][better]
-        return out
+        """ys: draws as rows -> alpha, a, b of each. The least squared error is where the regression explains most."""
+        t = x[:, None] ** -grid
+        tc, mean = t - t.mean(0), ys.mean(1)
+        norm = (tc * tc).sum(0)
+        dot = (ys - mean[:, None]) @ tc
+        best = (dot * dot / norm).argmax(1)
+        b = dot[np.arange(len(ys)), best] / norm[best]
+        return np.c_[grid[best], mean - b * t.mean(0)[best], b]
 
     def draw(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("step")
@@ -62,7 +57,7 @@ def bootstrap(points: DataFrame, draws: int, final: float, seed: int = 0, n: int
         left = (y - line) * (np.sqrt(len(y) / max(1, len(y) - 3)) if rescale else 1)
         key = int.from_bytes(__import__("hashlib").sha256(f"{seed}:{g.run.iloc[0]}:{block}".encode()).digest()[:8])
         pick = np.random.default_rng(key).integers(0, len(y), (int(g["size"].iloc[0]), len(y)))
-        f = fit(x, line + left[pick])
+        f = np.concatenate([fit(x, line + left[pick[i : i + 2000]]) for i in range(0, len(pick), 2000)])
         return pd.DataFrame({"run": g.run.iloc[0], "draw": block * 10_000 + np.arange(len(f)), "final": f[:, 1] + f[:, 2] * final ** -f[:, 0]})
 
     blocks = points.sparkSession.range(-(-draws // 10_000)).select(F.col("id").alias("block"), F.least(F.lit(10_000), F.lit(draws) - F.col("id") * 10_000).cast("long").alias("size"))
@@ -84,9 +79,9 @@ def p_values(diffs: DataFrame, value: str = "d") -> DataFrame:
     return diffs.agg(F.greatest(two, 1 / n).alias("p_two"), F.greatest(F.least(up, down), 1 / n).alias("p_one"), two.alias("p_two_no_floor"), n.alias("n"))
 
 
-def upper_median(value: Column) -> Column:
-    s = F.array_sort(F.collect_list(value))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(value: str) -> Column:
+    """Aggregate: the middle value, the upper of two; from counts of distinct values, not a list of all."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:

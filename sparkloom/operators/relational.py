@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.running import running_totals
+
 
 def interval_overlap(a: DataFrame, b: DataFrame, on: str, width: int) -> DataFrame:
     """Pairs of half-open intervals that overlap: a(on, a_id, a_start, a_end), b likewise. Both sides are cut into
@@ -27,9 +29,7 @@ def point_in_interval(points: DataFrame, spans: DataFrame, on: str, point: str,
 
 def offsets(df: DataFrame, length: Column, by: str, order: str) -> DataFrame:
     """df with start (exclusive running sum) and end of each row."""
-    w = W.partitionBy(by).orderBy(order)
-    end = F.sum(length).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("end", end).withColumn("start", F.col("end") - length)
+    return running_totals(df, {"end": length}, [order], [by]).withColumn("start", F.col("end") - length)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -53,8 +53,9 @@ def segments(df: DataFrame, by: str, step: str, final: int) -> DataFrame:
 
 def ordinal_windows(df: DataFrame, closes: Column, every: int, order: str) -> DataFrame:
     """df with a window number that rises after every `every`-th row that closes one."""
-    before = F.coalesce(F.sum(closes.cast("long")).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("window", F.floor(before / every).cast("long"))
+    closed = F.coalesce(closes, F.lit(False)).cast("long")
+    d = running_totals(df, {"_closed": closed}, [order])
+    return d.withColumn("window", F.floor((F.col("_closed") - closed) / every).cast("long")).drop("_closed")
 
 
 def fill_missing(primary: DataFrame, fallback: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.running import ranked, running_totals, with_totals
+
 
 def hash_order(seed: int | str, *keys: Column) -> Column:
     """An ordering key that other engines can compute too."""
@@ -20,12 +22,9 @@ def estimated_tokens(df: DataFrame, total: Column, size: str = "size", domain: s
 
 def greedy_prefix(df: DataFrame, value: str, target: Column, order: Column, by: str = "domain", at_least_one: bool = False) -> DataFrame:
     """Rows in order until their sum reaches the target; the row that crosses it is kept."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    cum = F.sum(value).over(w)
-    keep = cum - F.col(value) < target
-    if at_least_one:
-        keep = keep | (F.row_number().over(W.partitionBy(by).orderBy(order)) == 1)
-    return df.withColumns({"cum": cum, "_keep": keep}).where("_keep").drop("_keep")
+    d = running_totals(df, {"cum": F.col(value), "_rank": F.lit(1).cast("long")}, [order], [by])
+    keep = F.col("cum") - F.col(value) < target
+    return d.where(keep | (F.col("_rank") == 1) if at_least_one else keep).drop("_rank")
 
 
 def holdout_count(n: Column, fraction: float) -> Column:
@@ -37,9 +36,8 @@ def holdout_count(n: Column, fraction: float) -> Column:
 
 def holdout_split(df: DataFrame, fraction: float, seed: int, key: str, by: list[str]) -> DataFrame:
     """df with split train or val, the same rows for the same seed whatever the partitions."""
-    n = F.count("*").over(W.partitionBy(*by))
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(hash_order(seed, F.col(key)), F.col(key)))
-    return df.withColumn("split", F.when(rank <= holdout_count(n, fraction), "val").otherwise("train"))
+    d = with_totals(ranked(df, [hash_order(seed, F.col(key)), key], by, "_rank"), {"_n": F.count("*")}, by)
+    return d.withColumn("split", F.when(F.col("_rank") <= holdout_count(F.col("_n"), fraction), "val").otherwise("train")).drop("_rank", "_n")
 
 
 def apportion(df: DataFrame, weight: str, total: int, order: str, by: list[str] | None = None) -> DataFrame:
@@ -59,8 +57,7 @@ def plan_without_replacement(items: DataFrame, counts: DataFrame, seed: int, by:
     short = counts.join(have, by, "left").where(F.col("n") > F.coalesce("have", F.lit(0)))
     if not short.isEmpty():
         raise ValueError("a group has fewer rows than the plan takes")
-    rank = F.row_number().over(W.partitionBy(by).orderBy(hash_order(seed, F.col(by), F.col(key)), F.col(key)))
-    picked = items.withColumn("_r", rank).join(counts.select(by, "n"), by).where(F.col("_r") <= F.col("n"))
+    picked = ranked(items, [hash_order(seed, F.col(by), F.col(key)), key], [by], "_r").join(counts.select(by, "n"), by).where(F.col("_r") <= F.col("n"))
     return picked.drop("_r", "n").withColumn("shuffle_key", hash_order(f"{seed}-order", F.col(by), F.col(key)))
 
 
@@ -94,41 +91,45 @@ def band_topup(df: DataFrame, by: str = "domain") -> DataFrame:
 
 def trim_to_budget(docs: DataFrame, tokens: str, target: int, order: Column) -> DataFrame:
     """Rows in order up to a token target. Below 98 % of it every row is kept, by a running sum; in the last 2 % rows
-    that would pass 102 % are skipped, one after the other, over that short tail alone."""
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    d = docs.withColumn("_before", F.coalesce(F.sum(tokens).over(w), F.lit(0))).withColumn("_order", order)
-    low, high = int(target * 0.98), int(target * 1.02)
-    head = d.where(F.col("_before") < low)
-    start = head.agg(F.sum(tokens)).first()[0] or 0
-
-    def tail(frames):
-        have = start
-        for f in frames:
-            keep = []
-            for n in f[tokens]:
-                ok = have < target and not (have >= low and have + n > high and have > 0)
-                keep.append(ok)
-                have += n if ok else 0
-            yield f[keep]
-
-    # rows past the target are only needed while smaller ones may still fill it
-    rest = d.where((F.col("_before") >= low) & (F.col(tokens) <= high - low)).orderBy("_order").coalesce(1).mapInPandas(tail, d.schema)
-    return head.unionByName(rest).drop("_before", "_order")
+    that would pass 102 % are skipped, one after the other.
+
+    Rows of up to 2 % of the target always fit, so they are settled by a running sum as well. Only the larger ones
+    depend on those before: they are fewer than 50 in a target's worth of tokens, and go through a loop on the driver."""
+    if target <= 0:
+        return docs.limit(0)
+    low, high = max(int(target * 0.98), 1), int(target * 1.02)  # the first row with tokens is kept, whatever its size
+    d = running_totals(docs.withColumn("_order", order), {"_upto": F.col(tokens)}, ["_order"]).withColumn("_before", F.col("_upto") - F.col(tokens))
+    head = d.where(F.col("_before") < low).select(*docs.columns)
+    start = d.where(F.col("_before") < low).agg(F.sum(tokens)).first()[0] or 0
+    small = F.col(tokens) <= high - target
+    rest = running_totals(d.where((F.col("_before") >= low) & (F.col(tokens) <= high - low)), {"_fits": F.when(small, F.col(tokens)).otherwise(0)}, ["_order"])
+    rest = rest.withColumn("_at", F.col("_fits") - F.when(small, F.col(tokens)).otherwise(0) + start)
+    large, more = rest.where(~small & (F.col("_at") < target)).select("_order", "_at", F.col(tokens).alias("n")).orderBy("_order").toLocalIterator(), []
+    for r in large:
+        have = r["_at"] + sum(n for _, n in more)
+        if have >= target:
+            break
+        if have + r.n <= high:
+            more.append((r["_order"], r.n))  # two at most
+    have = F.col("_at")
+    for at, n in more:
+        have = have + F.when(F.col("_order") > at, n).otherwise(0)
+    kept = (small & (have < target)) | F.col("_order").isin([at for at, _ in more])
+    return head.unionByName(rest.where(kept).select(*docs.columns))
 
 
 def tail_carve(shards: DataFrame, fraction: float, order: str = "ord", size: str = "bytes") -> DataFrame:
     """How many bytes of each shard go to validation: the last int(total * fraction) bytes, in whole 4-byte tokens."""
-    total = F.sum(size).over(W.partitionBy())
+    total = F.lit(shards.agg(F.sum(size)).first()[0] or 0)
     want = F.floor(total * F.lit(fraction) / 4).cast("long") * 4
-    end = F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    val = F.least(F.col(size), F.greatest(F.lit(0), want - (total - end))).cast("long")
-    return shards.withColumn("val_bytes", val).withColumn("train_bytes", (F.col(size) - F.col("val_bytes")).cast("long"))
+    val = F.least(F.col(size), F.greatest(F.lit(0), want - (total - F.col("_end")))).cast("long")
+    d = running_totals(shards, {"_end": F.col(size)}, [order]).withColumn("val_bytes", val).drop("_end")
+    return d.withColumn("train_bytes", (F.col(size) - F.col("val_bytes")).cast("long"))
 
 
 def byte_shards(objects: DataFrame, limit: int, order: str = "ord", size: str = "bytes") -> DataFrame:
     """Pieces of a byte stream cut every `limit` bytes: (ord, shard, start, end) in the stream."""
-    end = F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    d = objects.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col(size)).where(F.col(size) > 0)
+    d = running_totals(objects, {"_end": F.col(size)}, [order]).withColumn("_start", F.col("_end") - F.col(size)).where(F.col(size) > 0)
     cut = F.explode(F.sequence(F.floor(F.col("_start") / limit), F.floor((F.col("_end") - 1) / limit)))
     d = d.withColumn("shard", cut)
     return d.select(order, "shard", F.greatest("_start", F.col("shard") * limit).alias("start"), F.least("_end", (F.col("shard") + 1) * limit).alias("end"))
@@ -136,5 +137,7 @@ def byte_shards(objects: DataFrame, limit: int, order: str = "ord", size: str =
 
 def balanced_slices(df: DataFrame, weight: str, n: int, order: str) -> DataFrame:
     """df with a slice 0 to n-1 of about equal weight each, in order."""
-    before = F.coalesce(F.sum(weight).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("slice", F.least(F.floor(before * n / F.sum(weight).over(W.partitionBy())), F.lit(n - 1)).cast("long"))
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    d = running_totals(df, {"_upto": F.col(weight)}, [order])
+    at = F.try_divide((F.col("_upto") - F.col(weight)) * n, F.lit(total))
+    return d.withColumn("slice", F.least(F.floor(F.coalesce(at, F.lit(0))), F.lit(n - 1)).cast("long")).drop("_upto")

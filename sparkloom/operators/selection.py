@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.running import ranked, with_totals
+
 ROW = "instance_id"
 METHODS = ("full", "random", "rho_excess", "rel_ema", "middle_ppl", "attention_topk")
 
@@ -86,10 +88,12 @@ def uniform_attention(df: DataFrame, mass: str) -> DataFrame:
 
 
 def ema(df: DataFrame, key: str, step: str, value: str, alpha: float) -> DataFrame:
-    """Exponential average in step order by key, with bias correction."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col(step).alias("o"), F.col(value).cast("double").alias("v"))))
-    fold = F.aggregate("seq", F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("c")), lambda a, x: F.struct((a["m"] * (1 - alpha) + x["v"] * alpha).alias("m"), (a["c"] * (1 - alpha)).alias("c")))
-    return df.groupBy(key).agg(seq.alias("seq")).select(key, F.size("seq").cast("long").alias("n"), (fold["m"] / (1 - fold["c"])).alias("ema"))
+    """Exponential average in step order by key, with bias correction: the recursion written out, so that a value's
+    share depends on its rank alone and groups are summed in parts."""
+    d = with_totals(ranked(df.select(key, step, value), [step, value], [key], "_rank"), {"_n": F.count("*")}, [key])
+    share = alpha * F.power(F.lit(1 - alpha), F.col("_n") - F.col("_rank"))
+    g = d.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double") * share).alias("m"))
+    return g.select(key, "n", (F.col("m") / (1 - F.power(F.lit(1 - alpha), F.col("n")))).alias("ema"))
 
 
 def weighted_loss(df: DataFrame, loss: str, planned: float | None = None) -> DataFrame:

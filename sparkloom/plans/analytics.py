@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators import curves, gates, mixture, relational, selection
+from sparkloom.staging import scratch
 from sparkloom.streaming import logs
 
 from .corpus import t
@@ -55,7 +56,7 @@ def crossing(spark, d):
 
 @query("ml12_bootstrap_ci")
 def bootstrap_ci(spark, d):
-    return curves.interval(curves.bootstrap(points(spark, d), 2000, 100.0), "run", "final")
+    return curves.interval(curves.bootstrap(points(spark, d), 10_000, 100.0, rescale=True), "run", "final")
 
 
 @query("ag16_percentile_ci", "SELECT event_type, round(avg(value), 8) AS mean, round(quantile_cont(value, 0.025), 8) AS lo, round(quantile_cont(value, 0.5), 8) AS mid, round(quantile_cont(value, 0.975), 8) AS hi FROM events GROUP BY 1")
@@ -72,7 +73,7 @@ def p_values(spark, d):
 
 @query("ag17_upper_median", "SELECT source, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS mid FROM documents GROUP BY source")
 def upper_median(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(curves.upper_median(F.col("n_chars")).alias("mid"))
+    return t(spark, d, "documents").groupBy("source").agg(curves.upper_median("n_chars").cast("long").alias("mid"))
 
 
 @query("ag18_pearson", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 8) AS r, CAST(count(*) FILTER (sign(l_quantity - 25) <> sign(l_discount - 0.05)) AS BIGINT) AS disagree, round(max(abs(l_discount - l_tax)), 8) AS max_abs FROM lineitem GROUP BY 1")
@@ -106,9 +107,10 @@ def family_macro(spark, d):
     return curves.family_macro(li, ["line"], "l_returnflag", "l_quantity").withColumn("macro", F.round("macro", 8))
 
 
-@query("ag33_envelope", f"WITH {POINTS}, n AS (SELECT count(DISTINCT run) AS n FROM pts) SELECT step, round(min(loss), 8) AS lo, round(max(loss), 8) AS hi FROM pts GROUP BY step HAVING count(DISTINCT run) = (SELECT n FROM n)")
+@query("ag33_envelope", """WITH pts AS (SELECT l_returnflag AS run, l_suppkey AS step, avg(l_quantity) AS loss FROM lineitem GROUP BY 1, 2)
+SELECT step, round(min(loss), 8) AS lo, round(max(loss), 8) AS hi FROM pts GROUP BY step HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM pts)""")
 def envelope(spark, d):
-    p = points(spark, d)
+    p = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("run"), F.col("l_suppkey").alias("step")).agg(F.avg("l_quantity").alias("loss"))
     n = p.select("run").distinct().count()
     return curves.envelope(p, n).select("step", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
@@ -150,7 +152,7 @@ def mixing_law_fit(spark, d):
 
 @query("ml05_leave_one_out")
 def leave_one_out(spark, d):
-    return curves.errors(mixture.leave_one_out(law_runs(spark), 3, starts=4), "actual", "predicted", "family")
+    return curves.errors(mixture.leave_one_out(law_runs(spark), 3), "actual", "predicted", "family")
 
 
 @query("ml07_simplex_optimum")
@@ -210,7 +212,7 @@ def gbt_surrogate(spark, d):
     data = law_runs(spark).where("family = 'f0'").select(*[F.element_at("r", i + 1).alias(f"w{i}") for i in range(3)], "y")
     from pyspark.ml.feature import VectorAssembler
 
-    model = mixture.boosted_surrogate(data, ["w0", "w1", "w2"], "y", rounds=5)
+    model = mixture.boosted_surrogate(data, ["w0", "w1", "w2"], "y")
     scored = model.transform(VectorAssembler(inputCols=["w0", "w1", "w2"], outputCol="_f").transform(data))
     return scored.select("w0", "w1", "w2", "y", "prediction")
 
@@ -259,10 +261,13 @@ def position_statistics(spark, d):
     return s.select("pos", "n", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
-@query("tk07_attention_topk")
+@query("tk07_attention_topk", f"""WITH {SCORES}, u AS (SELECT instance_id, pos, valid, ln((abs(x) + 0.001) / sum(1.0::DOUBLE / (pos + 1)) OVER (PARTITION BY instance_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)) AS l FROM sc),
+a AS (SELECT instance_id, pos, valid, lead(l) OVER (PARTITION BY instance_id ORDER BY pos) AS v FROM u), m AS (SELECT pos, avg(v) AS mean, greatest(stddev_pop(v), 1e-6) AS std FROM a GROUP BY pos),
+k AS (SELECT a.*, row_number() OVER (PARTITION BY instance_id ORDER BY valid DESC, round((v - mean) / std, 9) DESC NULLS LAST, {TIE}, pos) AS rk, count(*) FILTER (valid) OVER (PARTITION BY instance_id) AS n FROM a JOIN m USING (pos))
+SELECT instance_id, CAST(pos AS INT) AS pos, CAST(valid AND rk <= least(greatest(CAST(round_even(n * 0.6::DOUBLE, 0) AS BIGINT), 1), n) AS INT) AS weight FROM k""")
 def attention_topk(spark, d):
     s = scores(spark, d).withColumn("mass", F.col("history") + 0.001)
-    z = selection.z_scores(selection.uniform_attention(s, "mass"), "aligned")
+    z = selection.z_scores(selection.uniform_attention(s, "mass"), "aligned").withColumn("z", F.round("z", 9))
     return selection.select_tokens(z, "attention_topk", 0.6).select("instance_id", "pos", "weight")
 
 
@@ -272,9 +277,10 @@ def uniform_attention(spark, d):
     return selection.uniform_attention(s, "mass").select("instance_id", "pos", F.round("aligned", 6).alias("aligned"))
 
 
-@query("wn13_ema")
+@query("wn13_ema", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, CAST(n AS BIGINT) AS n, round(sum(value * 0.1 * pow(0.9::DOUBLE, n - rn)) / (1 - pow(0.9::DOUBLE, n)), 6) AS ema FROM r GROUP BY user_id, n""")
 def ema(spark, d):
-    return selection.ema(t(spark, d, "events"), "user_id", "event_id", "value", 0.1)
+    return selection.ema(t(spark, d, "events"), "user_id", "event_id", "value", 0.1).withColumn("ema", F.round("ema", 6))
 
 
 @query("tk10_weighted_loss", "WITH x AS (SELECT l_quantity AS loss, CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END AS w FROM lineitem) SELECT round(sum(loss * w) / sum(w), 8) AS loss, CAST(sum(w) AS DOUBLE) AS weight FROM x")
@@ -318,15 +324,11 @@ def windowed_counts(spark, d):
     return logs.windowed_counts(t(spark, d, "events")).withColumn("total", F.round("total", 6))
 
 
-@query("ss01_stream_poll_once")
+@query("ss01_stream_poll_once", f"WITH {POINTS}, l AS (SELECT DISTINCT run FROM pts ORDER BY run LIMIT 3) SELECT step, CAST(count(*) AS BIGINT) AS n FROM pts GROUP BY step HAVING count(*) FILTER (run IN (SELECT run FROM l)) = 3")
 def stream_poll_once(spark, d):
     """Curves of three labels arrive as files, one of them twice and one incomplete; every step is logged once. Files
     go to the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    root = f"{base.rstrip('/')}/poll-{uuid.uuid4().hex}"
+    root = scratch(spark, "poll")
     rows = points(spark, d).groupBy("step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("run", "loss")))).alias("values"))
     labels = [r.run for r in points(spark, d).select("run").distinct().orderBy("run").limit(3).collect()]
     rows.unionByName(rows).write.json(f"{root}/in")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import chat, text
 from sparkloom.operators import contamination as con
 from sparkloom.operators import gates, relational, sampling
+from sparkloom.operators.running import ranked, with_totals
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -123,7 +124,11 @@ def shared_prefix(spark, d):
     return n.select("doc_id", text.shared_word_prefix(F.col("w"), F.col("v")).alias("shared"))
 
 
-@query("wn06_strip_exemplars")
+@query("wn06_strip_exemplars", f"""WITH {ITEM_WORDS}, a AS (SELECT item_id, w, lead(w) OVER (ORDER BY w, item_id) AS v FROM iw),
+b AS (SELECT *, CASE WHEN v IS NOT NULL THEN coalesce(list_min(list_filter(range(1, least(len(w), len(v)) + 1), lambda i: w[i] <> v[i])) - 1, least(len(w), len(v))) END AS adj FROM a),
+c AS (SELECT *, CASE WHEN count(adj) OVER f = 5 THEN min(adj) OVER f END AS win FROM b WINDOW f AS (ORDER BY w, item_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+e AS (SELECT *, coalesce(max(win) OVER (ORDER BY w, item_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 0) AS best FROM c)
+SELECT 'all' AS label, item_id, CAST(CASE WHEN best >= 8 AND best < len(w) THEN best ELSE 0 END AS BIGINT) AS stripped, array_to_string(w[CASE WHEN best >= 8 AND best < len(w) THEN best ELSE 0 END + 1:], ' ') AS stem FROM e""")
 def strip_exemplars(spark, d):
     items = t(spark, d, "benchmark").select(F.lit("all").alias("label"), "item_id", text.words(text.normalize(F.col("text"))).alias("w"))
     return con.strip_shared_prefix(items)
@@ -179,9 +184,7 @@ def row_ids(spark, d):
 @query("wn01_greedy_sample", f"""WITH {SHARDS}, o AS (SELECT *, sum(size) OVER (PARTITION BY domain ORDER BY md5('7:' || CAST(path AS VARCHAR)) ROWS UNBOUNDED PRECEDING) AS cum, sum(size) OVER (PARTITION BY domain) AS total FROM shards)
 SELECT domain, path, size, CAST(cum AS BIGINT) AS cum FROM o WHERE cum - size < total * 0.3""")
 def greedy_sample(spark, d):
-    from pyspark.sql import Window as W
-
-    s = shards(spark, d).withColumn("total", F.sum("size").over(W.partitionBy("domain")))
+    s = with_totals(shards(spark, d), {"total": F.sum("size")}, ["domain"])
     return sampling.greedy_prefix(s, "size", F.col("total") * 0.3, sampling.hash_order(7, F.col("path"))).select("domain", "path", "size", "cum")
 
 
@@ -200,7 +203,8 @@ def byte_token_estimate(spark, d):
     return s.select("path", F.round(sampling.estimated_tokens(s, F.lit(1e6)), 6).alias("est_tokens"))
 
 
-@query("sm06_band_topup")
+@query("sm06_band_topup", f"""WITH {SHARDS}, c AS (SELECT *, sum(size) OVER (PARTITION BY domain ORDER BY size, path ROWS UNBOUNDED PRECEDING) AS cum, sum(size) OVER (PARTITION BY domain) AS total FROM shards)
+SELECT domain, path, size FROM c WHERE (cum - size) * 0.25::DOUBLE < total * 0.1::DOUBLE / 1.1 AND cum * 0.25::DOUBLE <= total * 0.1::DOUBLE / 0.9""")
 def band_topup(spark, d):
     from pyspark.sql import Window as W
 
@@ -209,7 +213,11 @@ def band_topup(spark, d):
     return sampling.band_topup(s).select("domain", "path", "size")
 
 
-@query("sm08_trim_to_budget")
+@query("sm08_trim_to_budget", r"""WITH RECURSIVE d AS (SELECT doc_id, CAST(len(string_split_regex(text, '\s+')) AS BIGINT) AS n, row_number() OVER (ORDER BY md5('3:' || CAST(doc_id AS VARCHAR))) AS rn FROM documents),
+p AS (SELECT target, CAST(floor(target * 0.98::DOUBLE) AS BIGINT) AS low, CAST(floor(target * 1.02::DOUBLE) AS BIGINT) AS high FROM (SELECT CAST(floor(sum(n) * 0.4::DOUBLE) AS BIGINT) AS target FROM d)),
+r(rn, doc_id, n, have, kept) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
+  UNION ALL SELECT s.rn, s.doc_id, s.n, s.have + CASE WHEN s.take THEN s.n ELSE 0 END, s.take FROM (SELECT d.rn, d.doc_id, d.n, r.have, r.have < target AND NOT (r.have >= low AND r.have + d.n > high AND r.have > 0) AS take FROM r JOIN d ON d.rn = r.rn + 1 CROSS JOIN p WHERE r.have < target) s)
+SELECT doc_id, n FROM r WHERE kept""")
 def trim_to_budget(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.size(F.split("text", r"\s+")).cast("long").alias("n"))
     target = int((docs.agg(F.sum("n")).first()[0] or 0) * 0.4)
@@ -330,10 +338,8 @@ def semi_either(spark, d):
 
 @query("jn04_manifest_join", "SELECT row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS ord, doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
 def manifest_join(spark, d):
-    from pyspark.sql import Window as W
-
     docs = t(spark, d, "documents")
-    manifest = docs.select("doc_id", (F.row_number().over(W.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")) - 1).cast("long").alias("ord"))
+    manifest = ranked(docs.select("doc_id"), [F.md5(F.col("doc_id").cast("string")), "doc_id"], out="ord").withColumn("ord", F.col("ord") - 1)
     gates.require(gates.missing(manifest, docs, "doc_id"), "rows missing from the source")
     return manifest.join(docs, "doc_id").select("ord", "doc_id", F.length("text").cast("long").alias("n")).orderBy("ord")
 
@@ -434,7 +440,8 @@ def accepted(spark, d):
     return gates.accepted(shards(spark, d), "domain", F.col("size") % 4 != 0)
 
 
-@query("st08_control_spikes")
+@query("st08_control_spikes", f"""WITH {ITEM_WORDS}, {KEYS}, g AS (SELECT item_id, min(ngram) AS text FROM idx GROUP BY item_id), k AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS rn, greatest(1, count(*) OVER () // 8) AS step FROM g)
+SELECT item_id, text FROM k WHERE rn % step = 0 AND rn < step * 8""")
 def control_spikes(spark, d):
     return con.spikes(con.item_index(t(spark, d, "benchmark")), 8)
 

@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 def poll_results(spark: SparkSession, folder: str, schema: str, labels: list[str], out: str, checkpoint: str) -> StreamingQuery:
     """Logs each step of a folder of JSON result files once: complete payloads only, the first file of a step wins.
     Runs over what is there and stops."""
-    stream = spark.readStream.schema(schema).json(folder)
+    stream = spark.readStream.schema(schema).json(folder).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_file"))
     full = stream.where(F.size(F.array_intersect(F.map_keys("values"), F.array(*[F.lit(x) for x in labels]))) == len(labels))
 
     def append(batch: DataFrame, _: int) -> None:
-        append_new_steps(batch.sparkSession, batch, out, ["step"])
+        first = batch.groupBy("step").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "_file"]), "_file").alias("r")).select("r.*")
+        append_new_steps(batch.sparkSession, first, out, ["step"])
 
     return full.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

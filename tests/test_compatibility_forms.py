@@ -5,7 +5,10 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from sparkloom.operators import contamination
+from sparkloom.operators.running import running_totals
 from sparkloom.plans.corpus import QUERIES
 
 PLAIN = "the first office of five final effects was café number 2 for all eleven clients there"
@@ -55,3 +58,31 @@ def test_queries_equal_brute_force(spark, folder):
     stats = ask("ag06_item_index_stats")[0]
     assert (stats["items"], stats.not_assessable, stats.short, stats.exact_keys) == (3, 1, 1, sum(len(keys(norm(t))) for _, t in ITEMS))
     assert {r.item_id: r.stem_sha256 for r in ask("fn09_item_identity")} == {i: hashlib.sha256(" ".join(norm(t)).encode()).hexdigest() for i, t in ITEMS}
+
+
+@pytest.mark.parametrize("rows, prefixes", [(0, 1 << 20), (0, 0)])
+def test_a_large_index_gives_the_same(spark, sf_dir, monkeypatch, rows, prefixes):
+    """The index joined by shuffle behind its prefixes, sent or not; chunks of a few positions."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    hits = sorted(contamination.scan(docs, items).collect())
+    rates = sorted(contamination.rates_by_source(docs, items).collect())
+    assert hits and sum(r.matched_documents for r in rates) == len({h.doc_id for h in hits})
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(contamination, "BROADCAST_PREFIXES", prefixes)
+    monkeypatch.setattr(contamination, "CHUNK", 7)
+    assert sorted(contamination.scan(docs, items).collect()) == hits
+    assert sorted(contamination.rates_by_source(docs, items).collect()) == rates
+
+
+def test_running_totals_equal_plain_ones(spark):
+    rows = [(i % 3 if i % 7 else None, (i * 37) % 101, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, o int, v long").repartition(7)
+    want, sums = [], {}
+    for g, o, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        sums[g] = sums.get(g, 0) + v
+        want.append((g, o, v, sums[g]))
+    got = running_totals(df, {"cum": F.col("v")}, ["o", "v"], ["g"]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    whole = running_totals(df, {"cum": F.col("v"), "n": F.lit(1)}, ["v"]).collect()
+    assert [(r.cum, r.n) for r in sorted(whole, key=lambda r: r.v)] == [(i * (i + 1) // 2, i + 1) for i in range(400)]
+    assert running_totals(df.limit(0), {"cum": F.col("v")}, ["v"]).collect() == []
