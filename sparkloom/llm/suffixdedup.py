@@ -9,10 +9,11 @@ MIN_WORDS - l from it on, is shared if a suffix of another document in its group
 is asked for every l, so the longest match isn't hidden by a neighbour that is closer on one side only. Shared runs are
 merged by document.
 
-Suffixes with one gram are compared as one list of up to LISTED rows. Where a gram has more, its suffixes' runs are
-dealt by the hash of their words instead, pre-aggregated, so that a passage in very many documents spreads over tasks;
-the answer is the same. Text that repeats up to PERIODS words has only so many different runs, and each is asked for
-once.
+Equal texts are one: all of a text that several documents have is a passage, and one of them stands for it against
+other texts. Suffixes with one gram are compared as one list of up to LISTED rows. Where a gram has more, its suffixes'
+runs are dealt by the hash of their words instead, pre-aggregated, so that a passage in very many documents spreads over
+tasks; the answer is the same. Text that repeats up to PERIODS words has only so many different runs, and each is asked
+for once.
 
 Defined results: a null text has no words; words are runs of anything but space and ASCII 9 to 13, compared exactly; a
 passage counts if another row has it (another id or another text), so repeats inside one document alone don't; rows
@@ -36,13 +37,13 @@ MIN_WORDS, GRAM = 50, 16
 WINDOW = MIN_WORDS - GRAM + 1
 PERIODS = 4
 #: Suffixes with one gram that are compared as one list.
-LISTED = 1024
+LISTED = 4096
 #: Suffixes of a document that are written at a time.
 AT_ONCE = 4096
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_PLACE = "key long, gram long, at int, low int, high int, reach int"
 _NAMES = ("gram", "at", "low", "high", "reach")
+_PLACE = "gram long, at int, low int, high int, reach int"
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -165,55 +166,77 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """doc_id, start_word, end_word (exclusive), n_words of every maximal run that other documents share in parts of
     MIN_WORDS words or more."""
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    slim = slim.withColumn("key", F.xxhash64("doc_id", "text"))
+    slim = slim.withColumns({"key": F.xxhash64("doc_id", "text"), "same": F.xxhash64("text")})
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [places(word_hashes(t.as_py())) for t in batch.column("text")]
-            n = np.array([len(f[0]) for f in found], np.int64)
-            key = np.repeat(batch.column("key").to_numpy(), n)
+            words = [word_hashes(t.as_py()) for t in batch.column("text")]
+            found = [places(w) for w in words]
+            offsets = np.r_[0, np.cumsum([len(f[0]) for f in found], dtype=np.int64)].astype(np.int32)
             gram, *rest = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5))
-            yield _batch({"key": key, "gram": gram.view(np.int64)} | {k: v.astype(np.int32) for k, v in zip(_NAMES[1:], rest)})
-
-    sparse = checkpoint(slim.select("key", "text").mapInArrow(suffixes, _PLACE))
-    counts = sparse.groupBy(F.col("gram").alias("_g")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+            fields = [pa.array(gram.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in rest]]
+            spots = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, list(_NAMES)))
+            yield _batch({c: batch.column(c) for c in ("doc_id", "key", "same", "also")} | {"words": pa.array([len(w) for w in words], pa.int64()), "places": spots})
+
+    every = slim.withColumn("also", F.xxhash64(F.lit("text"), "text")).mapInArrow(suffixes, f"doc_id long, key long, same long, also long, words long, places array<struct<{_PLACE}>>")
+    sparse = checkpoint(every.where(F.col("words") >= MIN_WORDS))
+    texts = checkpoint(sparse.groupBy("same", "also").agg(F.min("key").alias("first"), F.max("key").alias("last")))
+    # one document stands for all with its text
+    alone = texts.select(F.col("first").alias("_k"), F.col("same").alias("_s"))
+    single = sparse.join(alone, (F.col("key") == F.col("_k")) & (F.col("same") == F.col("_s")), "left_semi").select("key", "same", F.explode("places").alias("place"))
+    counts = single.groupBy(F.col("place.gram").alias("_g")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
     often = checkpoint(counts.where("a < b").select("_g", (F.col("n") > LISTED).alias("hot")))
-    kept = sparse.join(often, F.col("gram") == F.col("_g")).select("key", "hot", F.struct(*_NAMES).alias("place"))
-    spans = _listed(_with_places(slim, kept.where("not hot")))
-    if not often.where("hot").isEmpty():
-        spans = spans.unionByName(_dealt(_with_places(slim, kept.where("hot"))))
-    return _merged(spans)
-
-
-def _with_places(slim: DataFrame, kept: DataFrame) -> DataFrame:
-    """Documents with the suffixes kept of them, as one array a document."""
-    each = kept.groupBy(F.col("key").alias("_k")).agg(F.collect_set("place").alias("places"))
-    return slim.join(each, F.col("key") == F.col("_k")).select("doc_id", "key", "text", "places")
-
-
-def _each_document(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Of each document, AT_ONCE suffixes at a time: its id and key, one of each for every suffix, its word hashes, and
-    the suffixes' numbers."""
-    for d, k, t, p in zip(*(batch.column(n) for n in ("doc_id", "key", "text", "places"))):
-        words = word_hashes(t.as_py())
-        every = [p.values.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in _NAMES]
-        for i in range(0, len(every[0]), AT_ONCE):
-            numbers = [x[i : i + AT_ONCE] for x in every]
-            n = len(numbers[0])
-            yield {"doc_id": pa.array([d.as_py()] * n, pa.int64()), "key": np.full(n, k.as_py())}, words, numbers
-
-
-def _listed(placed: DataFrame) -> DataFrame:
+    kept = single.join(often, F.col("place.gram") == F.col("_g")).groupBy(F.col("key").alias("_k"), F.col("same").alias("_s"))
+    kept = kept.agg(F.collect_set(F.struct("hot", "place")).alias("places"))
+    placed = slim.join(kept, (F.col("key") == F.col("_k")) & (F.col("same") == F.col("_s"))).select("doc_id", "key", "text", "places")
+    rows = checkpoint(placed.mapInArrow(_spread, _ROWS))
+    spans = _listed(rows.where("run is null")).unionByName(_dealt(rows.where("run is not null")))
+    copies = texts.where("first < last").select(F.col("same").alias("_s"), F.col("also").alias("_a"))
+    whole = sparse.join(copies, (F.col("same") == F.col("_s")) & (F.col("also") == F.col("_a")), "left_semi").groupBy("doc_id", "key").agg(F.max("words").alias("end"))
+    return _merged(spans.unionByName(whole.select("doc_id", "key", F.lit(0).cast("long").alias("start"), "end")))
+
+
+#: Rows of suffixes with their words, and of runs (with no words) where a gram has too many suffixes for a list.
+_ROWS = f"doc_id long, key long, {_PLACE}, right binary, left binary, run long, start long, end long"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the suffixes kept of them, AT_ONCE at a time -> rows of suffixes and runs."""
+    for batch in batches:
+        for d, k, t, p in zip(*(batch.column(n) for n in ("doc_id", "key", "text", "places"))):
+            words, spots = word_hashes(t.as_py()), p.values.field("place")
+            hot = p.values.field("hot").to_numpy(zero_copy_only=False)
+            every = [spots.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in _NAMES]
+            for made in (_suffix_rows(words, [x[~hot] for x in every]), _run_rows(words, [x[hot] for x in every])):
+                for columns in made:
+                    n = len(columns["run"])
+                    yield _batch({"doc_id": pa.array([d.as_py()] * n, pa.int64()), "key": np.full(n, k.as_py())} | columns)
+
+
+def _suffix_rows(words: np.ndarray, numbers: list[np.ndarray]) -> Iterator[dict]:
+    for i in range(0, len(numbers[0]), AT_ONCE):
+        gram, at, low, high, reach = (x[i : i + AT_ONCE] for x in numbers)
+        right, left = contexts(words, at, low, high)
+        none = pa.nulls(len(gram), pa.int64())
+        yield {"gram": gram} | {k: v.astype(np.int32) for k, v in zip(_NAMES[1:], (at, low, high, reach))} | {"right": right, "left": left, "run": none, "start": none, "end": none}
+
+
+def _run_rows(words: np.ndarray, numbers: list[np.ndarray]) -> Iterator[dict]:
+    g = grams(words)
+    for i in range(0, len(numbers[0]), AT_ONCE):
+        _, at, low, high, reach = (x[i : i + AT_ONCE] for x in numbers)
+        n = high - low + 1
+        start = np.repeat(at - high, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        run = g[start]
+        for more in (*range(GRAM, MIN_WORDS - GRAM, GRAM), MIN_WORDS - GRAM):
+            run = _mix(run, g[start + more])
+        rows, none = len(start), {k: pa.nulls(len(start), pa.int32()) for k in _NAMES[1:]}
+        yield {"gram": pa.nulls(rows, pa.int64())} | none | {"right": pa.nulls(rows, pa.binary()), "left": pa.nulls(rows, pa.binary()), "run": run.view(np.int64), "start": start, "end": start + MIN_WORDS + np.repeat(reach, n)}
+
+
+def _listed(rows: DataFrame) -> DataFrame:
     """Spans of suffixes that are compared with all others of their gram in one list."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for who, words, (gram, at, low, high, reach) in _each_document(batch):
-                right, left = contexts(words, at, low, high)
-                yield _batch(who | {"gram": gram} | {k: v.astype(np.int32) for k, v in zip(_NAMES[1:], (at, low, high, reach))} | {"right": right, "left": left})
-
-    rows = placed.mapInArrow(spread, f"doc_id long, {_PLACE}, right binary, left binary")
-    rows = rows.repartition("gram").sortWithinPartitions("gram", "right")
+    rows = rows.select("doc_id", "key", *_NAMES, "right", "left").repartition("gram").sortWithinPartitions("gram", "right")
 
     def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
         gram, key, at, low, high, reach = (batch.column(n).to_numpy().astype(np.int64) for n in ("gram", "key", *_NAMES[1:]))
@@ -240,23 +263,8 @@ def _listed(placed: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "doc_id long, key long, start long, end long")
 
 
-def _dealt(placed: DataFrame) -> DataFrame:
-    """Spans of suffixes whose gram has more rows than a list: every run by the hash of its words."""
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for who, words, (_, at, low, high, reach) in _each_document(batch):
-                g = grams(words)
-                n = high - low + 1
-                start = np.repeat(at - high, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                run = g[start]
-                for more in (*range(GRAM, MIN_WORDS - GRAM, GRAM), MIN_WORDS - GRAM):
-                    run = _mix(run, g[start + more])
-                again = np.repeat(np.arange(len(n)), n)
-                columns = {"doc_id": who["doc_id"].take(pa.array(again)), "key": who["key"][again]}
-                yield _batch(columns | {"run": run.view(np.int64), "start": start, "end": start + MIN_WORDS + reach[again]})
-
-    rows = checkpoint(placed.mapInArrow(runs, "doc_id long, key long, run long, start long, end long"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Spans of runs that another document has too."""
     ends = rows.groupBy(F.col("run").alias("_run")).agg(F.min("key").alias("a"), F.max("key").alias("b"))
     shared = checkpoint(ends.where("a < b").select("_run"))
     return rows.join(shared, F.col("run") == F.col("_run"), "left_semi").select("doc_id", "key", "start", "end")
