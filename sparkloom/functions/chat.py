@@ -70,6 +70,23 @@ def role_label(role: Column) -> Column:
     return F.coalesce(F.try_element_at(table, key), other)
 
 
+def content_text(content: Column) -> Column:
+    """A message's content as text: plain text as it is; a JSON list of parts as its texts, one a line; a JSON object as
+    its text or content; null as nothing."""
+    v = F.try_parse_json(content)
+    one = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$.content", "string"))
+    parts = F.from_json(content, "array<string>")
+    texts = F.filter(F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.text"), F.get_json_object(p, "$.content"), F.when(~p.startswith("{"), p))), lambda x: F.coalesce(x, F.lit("")) != "")
+    start = F.substring(F.trim(content), 1, 1)
+    listed, held = (start == "[") & v.isNotNull() & parts.isNotNull(), (start == "{") & v.isNotNull()
+    return F.coalesce(F.when(listed, F.array_join(texts, "\n")).when(held, F.coalesce(one(v), F.lit(""))).otherwise(content), F.lit(""))
+
+
+def english(df: DataFrame, scores: str = "attributes", name: str = "en", least: float = 0.5) -> Column:
+    """Whether a tagger's score (a map of scores by name) reaches `least`; rows without one are left out."""
+    return F.coalesce(F.try_element_at(F.col(scores), F.lit(name)) >= least, F.lit(False))
+
+
 def flatten_turns(turns: Column) -> Column:
     """array<struct<role, content>> -> 'Label: content' joined by blank lines; turns without content are left out."""
     kept = F.filter(turns, lambda m: F.trim(F.coalesce(m["content"], F.lit(""))) != "")

@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -45,6 +45,35 @@ def length_class(w: Column) -> Column:
     return F.when(F.size(w) < SHORTEST, "not_assessable").when(F.size(w) < WIDTH, "short").otherwise("full")
 
 
+MERSENNE = (1 << 61) - 1
+
+
+def word_hash(word: str) -> int:
+    """A word's hash below 2^61 - 1."""
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") % MERSENNE
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def rolling_hashes(texts, width, base):
+    """Hashes of every run of `width` words: a polynomial in base over the words' hashes, carried from run to run. For
+    engines that look a run up by number; the scan itself joins on Spark's hashes."""
+    def one(text, n, b):
+        out, known, h = [], {}, 0
+        words = [known.setdefault(w, word_hash(w)) if w not in known else known[w] for w in (text or "").split()]
+        top = pow(b, n - 1, MERSENNE)
+        for i, x in enumerate(words):
+            if i >= n:
+                h = (h - words[i - n] * top) % MERSENNE
+            h = (h * b + x) % MERSENNE
+            if i >= n - 1:
+                out.append(h)
+        return out
+
+    return texts.combine(width, lambda t, n: (t, int(n))).combine(base, lambda tn, b: one(*tn, int(b)))
+
+
 def shared_word_prefix(a: Column, b: Column) -> Column:
     """Number of leading words that two word arrays share."""
     p = F.array_position(F.zip_with(a, b, lambda x, y: x != y), True)

@@ -139,6 +139,18 @@ def spikes(index: DataFrame, count: int) -> DataFrame:
     return each.where((F.col("rn") % step == 0) & (F.col("rn") < step * count)).select("item_id", F.col("ngram").alias("text"))
 
 
+def strip_preamble(items: DataFrame, label: str = "label", item: str = "item_id", w: str = "w") -> DataFrame:
+    """Words that all of a label's items begin with, cut off if they are SHORTEST or more: the prefix that the least and
+    the greatest share, which all between them share too. A label of one item keeps its words, and none is left empty."""
+    from sparkloom.functions.text import shared_word_prefix
+
+    ends = items.groupBy(F.col(label).alias("_l")).agg(F.min(w).alias("_lo"), F.max(w).alias("_hi"), F.count("*").alias("_n"))
+    n = F.when((F.col("_n") > 1), shared_word_prefix(F.col("_lo"), F.col("_hi"))).otherwise(0)
+    d = items.join(ends.select("_l", n.alias("_cut")), F.col(label).eqNullSafe(F.col("_l")))
+    cut = F.when((F.col("_cut") >= SHORTEST) & (F.col("_cut") < F.size(w)), F.col("_cut")).otherwise(0)
+    return d.select(label, item, cut.cast("long").alias("stripped"), F.slice(w, cut.cast("int") + 1, F.size(w)).alias(w))
+
+
 def strip_shared_prefix(items: DataFrame, label: str = "label", item: str = "item_id", w: str = "w", sharers: int = 5) -> DataFrame:
     """Words of exemplars at an item's start: the best sliding minimum, over `sharers` sorted neighbours, of adjacent
     shared prefixes. Prefixes under SHORTEST words, and those that would leave nothing, are not stripped."""
@@ -154,4 +166,4 @@ def strip_shared_prefix(items: DataFrame, label: str = "label", item: str = "ite
     return adj.select(label, item, cut.cast("long").alias("stripped"), F.array_join(F.slice(w, cut.cast("int") + 1, F.size(w)), " ").alias("stem"))
 
 
-__all__ = ["WIDTH", "collapse", "exposure", "index_summary", "item_index", "rates_by_source", "scan", "spikes", "strip_shared_prefix", "totals", "trajectory_exposure"]
+__all__ = ["WIDTH", "collapse", "exposure", "index_summary", "item_index", "rates_by_source", "scan", "spikes", "strip_preamble", "strip_shared_prefix", "totals", "trajectory_exposure"]

@@ -120,6 +120,63 @@ def edge_value(df: DataFrame, at: float, step: str = "step", value: str = "loss"
     return g.select(by, (F.col("l.v") + share * (F.col("r.v") - F.col("l.v"))).alias("at_edge"))
 
 
+def pooled_fit(points: DataFrame, grid: DataFrame, runs: list[str], least: int = 0, name: str = "pooled") -> DataFrame:
+    """One fit over the points of several runs together, from step `least` on."""
+    some = points.where(F.col("run").isin(runs) & (F.col("step") >= least))
+    return profile_fit(some.withColumn("run", F.lit(name)), grid)
+
+
+def fit_arms(points: DataFrame, grid: DataFrame, controls: list[str], least: int, window: int) -> DataFrame:
+    """A fit of every run, and one of the controls together; unexpected: whether a fit has other than `window` points."""
+    used = points.where(F.col("step") >= least)
+    n = used.groupBy("run").agg(F.count("*").alias("n_points"))
+    n = n.unionByName(used.where(F.col("run").isin(controls)).agg(F.lit("control").alias("run"), F.count("*").alias("n_points")).select("run", "n_points"))
+    fits = profile_fit(used, grid).unionByName(pooled_fit(points, grid, controls, least, "control"))
+    expected = F.when(F.col("run") == "control", window * len(controls)).otherwise(window)
+    return fits.join(n, "run").withColumn("unexpected", F.col("n_points") != expected)
+
+
+def paired_differences(draws: DataFrame, arm: str, control: str) -> DataFrame:
+    """draws (arm, draw, value) -> differences of two arms' draws of the same number."""
+    a = draws.where(F.col("arm") == arm).select("draw", F.col("value").alias("_a"))
+    b = draws.where(F.col("arm") == control).select("draw", F.col("value").alias("_b"))
+    return a.join(b, "draw").select("draw", (F.col("_a") - F.col("_b")).alias("d"))
+
+
+def subset_means(df: DataFrame, step: str, label: str, value: str, subsets: dict[str, list[str]]) -> DataFrame:
+    """Mean over each subset of labels by step; null where a step lacks one of them."""
+    means = [F.when(F.countDistinct(F.when(F.col(label).isin(s), F.col(label))) == len(s), F.avg(F.when(F.col(label).isin(s), F.col(value)))).alias(n) for n, s in subsets.items()]
+    return df.groupBy(step).agg(*means)
+
+
+def sign_counts(df: DataFrame, by: str) -> DataFrame:
+    """df (by, delta, lo, hi), one row a label: labels better (below 0) and worse than the control, and those whose
+    interval leaves 0 out."""
+    n = lambda c: F.count_if(c)
+    return df.groupBy(by).agg(n(F.col("delta") < 0).alias("better"), n(F.col("delta") > 0).alias("worse"), n(F.col("hi") < 0).alias("sure_better"), n(F.col("lo") > 0).alias("sure_worse"), F.count("*").alias("labels"))
+
+
+def grid_rows(spark, values: dict[str, list[float]]) -> DataFrame:
+    """Every combination of a few parameters' values, as rows."""
+    import itertools
+
+    rows = [tuple(float(x) for x in c) for c in itertools.product(*values.values())]
+    return spark.createDataFrame(rows, ", ".join(f"{n} double" for n in values))
+
+
+def complete_cells(df: DataFrame, row: str, column: str, value: str, rows: list[str], columns: list[str]) -> DataFrame:
+    """A matrix of rows and columns; a cell that is missing or null raises."""
+    from .gates import require
+
+    some = df.where(F.col(row).isin(rows) & F.col(column).isin(columns))
+    wide = some.groupBy(row).pivot(column, columns).agg(F.first(value))
+    lost = F.greatest(*[F.col(f"`{c}`").isNull() for c in columns]) if len(columns) > 1 else F.col(f"`{columns[0]}`").isNull()
+    require(wide.where(lost).select(row), "rows with missing cells")
+    if wide.count() != len(rows):
+        raise ValueError("rows are missing")
+    return wide
+
+
 def ladder(final: int, every: int = 125) -> list[int]:
     """Checkpoint steps: 0 and every `every`-th step up to final; a last gap under half a step width is closed by final."""
     steps = list(range(0, final + 1, every))

@@ -45,6 +45,26 @@ def identity_mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str)
     return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys, F.when(F.col("_a").isNull(), "only_right").when(F.col("_b").isNull(), "only_left").otherwise("differs").alias("kind"))
 
 
+def set_differences(found: DataFrame, required: DataFrame, key: str) -> DataFrame:
+    """Keys that one side lacks."""
+    a = required.select(key).distinct().exceptAll(found.select(key).distinct()).withColumn("kind", F.lit("missing"))
+    b = found.select(key).distinct().exceptAll(required.select(key).distinct()).withColumn("kind", F.lit("unexpected"))
+    return a.unionByName(b)
+
+
+def complete_sets(df: DataFrame, by: str, label: str, value: str, labels: list[str]) -> DataFrame:
+    """Groups that have a value of every label."""
+    some = df.where(F.col(label).isin(labels) & F.col(value).isNotNull())
+    return some.groupBy(by).agg(F.countDistinct(label).alias("_n")).where(F.col("_n") == len(labels)).select(by)
+
+
+def merged_values(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Values of two tables by key; a key that has different ones raises."""
+    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full_outer")
+    require(both.where(F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") != F.col("_b"))).select(*keys), "values in conflict")
+    return both.select(*keys, F.coalesce("_a", "_b").alias(value))
+
+
 def accepted(shards: DataFrame, by: str, failed: Column) -> DataFrame:
     return shards.groupBy(by).agg(F.count("*").alias("shards"), F.count_if(failed).alias("failures"), F.bool_and(~failed).alias("accepted"))
 

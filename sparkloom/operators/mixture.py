@@ -25,6 +25,36 @@ def check_simplex(mixes: DataFrame, tolerance: float = 2e-3) -> DataFrame:
     return mixes.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy("mix_id")))
 
 
+def load_mixtures(spark, path: str) -> DataFrame:
+    """A JSON file {mixture: {domain: weight}} -> (mix_id, domain, weight), checked and scaled; repeated names raise."""
+    import json
+
+    raw = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # a configuration file
+
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a name comes twice")
+        return dict(pairs)
+
+    found = json.loads(raw, object_pairs_hook=once)
+    rows = [(m, d, float(w)) for m, ws in found.items() for d, w in ws.items()]
+    return check_simplex(spark.createDataFrame(rows, "mix_id string, domain string, weight double"))
+
+
+def registered(mixes: DataFrame, name: str) -> DataFrame:
+    """One mixture of a registry; an unknown name raises."""
+    found = mixes.where(F.col("mix_id") == name)
+    if found.isEmpty():
+        raise KeyError(f"no mixture {name!r}")
+    return found
+
+
+def macro_predictions(mixes: DataFrame, laws: DataFrame, mix: str = "mix_id", r: str = "r") -> DataFrame:
+    """Mean over families of the predicted losses of each mixture. laws has a row a family."""
+    each = mixes.crossJoin(F.broadcast(laws)).select(mix, law(F.col("c"), F.col("k"), F.col("t"), F.col(r)).alias("_p"))
+    return each.groupBy(mix).agg(F.avg("_p").alias("macro"))
+
+
 def _solve(r: np.ndarray, y: np.ndarray, start: np.ndarray, delta: float, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Levenberg-Marquardt on Huber-weighted residuals; parameters ln c, ln k, t."""
     p, damp = start.copy(), 1e-2
@@ -186,6 +216,53 @@ def update_weights(weights: DataFrame, a: DataFrame, losses: DataFrame, eta: flo
     return d.select("domain", "p", (F.col("_w") / F.sum("_w").over(whole)).alias("p_after"))
 
 
+def optimise_global(laws: DataFrame, domains: int, low: float, high: float, candidates: int = 50_000, polished: int = 32, refined: int = 16, seed: int = 0) -> DataFrame:
+    """The mixture with the least mean predicted loss by random search: candidates are scored as rows, the best are
+    polished, and perturbations of the best of these once more. laws has a row a family and is sent to all tasks."""
+    rows = [(float(r.c), float(r.k), [float(x) for x in r.t]) for r in laws.orderBy("family").collect()]
+    c, k, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    lo, hi, rng = np.full(domains, low), np.full(domains, high), np.random.default_rng(seed)
+    value = lambda w: float((c + k * np.exp(np.clip(t @ w, -60, 60))).mean())
+
+    def polish(frames):
+        for f in frames:
+            out = []
+            for w in f.w:
+                w, rate = _project(np.asarray(w, float), lo, hi), 0.5
+                now = value(w)
+                while rate > 1e-9:
+                    new = _project(w - rate * ((k * np.exp(np.clip(t @ w, -60, 60)))[:, None] * t).mean(0), lo, hi)
+                    if value(new) < now - 1e-15:
+                        w, now, rate = new, value(new), rate * 1.3
+                    else:
+                        rate /= 3
+                out.append((w.tolist(), now))
+            yield pd.DataFrame(out, columns=["w", "loss"])
+
+    spark = laws.sparkSession
+    mean = sum((law(F.lit(c), F.lit(k), F.array(*[F.lit(x) for x in t]), F.col("w")) for c, k, t in rows), F.lit(0.0)) / len(rows)
+    start = simplex_candidates(spark, candidates, domains, seed, low, high).withColumn("_loss", mean).orderBy("_loss", "id").limit(polished)
+    best = start.select("w").repartition(8).mapInPandas(polish, "w array<double>, loss double").orderBy("loss").first()
+    near = [(_project(np.asarray(best.w) * np.exp(rng.normal(0, 0.03, domains)), lo, hi).tolist(),) for _ in range(refined)] + [(list(best.w),)]
+    return spark.createDataFrame(near, "w array<double>").mapInPandas(polish, "w array<double>, loss double").orderBy("loss").limit(1)
+
+
+def multiplied_weights(weights: DataFrame, a: DataFrame, losses: DataFrame, eta: float) -> DataFrame:
+    """update_weights as a product that is scaled afterwards, with its checks: the weights are a point of the simplex,
+    and adjacencies and losses are finite."""
+    from .gates import require
+
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    require(a.where(bad("a") | (F.col("a") < 0)).select("domain", "family"), "adjacencies that are negative or not finite")
+    require(losses.where(bad("loss")).select("family"), "losses that aren't finite")
+    total = weights.agg(F.sum("p"), F.min("p")).first()
+    if total[0] is None or abs(total[0] - 1) > 1e-6 or total[1] < 0:
+        raise ValueError("the weights aren't a point of the simplex")
+    pull = a.join(losses, "family").groupBy("domain").agg(F.sum(F.col("a") * F.col("loss")).alias("_s"))
+    d = weights.join(pull, "domain", "left").withColumn("_w", F.col("p") * F.exp(eta * F.coalesce("_s", F.lit(0.0))))
+    return d.select("domain", "p", (F.col("_w") / F.sum("_w").over(W.partitionBy())).alias("p_after"))
+
+
 def derivative_adjacency(t: Column, loss: Column, c: Column) -> Column:
     return F.greatest(F.lit(0.0), -t * (loss - c))
 
@@ -197,3 +274,21 @@ def boosted_surrogate(train: DataFrame, features: list[str], target: str, depth:
 
     data = VectorAssembler(inputCols=features, outputCol="_f").transform(train)
     return GBTRegressor(featuresCol="_f", labelCol=target, maxDepth=depth, maxIter=rounds, seed=0).fit(data)
+
+
+def surrogate_grid(runs: DataFrame, features: list[str], target: str, depths: list[int], rounds: list[int], folds: int, key: str) -> DataFrame:
+    """(depth, rounds, rmse, mae): settings of the surrogate by their error on held-out folds, best first."""
+    from pyspark.ml.feature import VectorAssembler
+
+    fold = F.pmod(F.xxhash64(key), F.lit(folds))
+    parts, spark = [], runs.sparkSession
+    for depth in depths:
+        for n in rounds:
+            for i in range(folds):
+                model = boosted_surrogate(runs.where(fold != i), features, target, depth, n)
+                held = VectorAssembler(inputCols=features, outputCol="_f").transform(runs.where(fold == i))
+                e = F.col("prediction") - F.col(target)
+                r = model.transform(held).agg(F.sum(e * e).alias("s"), F.sum(F.abs(e)).alias("a"), F.count("*").alias("n")).first()
+                parts.append((depth, n, r.s or 0.0, r.a or 0.0, r.n))
+    d = spark.createDataFrame(parts, "depth int, rounds int, s double, a double, n long").groupBy("depth", "rounds").agg(F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), (F.sum("a") / F.sum("n")).alias("mae"))
+    return d.orderBy("rmse", "mae", "depth", "rounds")

@@ -89,6 +89,25 @@ def band_topup(df: DataFrame, by: str = "domain") -> DataFrame:
     return df.groupBy(by).applyInPandas(pick, df.schema)
 
 
+def trim_topup(df: DataFrame, by: str = "domain", tolerance: float = 0.1) -> DataFrame:
+    """Trims added files back into the band: smallest first until a domain reaches plan / (1 + tolerance); a file that
+    would pass plan / (1 - tolerance) is only taken if the sum is then within the tolerance of the plan. df: domain, path,
+    tokens, plan, have. State-dependent, so one task a domain; a domain's list of files is small."""
+    def pick(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["tokens", "path"])
+        have, plan, kept = float(g.have.iloc[0]), float(g.plan.iloc[0]), []
+        low, high = plan / (1 + tolerance), plan / (1 - tolerance)
+        for i, n in enumerate(g.tokens):
+            if have >= low:
+                break
+            if have + n <= high or (have + n and abs(plan - have - n) / (have + n) <= tolerance):
+                kept.append(i)
+                have += n
+        return g.iloc[kept]
+
+    return df.groupBy(by).applyInPandas(pick, df.schema)
+
+
 def trim_to_budget(docs: DataFrame, tokens: str, target: int, order: Column) -> DataFrame:
     """Rows in order up to a token target. Below 98 % of it every row is kept, by a running sum; in the last 2 % rows
     that would pass 102 % are skipped, one after the other.

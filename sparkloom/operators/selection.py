@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators.running import ranked, with_totals
 
 ROW = "instance_id"
-METHODS = ("full", "random", "rho_excess", "rel_ema", "middle_ppl", "attention_topk")
+METHODS = ("full", "random", "rho_excess", "rel_ema", "middle_ppl", "blade", "attention_topk")
 
 
 def uniform(tag: str, seed: int, *keys: Column) -> Column:
@@ -55,6 +55,8 @@ def select_tokens(df: DataFrame, method: str, fraction: float = 1.0, seed: int =
         return top_fraction(df, F.col("current") - F.col("history"), fraction, seed)
     if method == "middle_ppl":
         return middle_fraction(df, F.col("reference"), fraction, seed)
+    if method == "blade":
+        return top_fraction(df, F.col("proxy") - F.col("reference"), fraction, seed)
     if method == "attention_topk":
         return top_fraction(df, F.col("z"), fraction, seed)
     raise ValueError(f"unknown method: {method!r}")
@@ -96,6 +98,27 @@ def ema(df: DataFrame, key: str, step: str, value: str, alpha: float) -> DataFra
     return g.select(key, "n", (F.col("m") / (1 - F.power(F.lit(1 - alpha), F.col("n")))).alias("ema"))
 
 
+def keep_rate_bins(df: DataFrame, width: int, low: float, high: float) -> DataFrame:
+    """Share of valid tokens kept by bin of positions, and whether it lies within bounds; a bin without any doesn't."""
+    g = df.groupBy(F.floor(F.col("pos") / width).cast("long").alias("bin")).agg(F.count_if("valid").alias("valid"), F.count_if(F.col("valid") & (F.col("weight") == 1)).alias("kept"))
+    rate = F.try_divide("kept", "valid")
+    return g.withColumn("rate", rate).withColumn("within", F.coalesce(F.col("rate").between(low, high), F.lit(False)))
+
+
+def planned_weight(df: DataFrame, fraction: float) -> DataFrame:
+    """The weight that a selection is planned to have: the sum of what each instance keeps."""
+    each = df.groupBy(ROW).agg(F.count_if("valid").alias("_n"))
+    return each.agg(F.sum(keep_count(F.col("_n"), fraction)).cast("long").alias("planned"), F.count("*").alias("instances"))
+
+
+def gather(table: DataFrame, wanted: DataFrame, key: str = ROW) -> DataFrame:
+    """Rows of a table by id, for every wanted one; an id that the table hasn't raises."""
+    from .gates import require
+
+    require(wanted.join(table, key, "left_anti").select(key), "rows that the table hasn't")
+    return wanted.select(key).distinct().join(table, key)
+
+
 def weighted_loss(df: DataFrame, loss: str, planned: float | None = None) -> DataFrame:
     """Mean loss of the chosen tokens; a sum of weights that isn't the planned one raises."""
     out = df.agg((F.sum(F.col(loss) * F.col("weight")) / F.sum("weight")).alias("loss"), F.sum("weight").alias("weight"))

@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from sparkloom.plans import analytics, corpus, upkeep
+from sparkloom.plans import analytics, choices, corpus, rebuilding, upkeep
 
-QUERIES, SQL = corpus.QUERIES | analytics.QUERIES | upkeep.QUERIES, corpus.SQL | analytics.SQL | upkeep.SQL
+QUERIES = corpus.QUERIES | analytics.QUERIES | upkeep.QUERIES | rebuilding.QUERIES | choices.QUERIES
+SQL = corpus.SQL | analytics.SQL | upkeep.SQL | rebuilding.SQL | choices.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
