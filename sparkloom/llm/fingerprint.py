@@ -24,6 +24,7 @@ K, BINS, TUPLE = 8, 64, 2
 BIN_BITS = 6
 #: Bits of a sort key that hold the position; longer texts are sorted by two keys.
 POSITION_BITS = 24
+LONGEST = 1 << POSITION_BITS
 #: Selected k-mers a bin that a first pass expects; bins left short make it a full pass.
 EXPECTED = 12
 
@@ -58,7 +59,7 @@ def sketch(text: str | None) -> np.ndarray:
     if not n:
         return out
     low = np.uint64((1 << POSITION_BITS) - 1)
-    if n <= 1 << POSITION_BITS:
+    if n <= LONGEST:
         key = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))
         kmer, place = key & ~low, (key & low).astype(np.int64)
     else:
@@ -109,30 +110,32 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     Next is by descending id (rows without an id last; equal ids by a hash of their text), after the last the first.
-    The texts are shuffled once, into ranges of ids that each also get the first row of the next range."""
+    The texts are shuffled once, into ranges of ids (and, without an id, of the texts' hashes) that each also get the
+    first row of the next range."""
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ids = slim.select("doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-
-    def bucket(c: F.Column) -> F.Column:
-        above = F.aggregate(F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda n, x: n + (x > c).cast("int")) if cuts else F.lit(0)
-        return F.when(c.isNull(), F.lit(len(cuts))).otherwise(above).cast("int")
-
-    # the first id of each range: one row a range, whatever the data
-    firsts = ids.groupBy(bucket(F.col("doc_id")).alias("b")).agg(F.max("doc_id").alias("first")).orderBy("b").collect()
-    first_of, back = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    about = slim.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    cuts = sorted(set(about.cuts or []))
+    nameless = max(1, -(-about.none * parts // max(1, about.n)))  # ranges of rows without an id
+    ranges = len(cuts) + 1 + nameless
+
+    key, none = F.col("doc_id"), F.col("doc_id").isNull()
+    hashed = F.when(none, F.xxhash64("text"))
+    above = F.aggregate(F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda n, x: n + (x > key).cast("int")) if cuts else F.lit(0)
+    part = F.least(F.floor((hashed / float(1 << 64) + 0.5) * nameless), F.lit(nameless - 1))
+    slim = slim.withColumn("_b", F.when(none, part + len(cuts) + 1).otherwise(above).cast("int"))
+    # the first row of each range: one row a range, whatever the data
+    firsts = slim.groupBy(F.col("_b").alias("b")).agg(F.coalesce(F.max("doc_id"), F.min(hashed)).alias("first")).orderBy("b").collect()
+    first_of, back = [None] * ranges, [0] * ranges
     for i, row in enumerate(firsts):
         first_of[row.b], back[row.b] = row.first, firsts[i - 1].b
-    rows = slim.withColumn("_b", bucket(F.col("doc_id")))
     first = F.element_at(F.array(*[F.lit(x).cast("long") for x in first_of]), F.col("_b") + 1)
     ahead = F.struct(F.element_at(F.array(*[F.lit(x) for x in back]), F.col("_b") + 1).alias("b"), F.lit(True).alias("ahead"))
     own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("ahead"))
-    dealt = rows.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(first), F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
+    dealt = slim.select("doc_id", "text", F.explode(F.when(F.coalesce(hashed, key) == first, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
     dealt = dealt.select("doc_id", "text", F.col("to.b").alias("b"), F.col("to.ahead").alias("ahead"))
-    ordered = dealt.repartitionById(max(1, len(cuts) + 1), F.col("b")).sortWithinPartitions("b", "ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    ordered = dealt.repartitionById(ranges, F.col("b")).sortWithinPartitions("b", "ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

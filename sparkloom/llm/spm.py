@@ -400,8 +400,7 @@ def encode(docs: DataFrame, model: SentencePieceModel, text: str = "text", check
                 arrays = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in kept]
                 arrays += [pa.array(totals), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(totals)].astype(np.int32)), pa.array(ids))]
                 if check:
-                    want = [t.replace(SPACE, " ") for t in texts[a:b]]
-                    arrays.append(pa.array([x == y for x, y in zip(enc.decode(ids, totals), want)]))
+                    arrays.append(pa.array([x == y for x, y in zip(enc.decode(ids, totals), texts[a:b])]))
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in kept] + list(outs))
 
     schema = T.StructType(kept + [T.StructField(k, v) for k, v in outs.items()])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import fingerprint as fp
 from sparkloom.llm.queries import op5_order_minhash
@@ -34,11 +35,23 @@ def test_sketch_equals_plain(n):
     assert fp.sketch("ab" * n).tolist() == plain("ab" * n)
 
 
-def test_long_texts_use_two_keys(monkeypatch):
-    text = " ".join(f"w{i * i % 101}" for i in range(900))
-    want = fp.sketch(text)
-    monkeypatch.setattr(fp, "POSITION_BITS", 24)
-    assert (fp.sketch(text) == want).all()
+def test_longest_texts_are_sorted_otherwise_and_give_the_same(monkeypatch):
+    texts = [" ".join(f"w{i * i % 101}" for i in range(n)) for n in (3, 40, 900)] + ["ab" * 500, "x"]
+    want = [fp.sketch(t).tolist() for t in texts]
+    assert [plain(t) for t in texts] == want
+    monkeypatch.setattr(fp, "LONGEST", 5)
+    assert [fp.sketch(t).tolist() for t in texts] == want
+
+
+def test_rows_without_an_id_spread_and_keep_their_order(spark):
+    rows = [(None, f"text number {i * 7919 % 1000} of many") for i in range(300)] + [(i, f"other {i}") for i in range(20)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = [r.text or "" for r in df.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    want = sorted((t, round(fp.likeness(fp.sketch(t), fp.sketch(n)), 9)) for t, n in zip(ordered, ordered[1:] + ordered[:1]))
+    hashes = {t: fp.written(fp.sketch(t)) for t in ordered}
+    got = fp.edited_pairs(df)
+    assert sorted((r.fingerprint, round(r.near_next, 9)) for r in got.collect()) == sorted((hashes[t], x) for t, x in want)
+    assert got.groupBy(F.spark_partition_id()).count().count() > 2
 
 
 def test_likeness_falls_with_edits_and_sees_order():

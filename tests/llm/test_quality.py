@@ -27,6 +27,38 @@ def test_scores_ignore_labels_of_held_out_rows_and_other_columns(spark, sf_dir):
     assert (a == b).all()
 
 
+def test_training_equals_a_plain_version():
+    """Follow the regularised leader with dictionaries, one coordinate at a time."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(" ".join(rng.choice(words[: 40 if y else 60], rng.integers(0, 40))), int(y)) for y in rng.integers(0, 2, 80)]
+    z, n = {}, {}
+
+    def weight(i, bias):
+        l1, l2 = (0.0, 0.0) if bias else (quality.L1, quality.L2)
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1.0 if z.get(i, 0.0) > 0 else -1.0
+        return -(z[i] - sign * l1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + l2)
+
+    for _ in range(quality.EPOCHS):
+        for text, y in rows:
+            at, x = quality.features(text)
+            pairs = [*zip(at.tolist(), x.tolist()), (quality.DIMS, 1.0)]
+            w = {i: weight(i, i == quality.DIMS) for i, _ in pairs}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - y) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.fit_rows([(*quality.features(t), y) for t, y in rows])
+    want = np.zeros(quality.DIMS + 1)
+    for i in z:
+        want[i] = weight(i, i == quality.DIMS)
+    assert np.count_nonzero(want) > 20 and np.allclose(got, want, atol=1e-9)
+
+
 def test_text_score_equals_sparse_dot_product():
     rng = np.random.default_rng(0)
     w = rng.normal(size=quality.DIMS + 1)
