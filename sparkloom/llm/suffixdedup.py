@@ -37,7 +37,7 @@ MIN_WORDS, GRAM = 50, 16
 WINDOW = MIN_WORDS - GRAM + 1
 PERIODS = 4
 #: Suffixes with one gram that are compared as one list.
-LISTED = 4096
+LISTED = 1024
 #: Suffixes of a document that are written at a time.
 AT_ONCE = 4096
 
