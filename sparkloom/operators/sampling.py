@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sparkloom.operators.running import ranked, running_totals, with_totals
 
 
+CUTS = 256
+
+
 def hash_order(seed: int | str, *keys: Column) -> Column:
     """An ordering key that other engines can compute too."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
@@ -62,14 +65,17 @@ def plan_without_replacement(items: DataFrame, counts: DataFrame, seed: int, by:
 
 
 def draw_with_replacement(slots: DataFrame, weights: DataFrame, seed: int) -> DataFrame:
-    """A domain for every slot by hash and cumulative weight; the same for any number of partitions."""
+    """A domain for every slot by hash and cumulative weight; the same for any number of partitions. Shares are cut at
+    CUTS even points, which makes it an equi-join. weights has a row a domain."""
     cum = F.sum("weight").over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("weight").over(W.partitionBy())
     bounds = weights.select("domain", ((cum - F.col("weight")) / total).alias("lo"), (cum / total).alias("hi"), "ord")
     top = bounds.agg(F.max("ord")).first()[0]
     bounds = bounds.withColumn("hi", F.when(F.col("ord") == top, F.lit(2.0)).otherwise(F.col("hi")))
     u = F.conv(F.substring(hash_order(seed, F.col("slot")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return slots.withColumn("u", u).join(F.broadcast(bounds), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "domain")
+    cut = F.explode(F.sequence(F.floor(F.col("lo") * CUTS), F.floor(F.least(F.col("hi"), F.lit(1.0)) * CUTS)))
+    drawn = slots.withColumn("u", u).withColumn("_cut", F.floor(F.col("u") * CUTS))
+    return drawn.join(bounds.withColumn("_cut", cut), "_cut").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "domain")
 
 
 def band_topup(df: DataFrame, by: str = "domain") -> DataFrame:

@@ -10,6 +10,7 @@ from sparkloom.functions import chat, text
 from sparkloom.operators import contamination as con
 from sparkloom.operators import gates, relational, sampling
 from sparkloom.operators.running import ranked, with_totals
+from sparkloom.staging import balanced
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,6 +30,11 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose texts are worked on."""
+    return balanced(t(spark, d, "documents"))
+
+
 def shards(spark: SparkSession, d: str) -> DataFrame:
     """Orders as a shard listing: path, size in bytes, domain."""
     return t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.floor("o_totalprice").cast("long").alias("size"), F.col("o_orderpriority").alias("domain"))
@@ -54,7 +60,7 @@ COLLAPSED = """found AS (SELECT h.doc_id, CAST(count(DISTINCT p) AS BIGINT) AS m
 # --- contamination --------------------------------------------------------------------------------------------------
 @query("jn06_contam_hits", f"WITH {HITS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(width AS BIGINT) AS width, item_id FROM hits")
 def contam_hits(spark, d):
-    return con.scan(t(spark, d, "documents"), t(spark, d, "benchmark"))
+    return con.scan(documents(spark, d), t(spark, d, "benchmark"))
 
 
 @query("ag12_contam_doc_hits", f"WITH {HITS}, {COLLAPSED} SELECT * FROM found")
@@ -71,7 +77,7 @@ RATES = f"""WITH {HITS}, {COLLAPSED}, r AS (
 @query("contam_rate_by_source", f"{RATES} SELECT *, round(matched_documents / docs_scanned, 10) AS matched_document_rate, round(matched_span_words / nullif(words_scanned, 0), 10) AS matched_span_word_rate FROM r")
 def contam_rate_by_source(spark, d):
     """AG-08 with JN-06 and AG-12: the flagship."""
-    return con.rates_by_source(t(spark, d, "documents"), t(spark, d, "benchmark"))
+    return con.rates_by_source(documents(spark, d), t(spark, d, "benchmark"))
 
 
 @query("ag09_contam_totals", f"""WITH {HITS}, j AS (SELECT DISTINCT source, h.doc_id, item_id FROM hits h JOIN documents d ON d.doc_id = h.doc_id)

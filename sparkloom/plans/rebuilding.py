@@ -12,9 +12,9 @@ from sparkloom.operators import coverage, gates, rebuild, relational, sampling
 from sparkloom.operators.running import ranked, running_totals
 from sparkloom.sources import files, listings, writers
 from sparkloom.staging import scratch
-from sparkloom.streaming import state
+from sparkloom.streaming import logs, state
 
-from .corpus import DOC_WORDS, NORM, OBJECT, OBJECTS, SPANS, spans, t
+from .corpus import DOC_WORDS, NORM, OBJECT, OBJECTS, SPANS, documents, spans, t
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,7 +56,7 @@ def field_hits(spark: SparkSession, d: str) -> DataFrame:
     """(domain, item_id, field) found in the documents."""
     i = items(spark, d)
     long = i.select(F.explode(F.array(*[F.struct((F.col("item_id") * 2 + k).alias("item_id"), F.col(f).alias("text")) for k, f in enumerate(coverage.FIELDS)])).alias("r")).select("r.*")
-    docs = t(spark, d, "documents")
+    docs = documents(spark, d)
     hits = con.scan(docs, long).select("doc_id", "item_id").distinct().join(docs.select("doc_id", F.col("source").alias("domain")), "doc_id")
     field = F.when(F.col("item_id") % 2 == 0, "stem").otherwise("gold")
     return hits.select("domain", F.floor(F.col("item_id") / 2).alias("item_id"), field.alias("field")).distinct()
@@ -430,6 +430,16 @@ def changed_fields(spark, d):
     return state.changed_fields(row("b"), row("a"), "loader")
 
 
+@query("ss07_rewritten_curve", "WITH a AS (SELECT user_id AS step, avg(value) AS loss FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id AS step, max(value) AS loss FROM events WHERE event_type = 'view' AND user_id % 3 = 0 GROUP BY 1) SELECT step, round(coalesce(b.loss, a.loss), 8) AS loss FROM a FULL JOIN b USING (step)")
+def rewritten_curve(spark, d):
+    """A curve, and a batch that replaces some of its steps and adds others."""
+    path, e = scratch(spark, "curve"), t(spark, d, "events").withColumnRenamed("user_id", "step")
+    batches = (e.where("event_type = 'click'").groupBy("step").agg(F.avg("value").alias("loss")), e.where("event_type = 'view' and step % 3 = 0").groupBy("step").agg(F.max("value").alias("loss")))
+    for b in batches:
+        logs.upsert_steps(b, path, ["step"])
+    return logs.latest_steps(spark, path, "step long, loss double").withColumn("loss", F.round("loss", 8))
+
+
 @query("hx20_normalised_weights", "WITH w AS (SELECT o_orderpriority AS mix, o_orderstatus AS domain, count(*) AS weight FROM orders GROUP BY 1, 2), o AS (SELECT unnest(['P', 'O', 'F']) AS domain, unnest([0, 1, 2]) AS ord) SELECT mix, ord, domain, weight / sum(weight) OVER (PARTITION BY mix) AS weight FROM w JOIN o USING (domain)")
 def normalised_weights(spark, d):
     w = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("mix"), F.col("o_orderstatus").alias("domain")).agg(F.count("*").cast("double").alias("weight"))

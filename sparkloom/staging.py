@@ -41,6 +41,24 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Tables estimated below this many bytes may be fewer units of work than there are cores.
+SMALL = 64 << 20
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it is small: a small table may come as one unit that tasks can't share, such as a Parquet file
+    of one row group. Larger tables are left as they are, and the rows are the same."""
+    sc = df.sparkSession.sparkContext
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(sc.defaultParallelism) if size < SMALL and sc.defaultParallelism > 1 else df
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what is no longer read below a path in the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it until no column of df has it (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

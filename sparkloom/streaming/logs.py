@@ -30,6 +30,28 @@ def append_new_steps(spark: SparkSession, batch: DataFrame, out: str, keys: list
     new.write.mode("append").parquet(out)
 
 
+def upsert_steps(batch: DataFrame, path: str, keys: list[str]) -> None:
+    """A table keyed by step whose rows a batch replaces or adds to. Each version is a folder of its own; a small file
+    names the latest, and is replaced whole, so a cut run leaves the version before. The batch has each key once."""
+    from sparkloom.sources.writers import read_json, write_json
+
+    spark = batch.sparkSession
+    now = read_json(spark, f"{path}/latest.json")
+    if now:
+        old = spark.read.schema(batch.schema).parquet(f"{path}/{now['version']:08d}")
+        batch = old.join(batch.select(*keys), keys, "left_anti").select(*batch.columns).unionByName(batch)
+    new = now["version"] + 1 if now else 1
+    batch.write.mode("overwrite").parquet(f"{path}/{new:08d}")
+    write_json(spark, f"{path}/latest.json", {"version": new})
+
+
+def latest_steps(spark: SparkSession, path: str, schema) -> DataFrame:
+    from sparkloom.sources.writers import read_json
+
+    now = read_json(spark, f"{path}/latest.json")
+    return spark.read.schema(schema).parquet(f"{path}/{now['version']:08d}") if now else spark.createDataFrame([], schema)
+
+
 def weight_trajectory(updates: DataFrame, start: dict[str, float], eta: float) -> DataFrame:
     """Multiplicative weights carried from step to step: updates (step, domain, pull) -> (step, domain, p_after).
 
