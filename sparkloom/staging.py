@@ -46,11 +46,11 @@ SMALL = 64 << 20
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    """df, dealt anew if it is small: a small table may come as one unit that tasks can't share, such as a Parquet file
-    of one row group. Larger tables are left as they are, and the rows are the same."""
-    sc = df.sparkSession.sparkContext
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return df.repartition(sc.defaultParallelism) if size < SMALL and sc.defaultParallelism > 1 else df
+    """df, dealt anew if it is small and in fewer parts than there are cores: a small table may come as one unit that tasks
+    can't share, such as a Parquet file of one row group. Others are left as they are, and the rows are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL and df.rdd.getNumPartitions() < cores else df
 
 
 def discard(spark: SparkSession, path: str) -> None:
