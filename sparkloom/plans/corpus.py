@@ -10,7 +10,7 @@ from sparkloom.functions import chat, text
 from sparkloom.operators import contamination as con
 from sparkloom.operators import gates, relational, sampling
 from sparkloom.operators.running import ranked, with_totals
-from sparkloom.staging import balanced
+from sparkloom.staging import balanced, checkpoint
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,7 +92,7 @@ SELECT 'even' AS mix_id, round(sum(rate / n.n), 10) AS exposure FROM rr, n UNION
 def exposure_by_mixture(spark, d):
     from pyspark.sql import Window as W
 
-    rates = contam_rate_by_source(spark, d).select("source", "matched_document_rate")
+    rates = checkpoint(contam_rate_by_source(spark, d).select("source", "matched_document_rate"))
     k = rates.select("source", F.row_number().over(W.orderBy("source")).alias("k"), F.count("*").over(W.partitionBy()).alias("n"))
     total = F.sum("k").over(W.partitionBy())
     even = k.select(F.lit("even").alias("mix_id"), "source", (1 / F.col("n")).alias("weight"))
