@@ -7,9 +7,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.staging import checkpoint, free_name, scratch, shared_dir
+from sparkloom.staging import balanced, checkpoint, discard, free_name, scratch, shared_dir
 
-__all__ = ["CHUNK_CHARS", "SPACES", "WORD", "checkpoint", "chunked", "free_name", "n_matches", "n_words", "scratch", "shared_dir", "table"]
+__all__ = ["CHUNK_CHARS", "SPACES", "WORD", "checkpoint", "chunked", "discard", "free_name", "n_matches", "n_words", "scratch", "shared_dir", "table"]
 
 #: Java regular expression of a word: anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +19,8 @@ CHUNK_CHARS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(df) if name == "documents" else df  # whose texts are the work
 
 
 def n_matches(text: Column, token: str, skip: str = SPACES) -> Column:
