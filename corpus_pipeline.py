@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing, pii, quality, shingled, simhash, spm
-from sparkloom.llm.common import checkpoint, free_name, scratch, table
+from sparkloom.llm.common import checkpoint, discard, free_name, scratch, table
 from sparkloom.llm.queries import MODEL, TOKENIZERS
 
 
@@ -89,4 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
         docs = spark.read.parquet(f"{base}/{i}-{name}")
+        if i:  # its predecessor's rows have been read
+            discard(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
