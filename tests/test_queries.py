@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from sparkloom.plans import analytics, choices, corpus, rebuilding, upkeep
+from sparkloom.plans import analytics, choices, corpus, reading, rebuilding, upkeep
 
-QUERIES = corpus.QUERIES | analytics.QUERIES | upkeep.QUERIES | rebuilding.QUERIES | choices.QUERIES
-SQL = corpus.SQL | analytics.SQL | upkeep.SQL | rebuilding.SQL | choices.SQL
+QUERIES = corpus.QUERIES | analytics.QUERIES | upkeep.QUERIES | rebuilding.QUERIES | choices.QUERIES | reading.QUERIES
+SQL = corpus.SQL | analytics.SQL | upkeep.SQL | rebuilding.SQL | choices.SQL | reading.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
