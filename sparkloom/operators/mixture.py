@@ -116,14 +116,12 @@ def leave_one_out(runs: DataFrame, domains: int, **options) -> DataFrame:
 
 
 def _project(w: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The nearest point of the simplex between bounds, by bisection on the shift."""
-    a, b = (w - high).min() - 1, (w - low).max() + 1
+    """The nearest point of the simplex between bounds, of each row, by bisection on the shift."""
+    a, b = (w - high).min(-1, keepdims=True) - 1, (w - low).max(-1, keepdims=True) + 1
     for _ in range(100):
         m = (a + b) / 2
-        if np.clip(w - m, low, high).sum() > 1:
-            a = m
-        else:
-            b = m
+        over = np.clip(w - m, low, high).sum(-1, keepdims=True) > 1
+        a, b = np.where(over, m, a), np.where(over, b, m)
     return np.clip(w - (a + b) / 2, low, high)
 
 
@@ -168,8 +166,7 @@ def simplex_candidates(spark, n: int, domains: int, seed: int, low: float = 0.0,
 
     def move(frames):
         for f in frames:
-            f["w"] = [_project(np.asarray(x, float), np.full(domains, low), np.full(domains, high)).tolist() for x in f.w]
-            yield f
+            yield f.assign(w=list(_project(np.stack(f.w.to_numpy()).astype(float), np.full(domains, low), np.full(domains, high)))) if len(f) else f
 
     return df.mapInPandas(move, "id long, w array<double>")
 

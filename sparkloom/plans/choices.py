@@ -322,7 +322,7 @@ def global_search(spark, d):
 @query("ml06_surrogate_grid")
 def surrogate_grid(spark, d):
     data = law_runs(spark).where("family = 'f0'").select("run", *[F.element_at("r", i + 1).alias(f"w{i}") for i in range(3)], "y")
-    return mixture.surrogate_grid(data, ["w0", "w1", "w2"], "y", [2, 3], [5, 20], 3, "run")
+    return mixture.surrogate_grid(data, ["w0", "w1", "w2"], "y", [2, 3], [5], 3, "run")
 
 
 @query("hx27_sampled_instances", "SELECT vec_id FROM embeddings ORDER BY md5('diagnostic:' || vec_id), vec_id LIMIT 64")
