@@ -20,9 +20,10 @@ def profile_fit(points: DataFrame, grid: DataFrame, run: str = "run", step: str
     crossed = points.select(run, step, loss).crossJoin(F.broadcast(grid)).withColumn("_x", x)
     fits = crossed.groupBy(run, "alpha").agg(
         F.regr_slope(y, F.col("_x")).alias("b"), F.regr_intercept(y, F.col("_x")).alias("a"),
-        (F.regr_syy(y, F.col("_x")) - F.power(F.regr_sxy(y, F.col("_x")), 2) / F.regr_sxx(y, F.col("_x"))).alias("sse"),
+        (F.regr_syy(y, F.col("_x")) - F.try_divide(F.power(F.regr_sxy(y, F.col("_x")), F.lit(2)), F.regr_sxx(y, F.col("_x")))).alias("sse"),
     )
-    best = fits.groupBy(run).agg(F.min_by(F.struct("alpha", "a", "b", "sse"), F.struct("sse", "alpha")).alias("f"))
+    # a run of one step has no fit: nulls
+    best = fits.groupBy(run).agg(F.min_by(F.struct("alpha", "a", "b", "sse"), F.when(F.col("sse").isNotNull(), F.struct("sse", "alpha"))).alias("f"))
     return best.select(run, "f.alpha", "f.a", "f.b", "f.sse")
 
 

@@ -183,11 +183,11 @@ def paired_differences(spark, d):
     return x.agg(F.count("*").alias("n"), F.round(F.avg("d"), 4).alias("mean"), p(0.025).alias("lo"), p(0.975).alias("hi"))
 
 
-@query("jn15_alpha_by_draw", """WITH y AS (SELECT p_brand || ':' || p_partkey % 2 AS run, p_size AS step, avg(p_retailprice) / 1000 + 3 / sqrt(p_size) AS loss FROM part GROUP BY 1, 2), g AS (SELECT 0.05 + i * (2.95 / 39) AS alpha FROM range(40) r(i)),
+@query("jn15_alpha_by_draw", """WITH y AS (SELECT 'd' || p_partkey % 4 AS run, p_size AS step, avg(p_retailprice) / 1000 + 3 / sqrt(p_size) AS loss FROM part GROUP BY 1, 2), g AS (SELECT 0.05 + i * (2.95 / 39) AS alpha FROM range(40) r(i)),
 f AS (SELECT run, alpha, regr_syy(loss, x) - regr_sxy(loss, x) ** 2 / regr_sxx(loss, x) AS sse FROM (SELECT run, alpha, loss, pow(CAST(step AS DOUBLE), -alpha) AS x FROM y, g) GROUP BY 1, 2) SELECT run, round(arg_min(alpha, sse), 6) AS alpha FROM f GROUP BY 1""")
 def alpha_by_draw(spark, d):
-    """Every draw of every run against every alpha; the draws here are halves of the parts."""
-    p = t(spark, d, "part").groupBy(F.concat_ws(":", "p_brand", F.col("p_partkey") % 2).alias("run"), F.col("p_size").alias("step")).agg(F.avg("p_retailprice").alias("v"))
+    """Every draw of every run against every alpha; the draws here are fourths of the parts."""
+    p = t(spark, d, "part").groupBy(F.concat(F.lit("d"), F.col("p_partkey") % 4).alias("run"), F.col("p_size").alias("step")).agg(F.avg("p_retailprice").alias("v"))
     p = p.select("run", "step", (F.col("v") / 1000 + 3 / F.sqrt("step")).alias("loss"))
     return curves.profile_fit(p, curves.alpha_grid(spark, 40)).select("run", F.round("alpha", 6).alias("alpha"))
 

@@ -267,3 +267,9 @@ def test_the_first_file_of_a_step_wins(spark, tmp_path):
         os.utime(tmp_path / "in" / f"{name}.json", (1_700_000_000 + 10 * i,) * 2)
     logs.poll_results(spark, str(tmp_path / "in"), "step long, values map<string,double>", ["x"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [r["values"]["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1.0]
+
+
+def test_a_run_of_one_step_has_no_fit(spark):
+    rows = [("one", 5, 1.0), *[("r", s, 1.5 + 4 * s**-0.5) for s in range(1000, 6000, 500)]]
+    fits = {r.run: r for r in curves.profile_fit(spark.createDataFrame(rows, "run string, step int, loss double"), curves.alpha_grid(spark)).collect()}
+    assert fits["one"].alpha is None and fits["r"].alpha == pytest.approx(0.5, abs=0.01)
