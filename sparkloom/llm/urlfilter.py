@@ -2,7 +2,8 @@
 
 Level by level the path segments under a host's node are generalised: segments with digits, and all segments of a node
 with very many children, become wildcards; branches whose share of labelled bad pages doesn't differ significantly
-from their siblings' (or that have too few labels to tell) merge into the wildcard too. A template is rejected when its
+from their siblings' merge into the wildcard too; a branch with too few labels to tell is judged by the same branch on all
+hosts, and merges if MIN_HOSTS of them can't tell either. A template is rejected when its
 smoothed bad share reaches REJECT: its own labels count, and so do those of the same template on other hosts, so hosts
 that no label reaches are judged by what the template is like elsewhere. Labels come from the rules' own verdicts
 (block: bad) and, if given, from labelled URLs. Explicit rules always win.
@@ -29,6 +30,8 @@ MIN_LABELLED = 5
 MIN_HOSTS = 5
 Z = 1.96
 REJECT = 0.9
+#: The share that a template with few labels of its own must reach.
+REJECT_AFAR = 0.98
 PRIOR = 2.0
 #: (verdict, rule): a host, a slash and the start of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -76,16 +79,23 @@ def templates(paths: DataFrame) -> DataFrame:
         seen = left.withColumn("seg", F.get("segs", F.lit(level - 1))).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
         node = seen.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.count("*").alias("_kids"), F.sum("n").alias("_n"), F.sum("labels").alias("_labels"), F.sum("bad").alias("_nbad"))
         many = (F.col("_kids") > MANY_CHILDREN) & (F.col("_kids") > CHILD_SHARE * F.col("_n"))
-        apart = (F.col("labels") >= MIN_LABELLED) & F.coalesce(_differs(F.col("bad"), F.col("labels"), F.col("_nbad"), F.col("_labels")), F.lit(False))
-        kept = seen.join(node, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).where((F.col("seg") != WILD) & ~many & apart)
+        # the same branches on all hosts, for those that have too few labels of their own
+        wide = seen.groupBy(F.col("template").alias("_wt"), F.col("seg").alias("_ws")).agg(F.sum("labels").alias("_wl"), F.sum("bad").alias("_wb"), F.count_if(F.col("labels") > 0).alias("_wh"))
+        whole = seen.groupBy(F.col("template").alias("_at")).agg(F.sum("labels").alias("_al"), F.sum("bad").alias("_ab"))
+        wide = checkpoint(wide.join(whole, F.col("_wt") == F.col("_at")).where((F.col("_wl") >= MIN_LABELLED) & (F.col("_wh") >= MIN_HOSTS)))
+        sure = lambda bad, n, all_bad, all_n: F.coalesce(_differs(F.col(bad), F.col(n), F.col(all_bad), F.col(all_n)), F.lit(False))
+        enough = F.col("labels") >= MIN_LABELLED
+        apart = (enough & sure("bad", "labels", "_nbad", "_labels")) | (~enough & F.col("_wt").isNotNull() & sure("_wb", "_wl", "_ab", "_al"))
+        known = seen.join(node, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).join(wide, (F.col("template") == F.col("_wt")) & (F.col("seg") == F.col("_ws")), "left")
+        kept = known.where((F.col("seg") != WILD) & ~many & apart)
         kept = kept.select("_h", "_t", F.col("seg").alias("_s"))
         here = F.get("segs", F.lit(level - 1))
         on = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (here == F.col("_s"))
         at = at.join(kept, on, "left").withColumn("template", F.when(F.size("segs") < level, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_s", F.lit(WILD))))).drop("_h", "_t", "_s")
         at = checkpoint(at)
         left = at.where(F.size("segs") > level)
-        rows, nodes = left.agg(F.count("*"), F.countDistinct("host", "template")).first()
-        if rows == nodes:
+        rows, nodes, alone = left.agg(F.count("*"), F.countDistinct("host", "template"), F.countDistinct("template")).first()
+        if rows == nodes == alone:  # no path shares a branch with another, on its host or elsewhere
             rest = F.transform(F.slice("segs", level + 1, F.greatest(F.size("segs") - level, F.lit(0))), lambda x: F.when(F.col("labels") >= MIN_LABELLED, x).otherwise(WILD))
             return at.withColumn("template", F.when(F.size("segs") > level, F.concat_ws("/", "template", F.array_join(rest, "/"))).otherwise(F.col("template")))
     return at
@@ -95,8 +105,8 @@ def rejected(leaves: DataFrame) -> DataFrame:
     """host, segs, template, labels, bad -> host, segs, template, reject.
 
     A template's bad share is smoothed towards that of the same template on all hosts, if MIN_HOSTS of them have labels
-    of it, and towards its host's else; these are smoothed towards the whole table's. It is rejected at REJECT, if it or
-    the same template elsewhere has MIN_LABELLED labels."""
+    of it, and towards its host's else; these are smoothed towards the whole table's. It is rejected at REJECT if it has
+    MIN_LABELLED labels, and at REJECT_AFAR if only the same template elsewhere has them."""
     own = checkpoint(leaves.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")))
     total = own.agg(F.sum("labels"), F.sum("bad")).first()
     everywhere = (total[1] / total[0]) if total and total[0] else 0.5
@@ -107,8 +117,9 @@ def rejected(leaves: DataFrame) -> DataFrame:
     smooth = lambda bad, n, prior: (F.col(bad) + PRIOR * prior) / (F.col(n) + PRIOR)
     wide = F.coalesce(F.col("_hosts") >= MIN_HOSTS, F.lit(False))
     prior = F.when(wide, smooth("_sb", "_sl", F.lit(everywhere))).otherwise(smooth("_hb", "_hl", F.lit(everywhere)))
-    known = (F.col("labels") >= MIN_LABELLED) | (wide & (F.col("_sl") >= MIN_LABELLED))
-    judged = j.select(F.col("host").alias("_h"), F.col("template").alias("_t"), (known & (smooth("bad", "labels", prior) >= REJECT)).alias("reject"))
+    own_labels, purity = F.col("labels") >= MIN_LABELLED, smooth("bad", "labels", prior)
+    reject = (own_labels & (purity >= REJECT)) | (~own_labels & wide & (F.col("_sl") >= MIN_LABELLED) & (purity >= REJECT_AFAR))
+    judged = j.select(F.col("host").alias("_h"), F.col("template").alias("_t"), reject.alias("reject"))
     return leaves.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select("host", "segs", "template", "reject")
 
 

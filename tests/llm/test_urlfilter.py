@@ -1,7 +1,7 @@
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -22,37 +22,43 @@ def ruled(host, path):
 
 
 def plain_tree(labelled):
-    """(host, path, label or None) rows -> {(host, segments): (template, whether it is rejected)}, by recursion."""
+    """(host, path, label or None) rows -> {(host, segments): (template, whether it is rejected)}, level by level."""
     of = defaultdict(list)
     for host, path, bad in labelled:
         of[host, tuple("*" if re.search("[0-9]", x) else x for x in path.split("/") if x)].append(bad)
-    names = {}
+    names = dict.fromkeys(of, "")
 
     def stats(keys):
         given = [b for k in keys for b in of[k] if b is not None]
         return sum(len(of[k]) for k in keys), len(given), sum(given)
 
-    def walk(keys, level, name):
-        names.update({k: name for k in keys if len(k[1]) == level})
-        kids = defaultdict(list)
-        for k in keys:
-            if len(k[1]) > level:
-                kids[k[1][level]].append(k)
-        n, labels, bad = stats([k for ks in kids.values() for k in ks])
-        merged = defaultdict(list)
-        for seg, ks in kids.items():
-            _, own, own_bad = stats(ks)
-            rest, rest_bad, keep = labels - own, bad - own_bad, False
-            if seg != "*" and own >= u.MIN_LABELLED and not (len(kids) > u.MANY_CHILDREN and len(kids) > u.CHILD_SHARE * n):
-                p = bad / labels
-                spread = math.sqrt(p * (1 - p) * (1 / own + 1 / rest)) if rest else 0
-                keep = rest == 0 or (spread > 0 and abs(own_bad / own - rest_bad / rest) > u.Z * spread)
-            merged[seg if keep else "*"] += ks
-        for seg, ks in merged.items():
-            walk(ks, level + 1, f"{name}/{seg}")
-
-    for host in {h for h, _ in of}:
-        walk([k for k in of if k[0] == host], 0, "")
+    def differs(n, bad, labels, all_bad):
+        rest, rest_bad = labels - n, all_bad - bad
+        p = all_bad / labels
+        spread = math.sqrt(p * (1 - p) * (1 / n + 1 / rest)) if rest else 0
+        return rest == 0 or (spread > 0 and abs(bad / n - rest_bad / rest) > u.Z * spread)
+
+    for level in range(max((len(k[1]) for k in of), default=0)):
+        deep = [k for k in of if len(k[1]) > level]
+        groups = {n: defaultdict(list) for n in ("child", "node", "wide", "whole")}
+        for k in deep:
+            host, name, seg = k[0], names[k], k[1][level]
+            for n, key in (("child", (host, name, seg)), ("node", (host, name)), ("wide", (name, seg)), ("whole", name)):
+                groups[n][key].append(k)
+        got = {n: {key: stats(ks) for key, ks in g.items()} for n, g in groups.items()}
+        kids, reach = Counter(key[:2] for key in groups["child"]), Counter(key[1:] for key, s in got["child"].items() if s[1])
+        new = {}
+        for (host, name, seg), (_, n, bad) in got["child"].items():
+            pages, labels, all_bad = got["node"][host, name]
+            many = kids[host, name] > u.MANY_CHILDREN and kids[host, name] > u.CHILD_SHARE * pages
+            if n >= u.MIN_LABELLED:
+                apart = differs(n, bad, labels, all_bad)
+            else:
+                _, wn, wbad = got["wide"][name, seg]
+                apart = wn >= u.MIN_LABELLED and reach[name, seg] >= u.MIN_HOSTS and differs(wn, wbad, *got["whole"][name][1:])
+            new[host, name, seg] = seg if seg != "*" and not many and apart else "*"
+        names |= {k: f"{names[k]}/{new[k[0], names[k], k[1][level]]}" for k in deep}
+
     leaf, by_host, by_shape, hosts = (defaultdict(lambda: [0, 0]) for _ in range(4))
     for k, name in names.items():
         _, labels, bad = stats([k])
@@ -68,8 +74,9 @@ def plain_tree(labelled):
     for k, name in names.items():
         wide = hosts[name][0] >= u.MIN_HOSTS
         row = leaf[k[0], name]
-        known = row[0] >= u.MIN_LABELLED or (wide and by_shape[name][0] >= u.MIN_LABELLED)
-        out[k] = name, known and smooth(row, smooth(by_shape[name] if wide else by_host[k[0]], everywhere)) >= u.REJECT
+        purity = smooth(row, smooth(by_shape[name] if wide else by_host[k[0]], everywhere))
+        far = wide and by_shape[name][0] >= u.MIN_LABELLED and purity >= u.REJECT_AFAR
+        out[k] = name, purity >= u.REJECT if row[0] >= u.MIN_LABELLED else far
     return out
 
 
