@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, pii, quality, rollup, simhash, spm, suffixdedup, topk, urlfilter
+from . import audit, fingerprint, hardneg, licenses, mixing, pii, quality, rollup, simhash, spm, suffixdedup, topk, urlfilter
 from .common import checkpoint, scratch, table
 
 #: Folder of public vocabulary files; the files are read on the driver only.
@@ -77,10 +77,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is wrong on purpose."""
+    return hardneg.mine(hardneg.with_shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sentencepiece, op2_mixing, op3_topk, op4_token_counts, op5_order_minhash, op6_pii, op7_quality, op8_urlfilter, op9_suffix_dedup, op10_simhash)
+    found = (op1_sentencepiece, op2_mixing, op3_topk, op4_token_counts, op5_order_minhash, op6_pii, op7_quality, op8_urlfilter, op9_suffix_dedup, op10_simhash, op11_license_scan, op12_filter_audit, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op4_token_counts": rollup.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op4_token_counts": rollup.ORACLE, "op11_license_scan": licenses.ORACLE, "op12_filter_audit": audit.ORACLE, "op13_hard_negatives": hardneg.ORACLE}
