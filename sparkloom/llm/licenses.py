@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, n_matches
 
-#: Characters that are in no word, as given and once A-Z are in lower case.
+#: Characters that are in words and in none, and in none once A-Z are in lower case.
+IN_WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 NO_WORD, NO_LOWER_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F", r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -66,7 +67,7 @@ def stride(template: str) -> int:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^{NO_WORD}]+"), 0)
+    return F.regexp_extract_all(text, F.lit(f"[{IN_WORD}]+"), 0)
 
 
 def _lower(word: Column) -> Column:
@@ -75,7 +76,7 @@ def _lower(word: Column) -> Column:
 
 def _any_of(words: list[str]) -> str:
     """Java regular expression of a text that has one of words."""
-    return f"(?i)(?<![^{NO_WORD}])(?:{'|'.join(sorted(words))})(?![^{NO_WORD}])"
+    return f"(?i)(?<![{IN_WORD}])(?:{'|'.join(sorted(words))})(?![{IN_WORD}])"
 
 
 def _phrase(phrase: str) -> str:
@@ -130,15 +131,18 @@ def blocks(docs: DataFrame, key: str, text: str, templates=TEMPLATES, contained:
 def base(text: Column) -> dict[str, Column]:
     """Columns of a whole text: n_words, n_base (places of phrases), first_word and last_word (their least and largest
     start, in words), base (the labels, an array)."""
-    word = f"[^{NO_WORD}]++"
-    places = f"(?<![^{NO_WORD}])(?:{'|'.join(_phrase(p) for p, _ in PHRASES)})(?![^{NO_WORD}])"
-    skip = f"(?s:(?!{places}).)*+"
-    n = lambda t: n_matches(t, word, f"[{NO_WORD}]")
-    marks = F.when(text.rlike(places), F.length(F.regexp_replace(text, f"{skip}(?:{places}){skip}", "x"))).otherwise(F.lit(0)).cast("long")
-    # the places follow each other, so what comes before the first and the last is all that has to be counted
-    before = lambda how: F.when(text.rlike(places), n(F.regexp_extract(text, f"^((?s:.){how}){places}", 1)))
-    labels = F.filter(F.array(*[F.when(text.rlike(f"(?<![^{NO_WORD}]){_phrase(p)}(?![^{NO_WORD}])"), label) for p, label in PHRASES]), lambda x: x.isNotNull())
-    return {"n_words": n(text), "n_base": marks, "first_word": before("*?"), "last_word": before("*"), "base": labels}
+    n = lambda t: n_matches(t, f"[{IN_WORD}]++", f"[{NO_WORD}]")
+    whole = lambda phrases: f"(?<![{IN_WORD}])(?:{'|'.join(map(_phrase, phrases))})(?![{IN_WORD}])"
+    places = whole(p for p, _ in PHRASES)
+    last_words = "|".join(sorted({p.split()[-1] for p, _ in PHRASES}))
+    may = text.rlike(f"(?i){last_words}")  # most texts end here
+    # phrases have no words in common, so what comes before the first and the last place is all that has to be counted
+    before = lambda how: F.when(may & text.rlike(places), n(F.regexp_extract(text, f"^((?s:.){how}){places}", 1)))
+    labels = F.filter(F.array(*[F.when(text.rlike(whole([p])), label) for p, label in PHRASES]), lambda x: x.isNotNull())
+    return {
+        "n_words": n(text), "n_base": F.when(may, F.regexp_count(text, F.lit(places))).otherwise(0).cast("long"), "first_word": before("*?"), "last_word": before("*"),
+        "base": F.when(may, labels).otherwise(F.array().cast("array<string>")),
+    }
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
