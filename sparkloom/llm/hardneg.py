@@ -41,7 +41,7 @@ from .topk import usable
 PILOTS = 2048
 #: Sampled rows below which a node isn't split, and the most leaves of the tree.
 SPLIT, LEAVES = 64, 64
-ANCHOR_BLOCK, CANDIDATE_BLOCK = 4096, 16384
+ANCHOR_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 #: Rows of a leaf of a block's own tree.
 ANCHOR_LEAF, CANDIDATE_LEAF = 32, 128
 #: Length of a vector beyond which squares could overflow.
@@ -231,7 +231,29 @@ def _floored(anchors: DataFrame, floors) -> DataFrame:
     return anchors.mapInPandas(run, _ANCHOR_ROW)
 
 
-def _by_leaf(by: dict[int, object], of: Column) -> Column:
+def _cut(tree: Tree | None, leaves: dict[int, dict], most: int) -> tuple[dict[int, dict], dict[int, int]]:
+    """What is known of each leaf -> the same of the highest nodes of at most `most` rows (or of leaves), and the node of
+    each leaf. A node's ball holds its leaves' balls."""
+    of, nodes = {leaf: leaf for leaf in leaves if leaf < 0}, {leaf: r for leaf, r in leaves.items() if leaf < 0}
+
+    def below(node: int) -> list[int]:
+        return [x for kid in tree.kids[node] for x in below(kid)] if tree.kids[node] else [node]
+
+    todo = [0] if tree else []
+    while todo:
+        node = todo.pop()
+        held = [x for x in below(node) if x in leaves]
+        if sum(leaves[x]["n"] for x in held) > most and tree.kids[node]:
+            todo += tree.kids[node]
+        elif held:
+            of |= dict.fromkeys(held, node)
+            ends = {"n": sum, "first": min, "last": max, "least": min, "most": max}
+            nodes[node] = {k: f([leaves[x][k] for x in held]) for k, f in ends.items() if k in leaves[held[0]]}
+            nodes[node]["radius"] = max(float(np.sqrt(((tree.centre[x] - tree.centre[node]) ** 2).sum())) * (1 + SLACK) + leaves[x]["radius"] for x in held)
+    return nodes, of
+
+
+def _by(by: dict[int, object], of: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.lit(v))]), of) if by else F.lit(None)
 
 
@@ -239,9 +261,10 @@ def _search(anchors: DataFrame, candidates: DataFrame, tree: Tree, same: bool, k
     """_floored() anchors -> (anchor, id, label, p, score, other, none): for each anchor and band p, from 1, the best
     candidates of each block: the k best overall are among them."""
     # a row a leaf, LEAVES + 2 at most
-    ours = {r.leaf: r for r in anchors.groupBy("leaf").agg(F.count("*").alias("n"), F.max("radius").alias("radius"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("label").alias("first"), F.max("label").alias("last")).collect()}
-    theirs = {r.leaf: r for r in candidates.groupBy("leaf").agg(F.count("*").alias("n"), F.max("radius").alias("radius"), F.min("label").alias("first"), F.max("label").alias("last")).collect()}
-    ball = lambda leaf, r: (tree.centre[leaf : leaf + 1], np.array([r.radius]))
+    of_leaf = lambda df, *more: {r.leaf: r.asDict() for r in df.groupBy("leaf").agg(F.count("*").alias("n"), F.max("radius").alias("radius"), F.min("label").alias("first"), F.max("label").alias("last"), *more).collect()}
+    ours, our_group = _cut(tree, of_leaf(anchors, F.min("least").alias("least"), F.max("most").alias("most")), ANCHOR_BLOCK)
+    theirs, their_group = _cut(tree, of_leaf(candidates), CANDIDATE_BLOCK)
+    ball = lambda node, r: (tree.centre[node : node + 1], np.array([r["radius"]]))
 
     def met(g: int, h: int) -> bool:
         """Whether a group of anchors may need a group of candidates."""
@@ -252,17 +275,21 @@ def _search(anchors: DataFrame, candidates: DataFrame, tree: Tree, same: bool, k
         if g < 0 or h < 0:
             return True
         least, most = interval(*ball(g, a), *ball(h, c))
-        return bool(most[0, 0] >= a.least and least[0, 0] <= a.most)
+        return bool(most[0, 0] >= a["least"] and least[0, 0] <= a["most"])
 
     pairs = [(g, h) for g in ours for h in theirs if met(g, h)]
     other_of = {g: [h for x, h in pairs if x == g] for g in {g for g, _ in pairs}}
     group_of = {h: [g for g, x in pairs if x == h] for h in {h for _, h in pairs}}
-    n_a = {g: max(1, ceil(r.n / ANCHOR_BLOCK)) for g, r in ours.items()}
-    n_c = {h: max(1, ceil(r.n / CANDIDATE_BLOCK)) for h, r in theirs.items()}
-    block = lambda n: F.pmod(F.xxhash64("id", "label", "v"), _by_leaf(n, F.col("leaf"))).cast("int")
-    upto = lambda n, leaf: F.explode(F.sequence(F.lit(0), _by_leaf(n, F.col(leaf)) - 1))
-    a = anchors.withColumn("ab", block(n_a)).withColumn("h", F.explode(_by_leaf(other_of, F.col("leaf")).cast("array<int>"))).withColumn("cb", upto(n_c, "h")).withColumnRenamed("leaf", "g")
-    c = candidates.withColumn("cb", block(n_c)).withColumn("g", F.explode(_by_leaf(group_of, F.col("leaf")).cast("array<int>"))).withColumn("ab", upto(n_a, "g")).withColumnRenamed("leaf", "h")
+    n_a = {g: max(1, ceil(r["n"] / ANCHOR_BLOCK)) for g, r in ours.items()}
+    n_c = {h: max(1, ceil(r["n"] / CANDIDATE_BLOCK)) for h, r in theirs.items()}
+    meetings = sum(n_a[g] * n_c[h] for g, h in pairs)
+    parts = max(1, min(meetings, max(int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions")), meetings // 8)))
+    on = ["g", "ab", "h", "cb"]
+    block = lambda n, group: F.pmod(F.xxhash64("id", "label", "v"), _by(n, F.col(group))).cast("int")
+    upto = lambda n, group: F.explode(F.sequence(F.lit(0), _by(n, F.col(group)) - 1))
+    each = lambda groups, group: F.explode(_by(groups, F.col(group)).cast("array<int>"))
+    a = anchors.withColumn("g", _by(our_group, F.col("leaf"))).withColumn("ab", block(n_a, "g")).withColumn("h", each(other_of, "g")).withColumn("cb", upto(n_c, "h")).repartition(parts, *on)
+    c = candidates.withColumn("h", _by(their_group, F.col("leaf"))).withColumn("cb", block(n_c, "h")).withColumn("g", each(group_of, "h")).withColumn("ab", upto(n_a, "g")).repartition(parts, *on)
 
     def pair(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         whole = lambda rows, x: {n: rows[n].to_numpy() for n in rows if n not in ("v", "low", "high")} | {"v": x}
@@ -273,7 +300,6 @@ def _search(anchors: DataFrame, candidates: DataFrame, tree: Tree, same: bool, k
                 found += [(anchor, i, label, p + 1, -s, other, none) for anchor, i, label, bands in zip(rows.anchor, rows.id, rows.label, best.found) for p, b in enumerate(bands) for s, none, other, _ in b]
         return pd.DataFrame(found, columns=["anchor", "id", "label", "p", "score", "other", "none"])
 
-    on = ["g", "ab", "h", "cb"]
     return a.groupBy(*on).cogroup(c.groupBy(*on)).applyInPandas(pair, "anchor long, id long, label long, p int, score long, other long, none boolean")
 
 
