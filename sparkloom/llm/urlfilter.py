@@ -1,6 +1,6 @@
 """URL filter: a path-template tree per host, and a list of explicit rules.
 
-Level by level the path segments under a host's node are generalised: segments with digits, and all segments of a node
+Level by level, runs without branches at once, the path segments under a host's node are generalised: segments with digits, and all segments of a node
 with very many children, become wildcards; branches whose share of labelled bad pages doesn't differ significantly
 from their siblings' merge into the wildcard too; a branch with too few labels to tell is judged by the same branch on all
 hosts, and merges if MIN_HOSTS of them can't tell either. A template is rejected when its
@@ -16,6 +16,8 @@ rules of one length go to the first listed; repeated rows are judged each, alike
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,37 +70,67 @@ def segments(path: Column) -> Column:
     return F.transform(parts, lambda x: F.when(x.rlike("[0-9]"), WILD).otherwise(x))
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """host, segs (distinct), n, labels, bad -> with the template of each: level by level, branches of a node merge.
+def _common(low: Column, high: Column) -> Column:
+    """Length of the common start of arrays of which low is the least and high the largest."""
+    same = F.zip_with(low, high, lambda a, b: a.eqNullSafe(b))
+    return F.when(F.array_position(same, F.lit(False)) > 0, F.array_position(same, F.lit(False)) - 1).otherwise(F.size(same)).cast("int")
+
+
+def _longer(template: Column, segs: Column) -> Column:
+    """A template with more segments."""
+    return F.when(F.size(segs) > 0, F.concat(template, F.lit("/"), F.array_join(segs, "/"))).otherwise(template)
 
-    The rounds end where no two paths share a branch; what is left of each is then a chain of its own."""
-    at = checkpoint(paths.withColumn("template", F.lit("")))
-    left, level = at.where(F.size("segs") > 0), 0
+
+#: What a node's paths do in a round.
+_END, _RUN, _BRANCH = 0, 1, 2
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """host, segs (distinct), n, labels, bad -> with the template of each: branches of a node merge.
+
+    A round decides one level of the nodes that branch. Runs in which nothing branches take one round, whatever their
+    length: branches of few labels are judged by all hosts' only while MIN_HOSTS hosts have labels at the template, so
+    a node beyond that is a wildcard to the end if its own labels are few, and keeps the common start of its paths if
+    they are enough; and where all hosts' paths at a template share a start, all keep it. Finished paths leave."""
+    moved = checkpoint(paths.withColumn("template", F.lit("")).withColumn("at", F.lit(0)))
+    finished, left = [moved.where(F.size("segs") == 0)], moved.where(F.size("segs") > 0)
     while not left.isEmpty():
-        level += 1
-        seen = left.withColumn("seg", F.get("segs", F.lit(level - 1))).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
-        node = seen.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.count("*").alias("_kids"), F.sum("n").alias("_n"), F.sum("labels").alias("_labels"), F.sum("bad").alias("_nbad"))
-        many = (F.col("_kids") > MANY_CHILDREN) & (F.col("_kids") > CHILD_SHARE * F.col("_n"))
-        # the same branches on all hosts, for those that have too few labels of their own
-        wide = seen.groupBy(F.col("template").alias("_wt"), F.col("seg").alias("_ws")).agg(F.sum("labels").alias("_wl"), F.sum("bad").alias("_wb"), F.count_if(F.col("labels") > 0).alias("_wh"))
-        whole = seen.groupBy(F.col("template").alias("_at")).agg(F.sum("labels").alias("_al"), F.sum("bad").alias("_ab"))
-        wide = checkpoint(wide.join(whole, F.col("_wt") == F.col("_at")).where((F.col("_wl") >= MIN_LABELLED) & (F.col("_wh") >= MIN_HOSTS)))
-        sure = lambda bad, n, all_bad, all_n: F.coalesce(_differs(F.col(bad), F.col(n), F.col(all_bad), F.col(all_n)), F.lit(False))
-        enough = F.col("labels") >= MIN_LABELLED
-        apart = (enough & sure("bad", "labels", "_nbad", "_labels")) | (~enough & F.col("_wt").isNotNull() & sure("_wb", "_wl", "_ab", "_al"))
-        known = seen.join(node, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).join(wide, (F.col("template") == F.col("_wt")) & (F.col("seg") == F.col("_ws")), "left")
-        kept = known.where((F.col("seg") != WILD) & ~many & apart)
-        kept = kept.select("_h", "_t", F.col("seg").alias("_s"))
-        here = F.get("segs", F.lit(level - 1))
-        on = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (here == F.col("_s"))
-        at = at.join(kept, on, "left").withColumn("template", F.when(F.size("segs") < level, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_s", F.lit(WILD))))).drop("_h", "_t", "_s")
-        at = checkpoint(at)
-        left = at.where(F.size("segs") > level)
-        rows, nodes, alone = left.agg(F.count("*"), F.countDistinct("host", "template"), F.countDistinct("template")).first()
-        if rows == nodes == alone:  # no path shares a branch with another, on its host or elsewhere
-            rest = F.transform(F.slice("segs", level + 1, F.greatest(F.size("segs") - level, F.lit(0))), lambda x: F.when(F.col("labels") >= MIN_LABELLED, x).otherwise(WILD))
-            return at.withColumn("template", F.when(F.size("segs") > level, F.concat_ws("/", "template", F.array_join(rest, "/"))).otherwise(F.col("template")))
-    return at
+        rest = F.slice("segs", F.col("at") + 1, F.greatest(F.size("segs") - F.col("at"), F.lit(0)))
+        node = checkpoint(left.groupBy("host", "template").agg(F.sum("labels").alias("_own"), F.min(rest).alias("_low"), F.max(rest).alias("_high")))
+        whole = node.groupBy(F.col("template").alias("_at")).agg(F.sum("_own").alias("_all"), F.count_if(F.col("_own") > 0).alias("_hosts"), F.min("_low").alias("_least"), F.max("_high").alias("_most"))
+        alive = (F.col("_all") >= MIN_LABELLED) & (F.col("_hosts") >= MIN_HOSTS)
+        own = F.col("_own") >= MIN_LABELLED
+        run = F.when(alive, _common(F.col("_least"), F.col("_most"))).otherwise(_common(F.col("_low"), F.col("_high")))
+        act = F.when(~alive & ~own, _END).when(run > 0, _RUN).otherwise(_BRANCH)
+        known = node.join(whole, F.col("template") == F.col("_at")).select(F.col("host").alias("_h"), F.col("template").alias("_t"), act.alias("_act"), run.alias("_run"))
+        acted = checkpoint(left.join(known, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).drop("_h", "_t"))
+        ended = acted.where(F.col("_act") == _END).withColumns({"template": _longer(F.col("template"), F.transform(rest, lambda _: F.lit(WILD))), "at": F.size("segs")})
+        ran = acted.where(F.col("_act") == _RUN).withColumns({"template": _longer(F.col("template"), F.slice("segs", F.col("at") + 1, F.col("_run"))), "at": F.col("at") + F.col("_run")})
+        branched = _one_level(acted.where(F.col("_act") == _BRANCH))
+        moved = checkpoint(ended.unionByName(ran).unionByName(branched).drop("_act", "_run"))
+        finished.append(moved.where(F.size("segs") <= F.col("at")))
+        left = moved.where(F.size("segs") > F.col("at"))
+    return reduce(DataFrame.unionByName, finished).drop("at")
+
+
+def _one_level(at: DataFrame) -> DataFrame:
+    """Paths at nodes that branch, each with its template one segment longer: the segment itself or a wildcard."""
+    here = F.get("segs", F.col("at"))
+    seen = at.withColumn("seg", here).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+    node = seen.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.count("*").alias("_kids"), F.sum("n").alias("_n"), F.sum("labels").alias("_labels"), F.sum("bad").alias("_nbad"))
+    many = (F.col("_kids") > MANY_CHILDREN) & (F.col("_kids") > CHILD_SHARE * F.col("_n"))
+    # the same branches on all hosts, for those that have too few labels of their own
+    wide = seen.groupBy(F.col("template").alias("_wt"), F.col("seg").alias("_ws")).agg(F.sum("labels").alias("_wl"), F.sum("bad").alias("_wb"), F.count_if(F.col("labels") > 0).alias("_wh"))
+    whole = seen.groupBy(F.col("template").alias("_at")).agg(F.sum("labels").alias("_al"), F.sum("bad").alias("_ab"))
+    wide = wide.join(whole, F.col("_wt") == F.col("_at")).where((F.col("_wl") >= MIN_LABELLED) & (F.col("_wh") >= MIN_HOSTS))
+    sure = lambda bad, n, all_bad, all_n: F.coalesce(_differs(F.col(bad), F.col(n), F.col(all_bad), F.col(all_n)), F.lit(False))
+    enough = F.col("labels") >= MIN_LABELLED
+    apart = (enough & sure("bad", "labels", "_nbad", "_labels")) | (~enough & F.col("_wt").isNotNull() & sure("_wb", "_wl", "_ab", "_al"))
+    known = seen.join(node, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).join(wide, (F.col("template") == F.col("_wt")) & (F.col("seg") == F.col("_ws")), "left")
+    kept = known.where((F.col("seg") != WILD) & ~many & apart).select("_h", "_t", F.col("seg").alias("_s"))
+    on = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (here == F.col("_s"))
+    longer = F.concat("template", F.lit("/"), F.coalesce("_s", F.lit(WILD)))
+    return at.join(checkpoint(kept), on, "left").withColumns({"template": longer, "at": F.col("at") + 1}).drop("_h", "_t", "_s")
 
 
 def rejected(leaves: DataFrame) -> DataFrame:

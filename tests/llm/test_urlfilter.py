@@ -147,6 +147,28 @@ def test_similar_branches_merge(spark):
     assert {r.template for r in u.judge(pages, labelled=labelled).collect()} == {"/*/*"}
 
 
+def long_runs(depth):
+    """Pages and labels with runs of `depth` shared segments: on a host without labels, on one with, and on six hosts."""
+    run = "/".join(f"x{'abcdefghij'[i % 10]}{'klmno'[i // 10 % 5]}" for i in range(depth))
+    labelled = [(f"http://one.test/{run}/{x}", int(x == "p")) for x in "ppppppqqqqqq"] + [(f"http://h{h}.test/{run}/{x}/y", int(x == "p")) for h in range(6) for x in "ppq"]
+    return list(enumerate([f"http://new.test/{run}/p", f"http://new.test/{run}/q", "http://new.test/a", f"http://one.test/{run}/p", f"http://h1.test/{run}/q/y", f"http://z.test/{run}/q/y"])), labelled
+
+
+@pytest.mark.parametrize("share", [0, 1])
+def test_rounds_don_t_grow_with_depth(spark, monkeypatch, share):
+    kept, calls = u.checkpoint, []
+    monkeypatch.setattr(u, "checkpoint", lambda df: calls.append(1) or kept(df))
+    rounds = []
+    for depth in (4, 200):
+        pages, labelled = long_runs(depth)
+        df, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labelled, "url string, bad int")
+        calls.clear()
+        got = {r.page_id: (r.rule, r.template, r.verdict) for r in u.judge(df, labelled=known if share else None).collect()}
+        rounds.append(len(calls))
+        assert got == verdicts(pages, labelled if share else ())
+    assert rounds[0] == rounds[1]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.Example.COM/en/7x?y#z"), (5, "x://B.com/en/"), (5, "x://B.com/en/"), (None, "http://c.org"), (6, "http://"), (7, "http://a.net#/de/"), (8, "ht\ntp://É.com/en/" + "a/" * 5000)]
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' as host", "1 as verdict")
