@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .topk import usable
+from .vectors import HIGH, HUGE, LOW, matrices, scores, spans, usable, whole
 
 #: Rows with the smallest hashes that the tree is made of and that give floors: a bounded sample; every row is searched.
 PILOTS = 2048
@@ -44,13 +44,8 @@ SPLIT, LEAVES = 64, 64
 ANCHOR_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 #: Rows of a leaf of a block's own tree.
 ANCHOR_LEAF, CANDIDATE_LEAF = 32, 128
-#: Length of a vector beyond which squares could overflow.
-HUGE = 2.0**100
 #: Above any rounding of an interval, as a share of the lengths' product.
 SLACK = 1e-9
-LOW, HIGH = -(1 << 63), (1 << 63) - 1
-#: Sums of whole numbers below this are exact.
-EXACT = 2.0**52
 #: Leaves of rows that no tree can bound: other lengths than most, and huge vectors.
 ODD, VAST = -1, -2
 
@@ -109,27 +104,6 @@ def interval(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) -> tu
     return np.minimum(middle - reach, np.nextafter(2.0**63, 0)), np.maximum(middle + reach, -(2.0**63))
 
 
-def scores(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers, as longs; the nearest long where they don't fit."""
-    span = lambda x: np.abs(x).max(1, initial=0.0) * np.sqrt(max(x.shape[1], 1))
-    la, lc = (np.minimum(span(x), EXACT) for x in (a, c))
-    if la.max(initial=0.0) * lc.max(initial=0.0) < EXACT:  # all partial sums are whole numbers that a double holds
-        return (a @ c.T).astype(np.int64)
-    out = np.zeros((len(a), len(c)), np.int64)
-    i, j = la * lc.max() < EXACT, lc * la.max() < EXACT
-    for rows, cols in ((i, np.full(len(c), True)), (~i, j)):
-        if rows.any() and cols.any():
-            out[np.ix_(rows, cols)] = (a[rows] @ c[cols].T).astype(np.int64)
-    if not j.all():
-        whole = lambda x: np.array([int(y) for y in x.ravel()], object).reshape(x.shape)
-        out[np.ix_(~i, ~j)] = np.clip(whole(a[~i]) @ whole(c[~j]).T, LOW, HIGH).astype(np.int64)
-    return out
-
-
-def _bounded(x: np.ndarray) -> bool:
-    return float(np.abs(x).max(initial=0.0)) * float(np.sqrt(max(x.shape[1], 1))) < HUGE
-
-
 class Best:
     """The k best candidates of each anchor's bands (least and largest score): by score, rows with an id first, id."""
 
@@ -167,7 +141,7 @@ def search(a: dict[str, np.ndarray], c: dict[str, np.ndarray], same: bool, low:
                 wanted[x, y] = not np.array_equal(a["v"][i[x]], c["v"][j[y]])
         best.add(i, j, s, wanted, c["none"], c["id"])
 
-    if not (_bounded(a["v"]) and _bounded(c["v"])):
+    if max(spans(a["v"]).max(), spans(c["v"]).max()) >= HUGE:
         for i in range(0, len(a["id"]), ANCHOR_LEAF):
             leaf_pair(np.arange(i, min(i + ANCHOR_LEAF, len(a["id"]))), every)
         return best
@@ -210,18 +184,12 @@ def search(a: dict[str, np.ndarray], c: dict[str, np.ndarray], same: bool, low:
     return best
 
 
-def _matrix(f: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Rows of each length with their vectors as one matrix."""
-    for size, own in f.groupby(f.v.map(len)):
-        yield own.reset_index(drop=True), np.concatenate([*own.v, np.zeros(0)]).astype(np.float64).reshape(len(own), size)
-
-
 def _floored(anchors: DataFrame, floors) -> DataFrame:
     """anchors with the least and largest score of each band, low and high, and over all bands, least and most; anchors
     whose bands are all empty go. floors(rows, x) gives low and high."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for rows, x in _matrix(f):
+            for rows, x in matrices(f):
                 low, high = floors(rows, x)
                 open_ = low <= high
                 least, most = np.where(open_, low, HIGH).min(1), np.where(open_, high, LOW).max(1)
@@ -292,11 +260,11 @@ def _search(anchors: DataFrame, candidates: DataFrame, tree: Tree, same: bool, k
     c = candidates.withColumn("h", _by(their_group, F.col("leaf"))).withColumn("cb", block(n_c, "h")).withColumn("g", each(group_of, "h")).withColumn("ab", upto(n_a, "g")).repartition(parts, *on)
 
     def pair(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda rows, x: {n: rows[n].to_numpy() for n in rows if n not in ("v", "low", "high")} | {"v": x}
-        theirs, found = {x.shape[1]: whole(rows, x) for rows, x in _matrix(c)}, []
-        for rows, x in _matrix(a):
+        side = lambda rows, x: {n: rows[n].to_numpy() for n in rows if n not in ("v", "low", "high")} | {"v": x}
+        theirs, found = {x.shape[1]: side(rows, x) for rows, x in matrices(c)}, []
+        for rows, x in matrices(a):
             if x.shape[1] in theirs:
-                best = search(whole(rows, x), theirs[x.shape[1]], same, np.stack(rows.low), np.stack(rows.high), k)
+                best = search(side(rows, x), theirs[x.shape[1]], same, np.stack(rows.low), np.stack(rows.high), k)
                 found += [(anchor, i, label, p + 1, -s, other, none) for anchor, i, label, bands in zip(rows.anchor, rows.id, rows.label, best.found) for p, b in enumerate(bands) for s, none, other, _ in b]
         return pd.DataFrame(found, columns=["anchor", "id", "label", "p", "score", "other", "none"])
 
@@ -312,19 +280,18 @@ def mine(df: DataFrame, positives: int = 5, negatives: int = 5, every: int = 100
     sample = own.withColumn("h", F.xxhash64("id", "label", "v")).orderBy("h", "id", "label").limit(PILOTS).collect()
     lengths = [len(r.v) for r in sample]
     size = max(lengths, key=lengths.count, default=0)
-    whole = lambda x: np.floor(np.clip(scale * np.asarray(x, np.float64), -1.7e308, 1.7e308)) + 0.0
-    some = [r for r in sample if len(r.v) == size and _bounded(whole([r.v]))]
-    pilots, pilot_label = whole([r.v for r in some]).reshape(len(some), size), np.array([r.label for r in some], np.int64)
+    some = [r for r in sample if len(r.v) == size and spans(whole([r.v], scale))[0] < HUGE]
+    pilots, pilot_label = whole([r.v for r in some], scale).reshape(len(some), size), np.array([r.label for r in some], np.int64)
     tree = Tree(pilots, SPLIT, LEAVES) if some else None
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for rows, x in _matrix(f):
-                x = whole(x)
+            for rows, x in matrices(f):
+                x = whole(x, scale)
                 leaf, radius = np.full(len(x), ODD), np.zeros(len(x))
                 if x.shape[1] == size:
                     leaf[:] = VAST
-                    fit = np.flatnonzero(np.abs(x).max(1, initial=0.0) * np.sqrt(max(size, 1)) < HUGE)
+                    fit = np.flatnonzero(spans(x) < HUGE)
                     if tree and len(fit):
                         leaf[fit] = tree.leaf_of(x[fit])
                         radius[fit] = np.sqrt(((x[fit] - tree.centre[leaf[fit]]) ** 2).sum(1))

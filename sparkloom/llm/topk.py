@@ -7,14 +7,18 @@ product from above. Cells are evaluated in the order of that bound until no rema
 rest are eliminated, nothing is missed.
 
 The k-th score of each query among PILOTS candidates is known before any search and holds for all of them, so whole
-pivot groups of candidates whose bound is below it never meet the query. Queries and the candidates of a group meet in
-blocks of bounded size; each pair of blocks keeps k rows a query, and the blocks' results are ranked together. Every
-query may have to meet every candidate, so the work grows with their product where bounds don't part them.
+pivot groups of candidates whose bound is below it never meet the query. Queries of one pivot group and the candidates
+of another meet in blocks of bounded size, and candidates are copied only to blocks of queries that need their group;
+each pair of blocks keeps k rows a query, and the blocks' results are ranked together. Every query may have to meet
+every candidate, so the work grows with their product where bounds don't part them.
+
+Vectors longer than HUGE, whose squares could overflow, are a group without bounds: they meet all, and all meet them.
 
 Defined results: candidates are all rows but the query's own, so rows that share an id, or have none (null), are
 candidates each, and each row whose id is divisible is a query of its own; null vectors and vectors with null, NaN or
 infinite components take no part; vectors of different lengths have no score with each other; equal scores rank by
-smaller id, null last; scores that don't fit a long raise OverflowError; an empty table gives no rows.
+smaller id, null last; a score that doesn't fit a long is the nearest long, and ranks as such; a component that is no
+double once scaled is the largest double of its sign; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint
+from .vectors import HUGE, LOW, matrices, scores, spans, usable, whole
 
 #: Vectors with the smallest hashes serve as pivots and pilots: bounded samples; every row is indexed against the pivots.
 PIVOTS, PILOTS = 24, 2048
@@ -37,15 +42,15 @@ CELL = 64
 #: Above any rounding of a bound.
 SLACK = 1e-9
 
+#: Groups of rows that no pivot can bound: other lengths than most, and huge vectors.
+ODD, VAST = -1, -2
+#: Most rows of the list of groups that blocks of queries need that is sent to every executor.
+LISTED = 1_000_000
+
 _ROW = "key long, id long, none boolean, n long, v array<double>, dist array<double>, grp int"
 _KEPT = ["key", "id", "none", "n"]
 
 
-def usable(vec: Column) -> Column:
-    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vec.isNotNull() & ~F.coalesce(bad, F.lit(False))
-
-
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of the rows of x to the origin and the pivots of the same length, one row of the result each."""
     if pivots.shape[1] != x.shape[1]:
@@ -60,19 +65,7 @@ def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     for d, a, b in zip(q, low, high):
         np.maximum(gap, np.maximum(a - d[:, None], d[:, None] - b), out=gap)
     squares = q[0][:, None] ** 2 + high[0] ** 2
-    return (squares - gap * gap) / 2 + SLACK * squares + 1e-6
-
-
-def _exact(q: np.ndarray, c: np.ndarray) -> bool:
-    """Whether all inner products, and their partial sums, are whole numbers that a double holds."""
-    norm = lambda x: float(np.sqrt((x * x).sum(1).max())) if len(x) else 0.0
-    return norm(q) * norm(c) < 2.0**52
-
-
-def _scores(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
-    if exact:
-        return c @ q
-    return np.array([sum(int(x) * int(y) for x, y in zip(row, q)) for row in c], object)
+    return np.maximum((squares - gap * gap) / 2 + SLACK * squares + 1e-6, LOW)  # scores end there too
 
 
 def search_block(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,26 +75,27 @@ def search_block(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) ->
     dist = c["dist"]
     order = np.lexsort((dist[0], dist[1:].argmin(0))) if len(dist) > 1 else np.argsort(dist[0], kind="stable")
     cells = np.arange(0, len(order), CELL)
-    low, high = (f.reduceat(dist[:, order], cells, axis=1) for f in (np.minimum, np.maximum))
-    top, exact = bounds(q["dist"], low, high), _exact(q["v"], c["v"])
-    rows, found, scores = [], [], []
+    top = np.full((len(q["v"]), len(cells)), np.inf)
+    fit = np.flatnonzero(spans(q["v"]) < HUGE)
+    if spans(c["v"]).max() < HUGE:
+        low, high = (f.reduceat(dist[:, order], cells, axis=1) for f in (np.minimum, np.maximum))
+        top[fit] = bounds(q["dist"][:, fit], low, high)
+    rows, found, reached = [], [], []
     for i in range(len(top)):
         rank = np.argsort(-top[i], kind="stable")
         rank = rank[top[i][rank] >= q["floor"][i]]
-        best_s, best_j, at, step = np.zeros(0, np.float64 if exact else object), np.zeros(0, np.int64), 0, 2
+        best_s, best_j, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 2
         while at < len(rank) and (len(best_s) < k or top[i][rank[at]] >= best_s[-1]):
             j = np.concatenate([order[x : x + CELL] for x in cells[rank[at : at + step]]])
             j = j[(c["key"][j] != q["key"][i]) | (c["n"][j] > 1)]  # not the query's own row, unless others equal it
-            best_s, best_j = np.r_[best_s, _scores(q["v"][i], c["v"][j], exact)], np.r_[best_j, j]
-            best = sorted(range(len(best_s)), key=lambda x: (-best_s[x], c["none"][best_j[x]], c["id"][best_j[x]])) if not exact else np.lexsort((c["id"][best_j], c["none"][best_j], -best_s))
-            best_s, best_j = best_s[np.array(best[:k], np.int64)], best_j[np.array(best[:k], np.int64)]
+            best_s, best_j = np.r_[best_s, scores(q["v"][i : i + 1], c["v"][j])[0]], np.r_[best_j, j]
+            best = np.lexsort((c["id"][best_j], c["none"][best_j], ~best_s))[:k]
+            best_s, best_j = best_s[best], best_j[best]
             at, step = at + step, step * 2
         rows += [i] * len(best_j)
         found += best_j.tolist()
-        scores += [int(x) for x in best_s]
-    if scores and not -(1 << 63) <= min(scores) <= max(scores) < 1 << 63:
-        raise OverflowError("a score doesn't fit a long")
-    return np.array(rows, np.int64), np.array(found, np.int64), np.array(scores, np.int64)
+        reached += best_s.tolist()
+    return np.array(rows, np.int64), np.array(found, np.int64), np.array(reached, np.int64)
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -110,59 +104,60 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_
     own = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vec}`").alias("v")).where(usable(F.col("v"))).withColumn("key", F.xxhash64("id", "v"))
     sample = [r.v for r in own.orderBy(F.xxhash64("key"), "key").select("v").limit(PILOTS).collect()]
     size = max(map(len, sample), key=[len(v) for v in sample].count, default=0)
-    pilots = np.floor(scale * np.array([v for v in sample if len(v) == size], np.float64).reshape(-1, max(size, 1)))
+    pilots = whole([v for v in sample if len(v) == size], scale).reshape(-1, size) if sample else np.zeros((0, 1))
+    pilots = pilots[spans(pilots) < HUGE]
     pivots = pilots[:PIVOTS]
     # rows equal in id and vector are one row that counts n times
     rows = own.groupBy("id", "v").agg(F.count("*").alias("n"), F.first("key").alias("key"))
     rows = rows.select("key", F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("none"), "n", "v")
 
-    def blocks(f: pd.DataFrame):
-        """Rows of each length with their vectors as one matrix."""
-        for size, own in f.groupby(f.v.map(len)):
-            yield own, np.concatenate([*own.v, np.zeros(0)]).astype(np.float64).reshape(len(own), size)
-
     def index(frames):
         for f in frames:
-            for own, x in blocks(f):
-                x = np.floor(scale * x)
-                dist = distances(x, pivots)
-                grp = dist[1:].argmin(0) if len(dist) > 1 else np.full(len(x), -1)
-                yield own[_KEPT].assign(v=list(x), dist=list(dist.T), grp=grp.astype(np.int32))
+            for own, x in matrices(f):
+                x = whole(x, scale)
+                vast = spans(x) >= HUGE
+                dist = distances(np.where(vast[:, None], 0.0, x), pivots)
+                grp = dist[1:].argmin(0) if len(dist) > 1 else np.full(len(x), ODD)
+                yield own[_KEPT].assign(v=list(x), dist=list(dist.T), grp=np.where(vast, VAST, grp).astype(np.int32))
 
     table = checkpoint(rows.mapInPandas(index, _ROW))
-    # one row a pivot, PIVOTS + 1 at most
-    ends = table.groupBy("grp").agg(F.count("*").alias("rows"), *[f(F.get("dist", F.lit(i))).alias(f"{n}{i}") for i in range(len(pivots) + 1) for n, f in (("low", F.min), ("high", F.max))]).collect()
     is_query = ~F.col("none") & (F.pmod("id", F.lit(every)) == 0)
-    nq = table.where(is_query).count()
+    # one row a pivot, PIVOTS + 2 at most
+    ends = table.groupBy("grp").agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries"), *[f(F.get("dist", F.lit(i))).alias(f"{n}{i}") for i in range(len(pivots) + 1) for n, f in (("low", F.min), ("high", F.max))]).collect()
     parts = {r.grp: max(1, ceil(r["rows"] / CANDIDATE_BLOCK)) for r in ends}
-    gq = max(1, ceil(nq / QUERY_BLOCK))
+    blocks = {r.grp: max(1, ceil(r["queries"] / QUERY_BLOCK)) for r in ends}
 
     def route(frames):
         """Queries with the score that their k-th best candidate is known to reach, once for each block to search."""
         for f in frames:
-            for own, x in blocks(f):
-                dist, floor = np.stack(own.dist.to_numpy()).T, np.full(len(x), -np.inf)
-                if pilots.shape[1] == x.shape[1] and len(pilots) > k + 1 and _exact(x, pilots):
+            for own, x in matrices(f):
+                dist, floor, fit = np.stack(own.dist.to_numpy()).T, np.full(len(x), LOW), np.flatnonzero(own.grp != VAST)
+                if pilots.shape[1] == x.shape[1] and len(pilots) > k:
                     # one row more than k: the query itself may be a pilot
-                    floor = np.partition(x @ pilots.T, -k - 1, axis=1)[:, -k - 1]
+                    floor[fit] = np.partition(scores(x[fit], pilots), -k - 1, axis=1)[:, -k - 1]
                 for r in ends:
-                    if (r.grp < 0) != (len(dist) == 1):
+                    if r.grp != VAST and (r.grp == ODD) != (len(dist) == 1):
                         continue
                     span = lambda n: np.array([[r[f"{n}{i}"]] for i in range(len(dist))])
-                    hit = np.flatnonzero(bounds(dist, span("low"), span("high"))[:, 0] >= floor)
-                    for b in range(parts[r.grp]):
-                        yield own.iloc[hit][[*_KEPT, "v", "dist"]].assign(grp=np.int32(r.grp), floor=floor[hit], sub=np.int32(b))
-
-    deal = lambda g: F.pmod(F.xxhash64("key", F.lit(g)), F.lit(g)).cast("int")
-    queries = table.where(is_query).mapInPandas(route, f"{_ROW}, floor double, sub int").withColumn("qb", deal(gq))
-    each_part = F.element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), F.col("grp")) if parts else F.lit(1)
-    candidates = table.withColumn("sub", F.pmod(F.xxhash64("key"), each_part).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
+                    hit = np.full(len(x), True)
+                    if r.grp != VAST:
+                        hit[fit] = bounds(dist[:, fit], span("low"), span("high"))[:, 0] >= floor[fit]
+                    yield own[hit].assign(qg=own.grp[hit], grp=np.int32(r.grp), floor=floor[hit])
+
+    of = lambda by, group: F.element_at(F.create_map(*[F.lit(x) for p in by.items() for x in p]), F.col(group)) if by else F.lit(1)
+    queries = table.where(is_query).mapInPandas(route, f"{_ROW}, qg int, floor long")
+    queries = checkpoint(queries.withColumn("qb", F.pmod(F.xxhash64("key", F.lit(0)), of(blocks, "qg")).cast("int")))
+    needed = queries.select(F.col("qg").alias("_qg"), F.col("qb").alias("_qb"), F.col("grp").alias("_grp")).distinct()
+    needed = F.broadcast(needed) if sum(blocks.values()) * len(ends) <= LISTED else needed
+    queries = queries.withColumn("sub", F.explode(F.sequence(F.lit(0), of(parts, "grp") - 1)))
+    candidates = table.withColumn("sub", F.pmod(F.xxhash64("key"), of(parts, "grp")).cast("int")).join(needed, F.col("grp") == F.col("_grp"))
+    candidates = candidates.withColumnsRenamed({"_qg": "qg", "_qb": "qb"}).drop("_grp")
 
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda own, x: {n: own[n].to_numpy() for n in own if n not in ("v", "dist")} | {"v": x, "dist": np.stack(own.dist.to_numpy()).T}
-        other = {x.shape[1]: whole(own, x) for own, x in blocks(c)}
+        side = lambda own, x: {n: own[n].to_numpy() for n in own if n not in ("v", "dist")} | {"v": x, "dist": np.stack(own.dist.to_numpy()).T}
+        other = {x.shape[1]: side(own, x) for own, x in matrices(c)}
         found = []
-        for a in (whole(own, x) for own, x in blocks(q)):
+        for a in (side(own, x) for own, x in matrices(q)):
             if a["v"].shape[1] in other:
                 b = other[a["v"].shape[1]]
                 i, j, score = search_block(a, b, k)
@@ -170,7 +165,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_
                 found.append(pd.DataFrame({"key": a["key"][i], "query_id": a["id"][i], "n": a["n"][i], "vec_id": b["id"][j], "none": b["none"][j], "score": score, "times": times}))
         return pd.concat(found) if found else pd.DataFrame({n: [] for n in ("key", "query_id", "n", "vec_id", "none", "score", "times")})
 
-    on = ["grp", "sub", "qb"]
+    on = ["grp", "sub", "qg", "qb"]
     found = queries.groupBy(*on).cogroup(candidates.groupBy(*on)).applyInPandas(pair, "key long, query_id long, n long, vec_id long, none boolean, score long, times long")
     found = found.withColumn("vec_id", F.when(~F.col("none"), F.col("vec_id")))
     place = W.partitionBy("query_id", "key").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())

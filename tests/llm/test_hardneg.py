@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from sparkloom.llm import hardneg
+from sparkloom.llm import hardneg, vectors
 from sparkloom.llm.queries import op13_hard_negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label long"
@@ -78,8 +78,8 @@ def test_odd_rows(spark, small_blocks):
 def test_scores_are_exact():
     rng = np.random.default_rng(1)
     a, c = np.floor(rng.normal(size=(6, 3)) * 1e9), np.floor(rng.normal(size=(9, 3)) * np.array([[1.0], [1e9], [1e300]] * 3))
-    want = [[min(max(sum(int(x) * int(y) for x, y in zip(p, q)), hardneg.LOW), hardneg.HIGH) for q in c] for p in a]
-    assert hardneg.scores(a, c).tolist() == want
+    want = [[min(max(sum(int(x) * int(y) for x, y in zip(p, q)), vectors.LOW), vectors.HIGH) for q in c] for p in a]
+    assert vectors.scores(a, c).tolist() == want
 
 
 def test_interval_holds_all_products():

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 from sparkloom.llm import topk
 from sparkloom.llm.queries import op3_topk
@@ -55,6 +56,27 @@ def test_repeated_and_missing_ids_equal_the_sql(spark, monkeypatch):
     assert sorted(map(str, map(tuple, topk.top_k(df).collect()))) == sorted(map(str, con.execute(topk.ORACLE).fetchall()))
 
 
+@pytest.mark.parametrize("vast", [1, 39, 100])
+def test_no_row_is_lost_at_any_finite_size(spark, monkeypatch, vast):
+    """Vectors whose squares overflow, as pivots, queries and candidates; scores of 0 among them, and beyond the longs."""
+    monkeypatch.setattr(topk, "PILOTS", 60)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    rng = np.random.default_rng(vast)
+    plain = [[-float(x), -float(y)] for x, y in rng.random((196, 2))]
+    rows = [(0, [1.0, 0.0])] + [(1 + i, v) for i, v in enumerate(plain)]
+    huge = [[0.0, 1e200], [0.0, -1e200], [-1e17, 2.0], [1e308, 1.0], [-3e30, 1.0]]
+    rows += [(1000 + i, huge[i % 5] if vast == 100 else huge[0]) for i in range(vast)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    most = np.finfo(np.float64).max
+    x = [[int(np.floor(min(max(256 * y, -most), most))) for y in v] for _, v in rows]
+    want = []
+    for a, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            s = sorted((-min(max(sum(p * q for p, q in zip(x[a], x[b])), -(1 << 63)), (1 << 63) - 1), j) for b, (j, _) in enumerate(rows) if a != b)
+            want += [(i, r + 1, j, -t) for r, (t, j) in enumerate(s[:5])]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 def test_large_numbers_are_exact(spark):
     big = float(1 << 29)
     rows = [(0, [big, 1.0]), (1, [big, 3.0]), (2, [big, 2.0]), (3, [big, 4.0]), (4, [-big, 4.0])]
