@@ -7,7 +7,7 @@ product from above. Cells are evaluated in the order of that bound until no rema
 rest are eliminated, nothing is missed.
 
 The k-th score of each query among PILOTS candidates is known before any search and holds for all of them, so whole
-pivot groups of candidates whose bound is below it never meet the query. Queries of one pivot group and the candidates
+pivot groups of candidates whose bound is below it never meet the query. Queries of near pivot groups and the candidates
 of another meet in blocks of bounded size, and candidates are copied only to blocks of queries that need their group;
 each pair of blocks keeps k rows a query, and the blocks' results are ranked together. Every query may have to meet
 every candidate, so the work grows with their product where bounds don't part them.
@@ -125,7 +125,11 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_
     # one row a pivot, PIVOTS + 2 at most
     ends = table.groupBy("grp").agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries"), *[f(F.get("dist", F.lit(i))).alias(f"{n}{i}") for i in range(len(pivots) + 1) for n, f in (("low", F.min), ("high", F.max))]).collect()
     parts = {r.grp: max(1, ceil(r["rows"] / CANDIDATE_BLOCK)) for r in ends}
-    blocks = {r.grp: max(1, ceil(r["queries"] / QUERY_BLOCK)) for r in ends}
+    first, blocks, room = {}, {}, 0  # small groups of queries share a block
+    for r in sorted(ends, key=lambda r: -r["queries"]):
+        blocks[r.grp] = max(1, ceil(r["queries"] / QUERY_BLOCK))
+        first[r.grp] = max((first[g] + blocks[g] for g in first), default=0) - (r["queries"] <= room)
+        room = (room if r["queries"] <= room else blocks[r.grp] * QUERY_BLOCK if blocks[r.grp] == 1 else 0) - r["queries"]
 
     def route(frames):
         """Queries with the score that their k-th best candidate is known to reach, once for each block to search."""
@@ -146,12 +150,12 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_
 
     of = lambda by, group: F.element_at(F.create_map(*[F.lit(x) for p in by.items() for x in p]), F.col(group)) if by else F.lit(1)
     queries = table.where(is_query).mapInPandas(route, f"{_ROW}, qg int, floor long")
-    queries = checkpoint(queries.withColumn("qb", F.pmod(F.xxhash64("key", F.lit(0)), of(blocks, "qg")).cast("int")))
-    needed = queries.select(F.col("qg").alias("_qg"), F.col("qb").alias("_qb"), F.col("grp").alias("_grp")).distinct()
+    queries = checkpoint(queries.withColumn("qb", (of(first, "qg") + F.pmod(F.xxhash64("key", F.lit(0)), of(blocks, "qg"))).cast("int")).drop("qg"))
+    needed = queries.select(F.col("qb").alias("_qb"), F.col("grp").alias("_grp")).distinct()
     needed = F.broadcast(needed) if sum(blocks.values()) * len(ends) <= LISTED else needed
     queries = queries.withColumn("sub", F.explode(F.sequence(F.lit(0), of(parts, "grp") - 1)))
     candidates = table.withColumn("sub", F.pmod(F.xxhash64("key"), of(parts, "grp")).cast("int")).join(needed, F.col("grp") == F.col("_grp"))
-    candidates = candidates.withColumnsRenamed({"_qg": "qg", "_qb": "qb"}).drop("_grp")
+    candidates = candidates.withColumnRenamed("_qb", "qb").drop("_grp")
 
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         side = lambda own, x: {n: own[n].to_numpy() for n in own if n not in ("v", "dist")} | {"v": x, "dist": np.stack(own.dist.to_numpy()).T}
@@ -165,7 +169,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_
                 found.append(pd.DataFrame({"key": a["key"][i], "query_id": a["id"][i], "n": a["n"][i], "vec_id": b["id"][j], "none": b["none"][j], "score": score, "times": times}))
         return pd.concat(found) if found else pd.DataFrame({n: [] for n in ("key", "query_id", "n", "vec_id", "none", "score", "times")})
 
-    on = ["grp", "sub", "qg", "qb"]
+    on = ["grp", "sub", "qb"]
     found = queries.groupBy(*on).cogroup(candidates.groupBy(*on)).applyInPandas(pair, "key long, query_id long, n long, vec_id long, none boolean, score long, times long")
     found = found.withColumn("vec_id", F.when(~F.col("none"), F.col("vec_id")))
     place = W.partitionBy("query_id", "key").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
