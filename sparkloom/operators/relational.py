@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators.running import running_totals
+from sparkloom.operators.running import last_seen, next_value, running_totals
 
 
 def interval_overlap(a: DataFrame, b: DataFrame, on: str, width: int) -> DataFrame:
@@ -43,12 +43,14 @@ def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def carry_forward(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
-    seen = F.last(value, ignorenulls=True).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn(f"last_{value}", seen)
+    """df with the last value that isn't null up to each row of a group."""
+    return last_seen(df, F.col(value), [order], [by], f"last_{value}")
 
 
 def segments(df: DataFrame, by: str, step: str, final: int) -> DataFrame:
-    return df.withColumn("length", (F.lead(step, 1, final).over(W.partitionBy(by).orderBy(step)) - F.col(step)).cast("long"))
+    """df with the length of each row's segment: up to its group's next step, or to final."""
+    d = next_value(df, F.col(step), [step], [by], F.lit(final).cast(df.schema[step].dataType), "length")
+    return d.withColumn("length", (F.col("length") - F.col(step)).cast("long"))
 
 
 def ordinal_windows(df: DataFrame, closes: Column, every: int, order: str) -> DataFrame:

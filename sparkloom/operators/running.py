@@ -49,3 +49,48 @@ def with_totals(df: DataFrame, totals: dict[str, Column], by: Sequence[str]) ->
     for b, n in names.items():
         on = on & F.col(b).eqNullSafe(F.col(n))
     return df.join(sums, on).drop(*names.values())
+
+
+def _ranged(df: DataFrame, order: Sequence[Column], by: Sequence[str]) -> tuple[DataFrame, str]:
+    """df dealt by ranges of by and order and kept, and its column that numbers the ranges."""
+    part = free_name(df, "_part")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(parts, *by, *order).withColumn(part, F.spark_partition_id())), part
+
+
+def _with_edges(d: DataFrame, part: str, by: Sequence[str], summary: Column, over, out: str) -> DataFrame:
+    """d with what over(window) gives of the ranges' summaries, a row a range and group, in order of the ranges."""
+    names = [part, *by]
+    renamed = [f"{out}_{i}" for i in range(len(names))]
+    edges = d.groupBy(*names).agg(summary.alias(out)).withColumn(out, over(W.partitionBy(*(by or [F.lit(1)])).orderBy(part)))
+    edges = edges.select(*[F.col(f"`{n}`").alias(r) for n, r in zip(names, renamed)], out)
+    on = F.lit(True)
+    for n, r in zip(names, renamed):
+        on = on & F.col(f"`{n}`").eqNullSafe(F.col(r))
+    return d.join(edges, on).drop(*renamed)
+
+
+def last_seen(df: DataFrame, value: Column, order: Sequence[Column | str], by: Sequence[str] = (), out: str = "last_seen") -> DataFrame:
+    """df with the last value that isn't null up to each row, in order within by.
+
+    A segmented scan: each range's last value is its summary, summaries are carried over ranges, and each range is
+    filled from what came before it. No task sees a group whole. Order should tell all rows of a group apart."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    kept, v, edge = df.columns, free_name(df, "_value"), free_name(df, "_edge")
+    d, part = _ranged(df.withColumn(v, value), order, by)
+    summary = F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(*order)))
+    d = _with_edges(d, part, by, summary, lambda w: F.last(edge, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), edge)
+    inside = F.last(v, ignorenulls=True).over(W.partitionBy(part, *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return d.withColumn(part, F.coalesce(inside, edge)).select(*[f"`{c}`" for c in kept if c != out], F.col(part).alias(out))
+
+
+def next_value(df: DataFrame, value: Column, order: Sequence[Column | str], by: Sequence[str] = (), default: Column | None = None, out: str = "next_value") -> DataFrame:
+    """df with the value of the next row, in order within by; default for a group's last row. Ranges lend their first
+    value to the range before, so no task sees a group whole."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    kept, v, edge = df.columns, free_name(df, "_value"), free_name(df, "_edge")
+    d, part = _ranged(df.withColumn(v, F.struct(value.alias("v"))), order, by)
+    d = _with_edges(d, part, by, F.min_by(F.col(v), F.struct(*order)), lambda w: F.lead(edge).over(w), edge)
+    following = F.coalesce(F.lead(v).over(W.partitionBy(part, *by).orderBy(*order)), F.col(edge))
+    end = F.lit(None) if default is None else default
+    return d.withColumn(part, F.when(following.isNull(), end).otherwise(following["v"])).select(*[f"`{c}`" for c in kept if c != out], F.col(part).alias(out))

@@ -3,14 +3,14 @@ query reads are written by it first, from the tables, to the shared folder."""
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import chat, text
 from sparkloom.operators import contamination, curves, gates, mixture, relational, sampling, selection
-from sparkloom.sources import files, rows
+from sparkloom.operators.running import ranked
+from sparkloom.sources import arrays, files, ranges, records, rows, writers
 from sparkloom.staging import scratch
 from sparkloom.streaming import logs
 
@@ -101,12 +101,21 @@ def snapshot(spark, d):
     return rows.read_snapshot(spark, f"{path}/snap", "doc_id long, text string").agg(F.count("*").alias("docs"))
 
 
-@query("sc14_json_array", "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region")
+@query("sc14_json_array", "SELECT doc_id, lang, md5(text) AS md5 FROM documents")
 def json_array(spark, d):
+    """Files that are one JSON array each, read by pieces that know nothing of elements."""
     path = scratch(spark, "array")
-    whole = F.to_json(F.array_sort(F.collect_list(F.struct(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))))
-    t(spark, d, "region").agg(whole.alias("value")).write.text(path)
-    return files.read_json_array(spark, path, "k long, name string")
+    docs = t(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = ranked(docs, ["doc_id"], ["lang"])
+    lines = docs.select("lang", "doc_id", F.concat(F.when(F.col("rank") == 1, "[").otherwise(","), F.to_json(F.struct("doc_id", "lang", "text"))).alias("value"))
+    ends = docs.select("lang").distinct().select("lang", F.lit(1 << 62).alias("doc_id"), F.lit("]").alias("value"))
+    raw = F.encode(F.concat("value", F.lit("\n")), "utf-8")
+    piece = F.dense_rank().over(W.orderBy("lang"))
+    langs = docs.select("lang").distinct().withColumn("piece", piece)  # one row a language
+    whole = lines.unionByName(ends).join(langs, "lang").withColumn("raw", raw)
+    writers.write_raw(whole, path, "piece", "doc_id")
+    got = arrays.parsed(arrays.read_array(spark, path, 1 << 16), "doc_id long, lang string, text string")
+    return got.select("doc_id", "lang", F.md5("text").alias("md5"))
 
 
 @query("sc16_rows_by_line", "SELECT doc_id, source FROM documents WHERE doc_id % 10 = 3")
@@ -128,28 +137,65 @@ def tsv_manifest(spark, d):
     return files.read_manifest(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double")
 
 
-def raw_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes one small binary file."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(data))
-    out.close()
+#: Orders of a token shard, and tokens of a chunk.
+SHARD, CHUNK = 1000, 64
 
 
-@query("sc18_token_file", "SELECT count(*) AS tokens, CAST(sum(n_nationkey * 1000 + 7) AS BIGINT) AS total FROM nation")
-def token_file(spark, d):
-    path = scratch(spark, "tokens") + "/a.npy"
-    keys = [r.k for r in t(spark, d, "nation").select((F.col("n_nationkey") * 1000 + 7).alias("k")).collect()]  # 25 rows
-    raw_file(spark, path, struct.pack(f"<{len(keys)}I", *keys))
-    return files.read_tokens(spark, path).select(F.explode("tokens").alias("x")).agg(F.count("*").alias("tokens"), F.sum("x").alias("total"))
+def token_shards(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The customers of all orders, in order, as token shards of SHARD tokens; (piece, path, bytes) of the shards."""
+    path = scratch(spark, "tokens")
+    o = ranked(t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"]).withColumn("piece", F.floor((F.col("rank") - 1) / SHARD))
+    raw = F.to_binary(F.hex(F.reverse(F.to_binary(F.lpad(F.hex("o_custkey"), 8, "0"), F.lit("hex")))), F.lit("hex"))  # little-endian
+    return path, writers.write_raw(o.withColumn("raw", raw), path, "piece", "rank")
+
 
+ORDER_SHARDS = f"o AS (SELECT o_custkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders), s AS (SELECT k, r // {SHARD} AS shard, r % {SHARD} AS i FROM o)"
 
-@query("sc20_float_table", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS \"row\", n_nationkey / 2.0::DOUBLE AS a, CAST(n_regionkey AS DOUBLE) AS b FROM nation")
+
+@query("sc18_token_file", f"WITH {ORDER_SHARDS} SELECT CAST(shard AS BIGINT) AS shard, CAST(i // {CHUNK} AS BIGINT) AS chunk, count(*) AS tokens, CAST(sum(k * (i % {CHUNK} + 1)) AS BIGINT) AS total FROM s GROUP BY ALL")
+def token_file(spark, d):
+    """Chunks of token files, by byte ranges; the last of a file is shorter."""
+    path, _ = token_shards(spark, d)
+    got = files.read_tokens(spark, path, CHUNK, split=CHUNK * 4 * 3)
+    total = F.aggregate(F.transform("tokens", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return got.select(F.regexp_extract("path", r"piece-(\d+)", 1).cast("long").alias("shard"), "chunk", F.size("tokens").cast("long").alias("tokens"), total.alias("total"))
+
+
+@query("sc18_chunks_by_address", f"""WITH {ORDER_SHARDS}, n AS (SELECT shard, count(*) // {CHUNK} AS n FROM s GROUP BY 1), f AS (SELECT shard, n, sum(n) OVER (ORDER BY shard) - n AS first FROM n)
+SELECT CAST(first + i // {CHUNK} AS BIGINT) AS chunk, CAST(sum(k * (i % {CHUNK} + 1)) AS BIGINT) AS total FROM s JOIN f USING (shard) WHERE i // {CHUNK} < n AND (first + i // {CHUNK}) % 3 = 1 GROUP BY 1""")
+def chunks_by_address(spark, d):
+    """Every third chunk of a stream of shards, sought in the files; shards' rests are in none."""
+    _, shards = token_shards(spark, d)
+    table = shards.select(F.lit("all").alias("domain"), F.col("piece"), "path", (F.col("bytes") / 4).cast("long").alias("tokens"))
+    table = table.withColumn("path", F.concat(F.lpad(F.col("piece").cast("string"), 12, "0"), F.lit(" "), "path"))  # in order of their numbers
+    n = table.agg(F.sum(F.floor(F.col("tokens") / CHUNK))).first()[0]
+    wanted = spark.range(1, n, 3).select(F.lit("all").alias("domain"), F.col("id").alias("chunk"))
+    placed = records.chunk_places(wanted, table, CHUNK).withColumn("path", F.substring("path", 14, 1 << 20))
+    got = ranges.bytes_at(placed, "length").select("chunk", ranges.numbers(F.col("value"), "<u4").alias("tokens"))
+    return got.select("chunk", F.aggregate(F.transform("tokens", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+@query("sc20_float_table", """WITH e AS (SELECT vec_id, embedding AS e, vec_id // 100 AS piece FROM embeddings), r AS (SELECT piece, row_number() OVER (PARTITION BY piece ORDER BY vec_id) - 1 AS "row", e FROM e)
+SELECT CAST(piece AS BIGINT) AS piece, CAST("row" AS BIGINT) AS "row", CAST(e[1] AS DOUBLE) AS first, CAST(e[64] AS DOUBLE) AS last FROM r WHERE "row" >= 10 AND "row" < 90""")
 def float_table(spark, d):
-    path = scratch(spark, "floats") + "/scores.bin"
-    n = t(spark, d, "nation").orderBy("n_nationkey").collect()
-    raw_file(spark, path, b"".join(struct.pack("<2f", r.n_nationkey / 2, r.n_regionkey) for r in n))
-    return rows.read_float_table(spark, path, 2).select("row", F.col("scores")[0].cast("double").alias("a"), F.col("scores")[1].cast("double").alias("b"))
+    """Records of float files, some of each file: the rest isn't read."""
+    path, e = scratch(spark, "floats"), t(spark, d, "embeddings").select("vec_id", "embedding")
+    packed = e.withColumn("piece", F.floor(F.col("vec_id") / 100)).withColumn("raw", ranges.packed(F.col("embedding"), "<f4"))
+    writers.write_raw(packed, path, "piece", "vec_id")
+    got = rows.read_float_table(spark, path, 64, split=64 * 4 * 30).where("row >= 10 and row < 90")
+    piece = F.regexp_extract("path", r"piece-(\d+)", 1).cast("long").alias("piece")
+    return got.select(piece, "row", F.col("scores")[0].cast("double").alias("first"), F.col("scores")[63].cast("double").alias("last"))
+
+
+@query("sc21_documents_at_offsets", "SELECT doc_id, md5(text) AS md5 FROM documents WHERE doc_id % 3 = 1")
+def documents_at_offsets(spark, d):
+    """Documents read at the byte offsets of their lines: those whose lines are found by a scan of the offsets."""
+    path = scratch(spark, "offsets")
+    docs = t(spark, d, "documents").select("doc_id", "text").sortWithinPartitions("doc_id")
+    docs.select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(path)
+    found = ranges.lines_at(rows.line_offsets(spark, path).withColumnRenamed("file", "path"))
+    r = F.from_json("value", "doc_id long, text string", {"mode": "FAILFAST"})
+    return found.select(r.alias("r")).where("r.doc_id % 3 = 1").select("r.doc_id", F.md5("r.text").alias("md5"))
 
 
 @query("sc22_loaded_curves", f"WITH {POINTS} SELECT step, run AS label, round(loss, 8) AS bpb FROM pts")

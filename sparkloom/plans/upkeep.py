@@ -183,8 +183,9 @@ def union_configs(spark, d):
 
 @query("sc15_row_access", "SELECT file_row_number AS \"row\", doc_id, source FROM (SELECT row_number() OVER () - 1 AS file_row_number, doc_id, source FROM documents) WHERE file_row_number IN (SELECT doc_id FROM labels)")
 def row_access(spark, d):
-    table = rows.parquet_rows(spark, f"{d}/documents.parquet", ["doc_id", "source"])
-    return rows.take_rows(table, t(spark, d, "labels").select(F.col("doc_id").alias("row")))
+    """Labelled rows by their index, read from the row groups that hold them."""
+    got = rows.rows_at(spark, f"{d}/documents.parquet", t(spark, d, "labels").select(F.col("doc_id").alias("row")), ["doc_id", "source"])
+    return got.select("row", "doc_id", "source")
 
 
 @query("sc19_token_range", """WITH s AS (SELECT source, doc_id AS ord, string_split(text, ' ') AS w FROM documents), o AS (SELECT source, ord, w, CAST(sum(len(w)) OVER (PARTITION BY source ORDER BY ord) - len(w) AS BIGINT) AS first FROM s)

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC = "id string, text string, source string, metadata struct<domain:string>"
 EOS = 100257  # fixed value: the token after every document
 DOCS_PER_SHARD = 10_000
+CHUNK_TOKENS = 2048  # fixed value: tokens of an instance
 
 
 def read_docs(spark: SparkSession, paths: str | list[str], schema: str = DOC, malformed: str = "raise") -> DataFrame:
@@ -34,9 +35,11 @@ def read_rows_with_reason(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", text.alias("text"), reason.alias("reason"))
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a file that is one JSON array; such a file is read whole by one task."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Rows of files that are one JSON array each; a file is read by many tasks."""
+    from .arrays import parsed, read_array
+
+    return parsed(read_array(spark, path), schema).drop("path", "row")
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -50,13 +53,12 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None, least
     return df.where(F.col("path").rlike(pattern)) if pattern else df
 
 
-def read_tokens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, tokens) of headerless little-endian uint32 files; a size that isn't whole tokens raises."""
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"path": f.path, "tokens": [np.frombuffer(b, "<u4").astype(np.int64) for b in f.content]})
+def read_tokens(spark: SparkSession, paths: str | list[str], width: int = CHUNK_TOKENS, tail: str = "keep", **options) -> DataFrame:
+    """(path, chunk, tokens) of headerless little-endian uint32 files, in chunks of width tokens; tail: keep a file's shorter
+    last chunk, drop it or raise. A size that isn't whole tokens raises. A file is read by many tasks."""
+    from .records import read_records
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(unpack, "path string, tokens array<long>")
+    return read_records(spark, paths, "<u4", width, tail, **options).select("path", F.col("record").alias("chunk"), F.col("numbers").alias("tokens"))
 
 
 def read_curves(spark: SparkSession, path: str) -> DataFrame:
@@ -65,15 +67,19 @@ def read_curves(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", "step", F.explode("task_loss_bpb").alias("label", "bpb"))
 
 
-def read_trainer_log(spark: SparkSession, path: str, order: Column | None = None) -> DataFrame:
-    """(step, name, value) of log lines; a line without a step belongs to the last one seen in its file."""
-    from pyspark.sql import Window as W
+def read_trainer_log(spark: SparkSession, path: str) -> DataFrame:
+    """(step, name, value) of log lines; a line without a step belongs to the last one seen in its file. Lines that hold
+    neither are left out before the steps are carried on, over ranges of lines."""
+    from sparkloom.operators.running import last_seen
+
+    from .rows import indexed_lines
 
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), (order if order is not None else F.monotonically_increasing_id()).alias("n"))
+    pair = r"([\w./-]+)=(-?[\d.]+(?:e-?\d+)?)"
     step = F.nullif(F.regexp_extract("value", r"step[=: ]+(\d+)", 1), F.lit("")).cast("long")
-    lines = lines.withColumn("step", F.last(step, ignorenulls=True).over(W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
-    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(r"([\w./-]+)=(-?[\d.]+(?:e-?\d+)?)"), 1).alias("k"), F.regexp_extract_all("value", F.lit(r"([\w./-]+)=(-?[\d.]+(?:e-?\d+)?)"), 2).alias("v"))
-    return lines.select("step", F.explode(pairs).alias("p")).select("step", F.col("p.k").alias("name"), F.col("p.v").cast("double").alias("value")).where("name <> 'step'")
+    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(pair), 1).alias("k"), F.regexp_extract_all("value", F.lit(pair), 2).alias("v"))
+    lines = indexed_lines(spark, path).select("file", "row", step.alias("step"), pairs.alias("pairs")).where("step is not null or size(pairs) > 0")
+    lines = last_seen(lines, F.col("step"), ["row"], ["file"], "step")
+    return lines.select("step", F.explode("pairs").alias("p")).select("step", F.col("p.k").alias("name"), F.col("p.v").cast("double").alias("value")).where("name <> 'step'")
 
 
 def write_docs(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.gates import require
 from sparkloom.operators.running import running_totals
 
+from sparkloom.staging import checkpoint
+
 from .files import write_docs
+from .ranges import located
+from .rows import indexed_lines
 
 #: The file that says a result is whole, and the one that says how far a table is.
 DONE, PROGRESS = "DONE.json", "progress.json"
@@ -60,10 +66,73 @@ def write_splits(docs: DataFrame, path: str, by: tuple[str, ...] = ("source", "d
 
 
 def concatenated(spark: SparkSession, paths: list[str], out: str) -> int:
-    """Shards' lines as one file of lines, blank ones left out; how many there are. One file means one task."""
-    lines = spark.read.text(paths).where(F.trim("value") != "")
-    lines.coalesce(1).write.mode("overwrite").text(out)
-    return spark.read.text(out).count()
+    """Shards' lines as one file of lines, <out>/lines.txt, blank ones left out, shards in order of their names; how many
+    lines there are. Many tasks write pieces of it; the file system then joins the pieces, so no task writes all."""
+    lines = indexed_lines(spark, paths)
+    written = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "row").sortWithinPartitions("file", "row")
+    written.select("value").write.mode("overwrite").text(f"{out}/pieces")
+    fs, folder = _fs(spark, f"{out}/pieces")
+    names = sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    target = _fs(spark, f"{out}/lines.txt")[1]
+    draft = _fs(spark, f"{out}/.{uuid.uuid4().hex}")[1]
+    join_files(spark, names, draft.toString())
+    fs.delete(target, False)
+    fs.rename(draft, target)
+    fs.delete(folder, True)
+    return spark.read.text(f"{out}/lines.txt").count()
+
+
+def join_files(spark: SparkSession, names: list[str], out: str) -> None:
+    """One file of others' bytes, in order: by the file system where it can join files, else by copying them."""
+    fs, target = _fs(spark, out)
+    jvm = spark.sparkContext._jvm
+    stream = fs.create(target, True)
+    if fs.getScheme() == "hdfs":
+        stream.close()
+        paths = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(names))
+        for i, n in enumerate(names):
+            paths[i] = _fs(spark, n)[1]
+        fs.concat(target, paths)
+        return
+    try:
+        for n in names:
+            source = fs.open(_fs(spark, n)[1])
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 20, False)
+            source.close()
+    finally:
+        stream.close()
+
+
+def write_raw(df: DataFrame, path: str, piece: str, order: str, raw: str = "raw") -> DataFrame:
+    """Binary values as headerless files: one for each piece, piece-<n>.bin, in order; (piece, path, bytes) of each.
+
+    A piece is streamed by one task, row by row, to a draft that is renamed once it is whole, so a task that runs again
+    replaces what it left."""
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, []
+        for batch in batches:
+            for k, value in zip(batch.column(piece).to_pylist(), batch.column(raw).to_pylist()):
+                if held is None or held[0] != k:
+                    done += _close(held)
+                    store, at = located(f"{path}/piece-{k}.bin")
+                    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    draft = f"{at.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                    held = [k, store, draft, at, store.open_output_stream(draft), 0]
+                held[4].write(value)
+                held[5] += len(value)
+        done += _close(held)
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], ["piece", "path", "bytes"])
+
+    def _close(held: list | None) -> list[tuple]:
+        if held is None:
+            return []
+        k, store, draft, at, stream, n = held
+        stream.close()
+        store.move(draft, at)
+        return [(k, f"{path}/piece-{k}.bin", n)]
+
+    rows = df.select(F.col(piece).cast("long").alias(piece), order, raw).repartition(piece).sortWithinPartitions(piece, order)
+    return checkpoint(rows.mapInArrow(put, "piece long, path string, bytes long"))
 
 
 def capped_pieces(df: DataFrame, size: Column, cap: int, order: str) -> DataFrame:
