@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .vectors import HUGE, LOW, matrices, scores, spans, usable, whole
+from .vectors import EXACT, HUGE, LOW, matrices, scores, spans, usable, whole
 
 #: Vectors with the smallest hashes serve as pivots and pilots: bounded samples; every row is indexed against the pivots.
 PIVOTS, PILOTS = 24, 2048
@@ -80,6 +80,7 @@ def search_block(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) ->
     if spans(c["v"]).max() < HUGE:
         low, high = (f.reduceat(dist[:, order], cells, axis=1) for f in (np.minimum, np.maximum))
         top[fit] = bounds(q["dist"][:, fit], low, high)
+    plain = min(spans(q["v"]).max(), HUGE) * min(spans(c["v"]).max(), HUGE) < EXACT
     rows, found, reached = [], [], []
     for i in range(len(top)):
         rank = np.argsort(-top[i], kind="stable")
@@ -88,7 +89,7 @@ def search_block(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) ->
         while at < len(rank) and (len(best_s) < k or top[i][rank[at]] >= best_s[-1]):
             j = np.concatenate([order[x : x + CELL] for x in cells[rank[at : at + step]]])
             j = j[(c["key"][j] != q["key"][i]) | (c["n"][j] > 1)]  # not the query's own row, unless others equal it
-            best_s, best_j = np.r_[best_s, scores(q["v"][i : i + 1], c["v"][j])[0]], np.r_[best_j, j]
+            best_s, best_j = np.r_[best_s, (c["v"][j] @ q["v"][i]).astype(np.int64) if plain else scores(q["v"][i : i + 1], c["v"][j])[0]], np.r_[best_j, j]
             best = np.lexsort((c["id"][best_j], c["none"][best_j], ~best_s))[:k]
             best_s, best_j = best_s[best], best_j[best]
             at, step = at + step, step * 2
