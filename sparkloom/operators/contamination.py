@@ -19,8 +19,8 @@ from sparkloom.staging import checkpoint
 BROADCAST_ROWS = 1_000_000
 #: Most prefixes, in rows of about 30 bytes, that are sent to every executor.
 BROADCAST_PREFIXES = 8_000_000
-#: Positions that are listed at a time.
-CHUNK = 1024
+#: Positions that share a list of words: each row of a position holds its list until the prefixes are met.
+CHUNK = 64
 
 
 def _worded(df: DataFrame, text: str, compatibility: bool, *more: Column) -> DataFrame:
@@ -29,12 +29,17 @@ def _worded(df: DataFrame, text: str, compatibility: bool, *more: Column) -> Dat
     return df.select(*more, F.explode(F.array(words(normalize(F.col(text), compatibility)))).alias("_w"))
 
 
+def _hashed(w: Column, at: Column) -> Column:
+    """Hash of the SHORTEST words from place at, from 0. Each is taken from the list by itself: a slice copies the list."""
+    return F.xxhash64(*[F.get(w, at + i) for i in range(SHORTEST)])
+
+
 def item_index(items: DataFrame, item: str = "item_id", text: str = "text", compatibility: bool = True) -> DataFrame:
     """(item, ngram, width, prefix): every key of every item that can be assessed."""
     normal = _worded(items, text, compatibility, F.col(item).alias("item_id"))
     keyed = normal.select("item_id", F.explode(keys_for_field(F.col("_w"))).alias("ngram")).distinct()
     parts = F.split("ngram", " ")
-    return keyed.select("item_id", "ngram", F.size(parts).alias("width"), F.xxhash64(F.slice(parts, 1, SHORTEST)).alias("prefix"))
+    return keyed.select("item_id", "ngram", F.size(parts).alias("width"), _hashed(parts, F.lit(0)).alias("prefix"))
 
 
 def index_summary(items: DataFrame, item: str = "item_id", text: str = "text", compatibility: bool = True) -> DataFrame:
@@ -49,38 +54,39 @@ def index_summary(items: DataFrame, item: str = "item_id", text: str = "text", c
 
 
 def _runs(docs: DataFrame, doc: str, text: str, compatibility: bool, marks: bool, *more: str) -> DataFrame:
-    """Every position of every document: pos (from 1), the hash of the next SHORTEST words, and the next WIDTH words.
-    With marks a row at pos 0 as well, of every document, which alone has its number of words in n."""
+    """Every position of every document: pos (from 1), the hash of the next SHORTEST words, and where they are (_at, from
+    0) in a list of words (_part) that goes on to WIDTH words. With marks a row at pos 0 as well, of every document, which
+    alone has its number of words in n."""
     w = _worded(docs, text, compatibility, *[F.col(c) for c in more], F.col(doc).alias("_doc"))
     n, none = F.size("_w"), F.array().cast("array<int>")
     starts = F.when(n >= SHORTEST, F.sequence(F.lit(1), n - SHORTEST + 1, F.lit(CHUNK))).otherwise(none)
-    chunks = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("_w", i, CHUNK + WIDTH - 1).alias("w")))
-    if marks:
-        chunks = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("w"))), chunks)
-    c = w.select(*more, "_doc", n.alias("n"), F.explode(chunks).alias("_c"))
-    at, part = F.col("_c.at"), F.col("_c.w")
-    mark = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("_doc").alias("prefix"), F.lit("").alias("span")))
-    inside = F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.size(part) - SHORTEST + 1))
-    runs = F.transform(inside, lambda k: F.struct((at + k - 1).alias("pos"), F.xxhash64(F.slice(part, k, SHORTEST)).alias("prefix"), F.array_join(F.slice(part, k, WIDTH), " ").alias("span")))
-    placed = c.select(*more, "_doc", "n", F.explode(F.when(at == 0, mark).otherwise(runs)).alias("_r")) if marks else c.select(*more, "_doc", F.lit(None).cast("int").alias("n"), F.explode(runs).alias("_r"))
-    return placed.select(*more, "_doc", F.when(F.col("_r.pos") == 0, F.col("n")).alias("n"), "_r.pos", F.col("_r.prefix").alias("_prefix"), "_r.span")
+    chunks = F.transform(F.concat(F.array(F.lit(0)), starts) if marks else starts, lambda i: F.struct(i.alias("at"), F.when(i > 0, F.slice("_w", F.greatest(i, F.lit(1)), CHUNK + WIDTH - 1)).alias("w")))
+    c = w.select(*more, "_doc", n.alias("n"), F.explode(chunks).alias("_c")).select(*more, "_doc", "n", F.col("_c.at").alias("_first"), F.col("_c.w").alias("_part"))
+    last = F.least(F.lit(CHUNK), F.size("_part") - SHORTEST + 1) - 1
+    placed = c.select(*more, "_doc", "n", "_first", "_part", F.explode(F.when(F.col("_first") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last))).alias("_at"))
+    mark = F.col("_first") == 0
+    prefix = F.when(mark, F.xxhash64("_doc")).otherwise(_hashed(F.col("_part"), F.col("_at")))
+    return placed.select(*more, "_doc", F.when(mark, F.col("n")).alias("n"), (F.col("_first") + F.col("_at")).alias("pos"), prefix.alias("_prefix"), "_part", "_at")
 
 
 def _found(docs: DataFrame, items: DataFrame, doc: str, text: str, compatibility: bool, marks: bool = False, *more: str) -> DataFrame:
     """Exact keys found, with more columns of the documents, and marks if asked for. One pass over the texts; nothing but
-    what passes the prefixes of the index is ever shuffled, unless there are too many of these to send."""
+    what passes the prefixes of the index is ever shuffled, unless there are too many of these to send. The words of a
+    position are put together only once its prefix is met."""
     idx = checkpoint(item_index(items, compatibility=compatibility))
     runs = _runs(docs, doc, text, compatibility, marks, *more)
     how, mark = ("left" if marks else "inner"), F.col("pos") == 0
-    exact = (F.col("_prefix") == F.col("prefix")) & ~mark & F.startswith(F.concat("span", F.lit(" ")), F.concat("ngram", F.lit(" ")))
+    span = F.array_join(F.slice("_part", F.col("_at") + 1, WIDTH), " ")
+    key = lambda span: (F.col("_prefix") == F.col("prefix")) & ~mark & F.startswith(F.concat(span, F.lit(" ")), F.concat("ngram", F.lit(" ")))
     if idx.count() <= BROADCAST_ROWS:
-        out = runs.join(F.broadcast(idx), exact, how).where(F.col("ngram").isNotNull() | mark)
+        out = runs.join(F.broadcast(idx), key(span), how).where(F.col("ngram").isNotNull() | mark)
     else:
         prefixes = idx.select(F.col("prefix").alias("_p")).distinct()
         if prefixes.count() <= BROADCAST_PREFIXES:
             prefixes = F.broadcast(prefixes)
-        near = checkpoint(runs.join(prefixes, F.col("_prefix") == F.col("_p"), how).where(F.col("_p").isNotNull() | mark))
-        out = near.where(~mark).join(idx, exact).unionByName(near.where(mark), allowMissingColumns=True)
+        near = runs.join(prefixes, F.col("_prefix") == F.col("_p"), how).where(F.col("_p").isNotNull() | mark)
+        near = checkpoint(near.withColumn("span", span).drop("_part", "_at"))
+        out = near.where(~mark).join(idx, key(F.col("span"))).unionByName(near.where(mark), allowMissingColumns=True)
     return out.select(*more, "_doc", "n", F.col("pos").cast("long").alias("pos"), F.col("width").cast("long").alias("width"), "item_id")
 
 
