@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels of roles; other roles are capitalised.
 ROLE_LABELS = {
@@ -28,6 +31,15 @@ EXCLUSION = {
     "dolci": {"domains": ["safety", "precise if"], "source_dataset": ["coconot", "aya", "wildguard", "wildjailbreak", "tool use"], "function_calls": True},
 }
 
+# The names of those rules in a file of rules.
+RULE_KEYS = {
+    "source": "drop_source_substrings",
+    "languages": "english_language_values",
+    "configs": "skip_configs",
+    "domains": "drop_domains",
+    "source_dataset": "drop_source_dataset_substrings",
+}
+
 # Domains by source; of substrings the first that fits decides.
 CONFIG_DOMAIN = {
     "numina-cot-100k": "math",
@@ -104,26 +116,75 @@ def _any_of(hay: Column, needles: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(hay, n)) if needles else F.lit(False)
 
 
-def keep_row(df: DataFrame, source: str) -> Column:
-    """Whether a source's rule keeps a row; an unknown source raises."""
-    if source not in EXCLUSION:
+def holds_call(field: Column, kind: T.DataType) -> Column:
+    """Whether a tool field of a message holds something: a text that isn't blank, a list or map that isn't empty, a JSON
+    list or object (as text or variant) that isn't, or any other value. Null holds nothing."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(~F.regexp_replace(field, r"\s", "").isin("", "[]", "{}", "null"), F.lit(False))
+    if isinstance(kind, T.VariantType):
+        return holds_call(F.try_variant_get(field, "$", "string"), T.StringType())
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.size(field) > 0, F.lit(False))
+    return field.isNotNull()
+
+
+def load_rules(spark, path: str) -> dict[str, dict]:
+    """Exclusion rules of a YAML file, for keep_row: a top-level map `sources` with an entry for each known source. Another
+    form, an unknown source or a missing one raises."""
+    import yaml
+
+    raw = yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # a configuration file
+    if not isinstance(raw, dict) or not isinstance(raw.get("sources"), dict):
+        raise ValueError(f"{path} has no map of sources")
+    given = raw["sources"]
+    if unlike := sorted(set(given) ^ set(EXCLUSION)):
+        raise ValueError(f"{path}: sources that are missing or unknown: {', '.join(unlike)}")
+    rules = {}
+    for source, own in given.items():
+        own = own or {}
+        if not isinstance(own, dict):
+            raise ValueError(f"{path}: {source} isn't a map")
+        rule: dict = {}
+        for name, key in RULE_KEYS.items():
+            listed = own.get(key) or []
+            if not isinstance(listed, list) or not all(isinstance(x, str) for x in listed):
+                raise ValueError(f"{path}: {key} of {source} isn't a list of texts")
+            if listed:
+                rule[name] = [x.strip().lower() for x in listed]
+        if own.get("drop_non_english_language"):
+            rule.setdefault("languages", EXCLUSION["openhermes-25"]["languages"])
+        else:
+            rule.pop("languages", None)
+        if own.get("drop_if_function_calls"):
+            rule["function_calls"] = True
+        rules[source] = rule
+    return rules
+
+
+def keep_row(df: DataFrame, source: str, rules: dict[str, dict] | None = None) -> Column:
+    """Whether a source's rule keeps a row; an unknown source raises. rules: those of load_rules in place of EXCLUSION."""
+    rules = EXCLUSION if rules is None else rules
+    if source not in rules:
         raise ValueError(f"unknown source: {source!r}")
-    rule = EXCLUSION[source]
+    rule = rules[source]
     low = lambda *names: F.concat_ws(" ", *[F.when(F.trim(_field(df, n)) != "", F.lower(F.trim(_field(df, n)))) for n in names])
     if "configs" in rule:
         return ~F.coalesce(F.lower(F.trim(_field(df, "config"))).isin(rule["configs"]), F.lit(False))
+    keep = F.lit(True)
     if "languages" in rule:
         lang = F.lower(F.trim(_field(df, "language")))
-        return lang.isNull() | (lang == "") | lang.isin(rule["languages"])
+        keep = lang.isNull() | (lang == "") | lang.isin(rule["languages"])
     if source == "tulu-3":
-        return ~_any_of(low("source", "id"), rule["source"])
+        return ~_any_of(low("source", "id"), rule.get("source", []))
     if source == "dolci":
-        keep = ~F.coalesce(F.lower(F.trim(_field(df, "domain"))).isin(rule["domains"]), F.lit(False)) & ~_any_of(low("source_dataset", "id"), rule["source_dataset"])
-        if "messages" in df.columns:
-            called = lambda m: F.coalesce(F.trim(m["function_calls"]) != "", F.lit(False)) | F.coalesce(F.trim(m["functions"]) != "", F.lit(False))
-            keep = keep & ~F.coalesce(F.exists("messages", called), F.lit(False))
+        keep = ~F.coalesce(F.lower(F.trim(_field(df, "domain"))).isin(rule.get("domains", [])), F.lit(False)) & ~_any_of(low("source_dataset", "id"), rule.get("source_dataset", []))
+        turns = next((c for c in ("messages", "conversations") if c in df.columns), None)
+        if rule.get("function_calls") and turns:
+            kinds = {f.name: f.dataType for f in df.schema[turns].dataType.elementType.fields if f.name in ("function_calls", "functions")}
+            called = lambda m: reduce(lambda a, b: a | b, [holds_call(m[n], kind) for n, kind in kinds.items()], F.lit(False))
+            keep = keep & ~F.coalesce(F.exists(turns, called), F.lit(False))
         return keep
-    return F.lit(True)
+    return keep & ~_any_of(low("source", "dataset", "source_dataset", "id"), rule.get("source", []))
 
 
 def map_domain(df: DataFrame, source: str) -> Column:

@@ -184,3 +184,11 @@ def ladder(final: int, every: int = 125) -> list[int]:
     if final - steps[-1] > 0:
         steps = (steps if final - steps[-1] >= every / 2 or len(steps) == 1 else steps[:-1]) + [final]
     return steps
+
+
+def ladder_of(final: Column, every: int = 125) -> Column:
+    """ladder() of a column of final steps, as an array."""
+    rest = final % every
+    short = (rest > 0) & (rest < every / 2) & (final >= every)
+    steps = F.sequence(F.lit(0).cast("long"), F.when(short, final - rest - every).otherwise(final - rest), F.lit(every).cast("long"))
+    return F.when(rest > 0, F.concat(steps, F.array(final))).otherwise(steps)

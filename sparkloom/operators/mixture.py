@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.staging import checkpoint
+
 
 def law(c: Column, k: Column, t: Column, r: Column) -> Column:
     """c + k * exp(sum t_i r_i), the exponent held to +-60; t and r are arrays."""
@@ -125,66 +127,79 @@ def _project(w: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.clip(w - (a + b) / 2, low, high)
 
 
+def _polish(rows: list[tuple], low: float, high: float, domains: int):
+    """A mapInPandas function (w -> w, loss): projected gradient from each row's mixture. rows: c, k and t of each family."""
+    c, k, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    lo, hi = np.full(domains, low), np.full(domains, high)
+    value = lambda w: float((c + k * np.exp(np.clip(t @ w, -60, 60))).mean())
+
+    def polish(frames):
+        for f in frames:
+            out = []
+            for w in f.w:
+                w, rate = _project(np.asarray(w, float), lo, hi), 0.5
+                now = value(w)
+                while rate > 1e-9:
+                    new = _project(w - rate * ((k * np.exp(np.clip(t @ w, -60, 60)))[:, None] * t).mean(0), lo, hi)
+                    if value(new) < now - 1e-15:
+                        w, now, rate = new, value(new), rate * 1.3
+                    else:
+                        rate /= 3
+                out.append((w.tolist(), now))
+            yield pd.DataFrame(out, columns=["w", "loss"])
+
+    return polish
+
+
+def _families(laws: DataFrame) -> list[tuple]:
+    """Laws as rows for all tasks: a row a family."""
+    return [(float(r.c), float(r.k), [float(x) for x in r.t]) for r in laws.orderBy("family").collect()]
+
+
 def optimise(laws: DataFrame, domains: int, low: float = 0.0, high: float = 1.0, starts: int = 16, seed: int = 0) -> DataFrame:
-    """The mixture with the least mean predicted loss over all families: projected gradient from several starts.
-    laws has a row a family, so one task holds it."""
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("family")
-        c, k, t = g.c.to_numpy(), g.k.to_numpy(), np.stack(g.t.to_numpy())
-        lo, hi = np.full(domains, low), np.full(domains, high)
-        f = lambda w: float((c + k * np.exp(np.clip(t @ w, -60, 60))).mean())
-        rng, best = np.random.default_rng(seed), None
-        for i in range(starts):
-            w = _project(np.full(domains, 1 / domains) if i == 0 else rng.dirichlet(np.ones(domains)), lo, hi)
-            rate, now = 0.5, f(w)
-            for _ in range(400):
-                grad = ((k * np.exp(np.clip(t @ w, -60, 60)))[:, None] * t).mean(0)
-                new = _project(w - rate * grad, lo, hi)
-                if f(new) < now - 1e-15:
-                    w, now, rate = new, f(new), rate * 1.3
-                else:
-                    rate /= 3
-                    if rate < 1e-9:
-                        break
-            if best is None or now < best[1] - 1e-12:
-                best = (w, now)
-        return pd.DataFrame({"ord": range(domains), "weight": best[0], "loss": best[1]})
-
-    one = laws.select("family", "c", "k", "t", F.lit(1).alias("_one"))
-    return one.groupBy("_one").applyInPandas(lambda g: solve(g.drop(columns="_one")), "ord long, weight double, loss double")
+    """(ord, weight, loss): the mixture with the least mean predicted loss over all families: projected gradient from an even
+    mixture and random ones, each start a row of its own."""
+    spark = laws.sparkSession
+    even = spark.range(1).select(F.array(*[F.lit(1.0 / domains)] * domains).alias("w"))
+    begin = even.unionByName(simplex_candidates(spark, starts - 1, domains, seed, low, high).select("w")).repartition(starts)
+    best = begin.mapInPandas(_polish(_families(laws), low, high, domains), "w array<double>, loss double").orderBy("loss", "w").limit(1)
+    return best.select(F.posexplode("w").alias("ord", "weight"), "loss").select(F.col("ord").cast("long").alias("ord"), "weight", "loss")
 
 
-def simplex_candidates(spark, n: int, domains: int, seed: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """(id, w): flat Dirichlet points from keyed uniforms, moved between bounds."""
+def simplex_points(df: DataFrame, key: str, domains: int, seed: int, low: float = 0.0, high: float = 1.0, out: str = "w") -> DataFrame:
+    """df with a flat Dirichlet point for each row, from uniforms keyed by seed and key, moved between bounds."""
     from .selection import uniform
 
-    raw = F.transform(F.sequence(F.lit(0), F.lit(domains - 1)), lambda i: -F.ln(1 - uniform("dirichlet", seed, F.col("id"), i)))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(domains - 1)), lambda i: -F.ln(1 - uniform("dirichlet", seed, F.col(key), i)))
     w = F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda s, y: s + y))
-    df = spark.range(n).withColumn("_e", raw).select("id", w.alias("w"))
+    df = df.withColumn("_e", raw).withColumn(out, w).drop("_e")
     if low <= 0 and high >= 1:
         return df
 
     def move(frames):
         for f in frames:
-            yield f.assign(w=list(_project(np.stack(f.w.to_numpy()).astype(float), np.full(domains, low), np.full(domains, high)))) if len(f) else f
+            yield f.assign(**{out: list(_project(np.stack(f[out].to_numpy()).astype(float), np.full(domains, low), np.full(domains, high)))}) if len(f) else f
 
-    return df.mapInPandas(move, "id long, w array<double>")
+    return df.mapInPandas(move, df.schema)
 
 
-def near_optimal(scored: DataFrame, band: float, keep: int, least_gap: float) -> DataFrame:
-    """Up to `keep` mixtures within `band` of the best, each at least `least_gap` (L1) from those kept before. Rounded
-    doubles go first; the rest is sequential over the few thousand best."""
-    best = scored.agg(F.min("loss")).first()[0]
-    near = scored.where(F.col("loss") <= best + band).withColumn("_key", F.transform("w", lambda x: F.bround(x, 2))).orderBy("loss", "id").dropDuplicates(["_key"]).drop("_key")
+def simplex_candidates(spark, n: int, domains: int, seed: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(id, w): n points of simplex_points."""
+    return simplex_points(spark.range(n), "id", domains, seed, low, high)
 
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        g, kept = g.sort_values(["loss", "id"]), []
-        for i, w in enumerate(g.w):
-            if len(kept) < keep and all(np.abs(np.asarray(w) - np.asarray(g.w.iloc[j])).sum() >= least_gap for j in kept):
-                kept.append(i)
-        return g.iloc[kept]
 
-    return near.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda g: pick(g.drop(columns="_one")), scored.schema)
+def near_optimal(scored: DataFrame, band: float, keep: int, least_gap: float) -> DataFrame:
+    """Up to `keep` mixtures within `band` of the best, each at least `least_gap` (L1) from those kept before; of equal
+    rounded mixtures the first. A pass a mixture kept: the best of what is left, and then only what is far enough from it."""
+    best = scored.agg(F.min("loss")).first()[0]
+    near = scored.where(F.col("loss") <= best + band).withColumn("_key", F.transform("w", lambda x: F.bround(x, 2)))
+    near = near.groupBy("_key").agg(F.min_by(F.struct(*scored.columns), F.struct("loss", "id")).alias("r")).select("r.*")
+    left, kept = checkpoint(near), []
+    while len(kept) < keep and (top := left.orderBy("loss", "id").limit(1).collect()):
+        kept += top
+        gap = F.zip_with("w", F.array(*[F.lit(float(x)) for x in top[0].w]), lambda a, b: F.abs(a - b))
+        left = left.where((F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) >= least_gap) & (F.struct("loss", "id") > F.struct(F.lit(top[0].loss), F.lit(top[0].id).cast(scored.schema["id"].dataType))))
+    return scored.sparkSession.createDataFrame(kept, scored.schema)
 
 
 def far_from(df: DataFrame, w: Column, references: list[list[float]], linf: float, l1: float) -> DataFrame:
@@ -216,26 +231,8 @@ def update_weights(weights: DataFrame, a: DataFrame, losses: DataFrame, eta: flo
 def optimise_global(laws: DataFrame, domains: int, low: float, high: float, candidates: int = 50_000, polished: int = 32, refined: int = 16, seed: int = 0) -> DataFrame:
     """The mixture with the least mean predicted loss by random search: candidates are scored as rows, the best are
     polished, and perturbations of the best of these once more. laws has a row a family and is sent to all tasks."""
-    rows = [(float(r.c), float(r.k), [float(x) for x in r.t]) for r in laws.orderBy("family").collect()]
-    c, k, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    lo, hi, rng = np.full(domains, low), np.full(domains, high), np.random.default_rng(seed)
-    value = lambda w: float((c + k * np.exp(np.clip(t @ w, -60, 60))).mean())
-
-    def polish(frames):
-        for f in frames:
-            out = []
-            for w in f.w:
-                w, rate = _project(np.asarray(w, float), lo, hi), 0.5
-                now = value(w)
-                while rate > 1e-9:
-                    new = _project(w - rate * ((k * np.exp(np.clip(t @ w, -60, 60)))[:, None] * t).mean(0), lo, hi)
-                    if value(new) < now - 1e-15:
-                        w, now, rate = new, value(new), rate * 1.3
-                    else:
-                        rate /= 3
-                out.append((w.tolist(), now))
-            yield pd.DataFrame(out, columns=["w", "loss"])
-
+    rows, lo, hi, rng = _families(laws), np.full(domains, low), np.full(domains, high), np.random.default_rng(seed)
+    polish = _polish(rows, low, high, domains)
     spark = laws.sparkSession
     mean = sum((law(F.lit(c), F.lit(k), F.array(*[F.lit(x) for x in t]), F.col("w")) for c, k, t in rows), F.lit(0.0)) / len(rows)
     start = simplex_candidates(spark, candidates, domains, seed, low, high).withColumn("_loss", mean).orderBy("_loss", "id").limit(polished)
@@ -262,30 +259,3 @@ def multiplied_weights(weights: DataFrame, a: DataFrame, losses: DataFrame, eta:
 
 def derivative_adjacency(t: Column, loss: Column, c: Column) -> Column:
     return F.greatest(F.lit(0.0), -t * (loss - c))
-
-
-def boosted_surrogate(train: DataFrame, features: list[str], target: str, depth: int = 3, rounds: int = 20):
-    """Gradient-boosted trees on mixture weights; level-wise trees, unlike leaf-wise boosters."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    data = VectorAssembler(inputCols=features, outputCol="_f").transform(train)
-    return GBTRegressor(featuresCol="_f", labelCol=target, maxDepth=depth, maxIter=rounds, seed=0).fit(data)
-
-
-def surrogate_grid(runs: DataFrame, features: list[str], target: str, depths: list[int], rounds: list[int], folds: int, key: str) -> DataFrame:
-    """(depth, rounds, rmse, mae): settings of the surrogate by their error on held-out folds, best first."""
-    from pyspark.ml.feature import VectorAssembler
-
-    fold = F.pmod(F.xxhash64(key), F.lit(folds))
-    parts, spark = [], runs.sparkSession
-    for depth in depths:
-        for n in rounds:
-            for i in range(folds):
-                model = boosted_surrogate(runs.where(fold != i), features, target, depth, n)
-                held = VectorAssembler(inputCols=features, outputCol="_f").transform(runs.where(fold == i))
-                e = F.col("prediction") - F.col(target)
-                r = model.transform(held).agg(F.sum(e * e).alias("s"), F.sum(F.abs(e)).alias("a"), F.count("*").alias("n")).first()
-                parts.append((depth, n, r.s or 0.0, r.a or 0.0, r.n))
-    d = spark.createDataFrame(parts, "depth int, rounds int, s double, a double, n long").groupBy("depth", "rounds").agg(F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), (F.sum("a") / F.sum("n")).alias("mae"))
-    return d.orderBy("rmse", "mae", "depth", "rounds")

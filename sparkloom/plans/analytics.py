@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators import curves, gates, mixture, relational, selection
+from sparkloom.operators import boosting, curves, gates, mixture, relational, selection
 from sparkloom.staging import scratch
 from sparkloom.streaming import logs
 
@@ -138,33 +138,42 @@ def mixing_law_predict(spark, d):
     return mixes(spark, d).crossJoin(F.broadcast(laws)).select("mix_id", "family", F.round(mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("r")), 8).alias("loss"))
 
 
-def law_runs(spark: SparkSession) -> DataFrame:
-    """Losses of known laws at keyed random mixtures."""
+def law_runs(spark: SparkSession, d: str) -> DataFrame:
+    """(run, family, r, y): the mixtures of order states by month, with what laws make of them and a little of the orders'
+    prices."""
+    o, share = t(spark, d, "orders"), lambda s: F.count_if(F.col("o_orderstatus") == s) / F.count("*")
+    runs = o.groupBy(F.months_between(F.trunc("o_orderdate", "month"), F.lit("1990-01-01")).cast("int").alias("run")).agg(F.array(share("F"), share("O"), share("P")).alias("r"), F.avg("o_totalprice").alias("_p"))
     laws = spark.createDataFrame(LAW, "family string, c double, k double, t array<double>")
-    runs = mixture.simplex_candidates(spark, 24, 3, 1).withColumnRenamed("w", "r").withColumnRenamed("id", "run")
-    return runs.crossJoin(F.broadcast(laws)).select("run", "family", "r", mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("r")).alias("y"))
+    y = mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("r")) + 1e-4 * F.sin("_p")
+    return runs.crossJoin(F.broadcast(laws)).select("run", "family", "r", y.alias("y"))  # two laws
+
+
+def fitted_laws(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.fit_law(law_runs(spark, d), 3)
 
 
 @query("ml01_mixing_law_fit")
 def mixing_law_fit(spark, d):
-    return mixture.fit_law(law_runs(spark), 3)
+    return fitted_laws(spark, d)
 
 
 @query("ml05_leave_one_out")
 def leave_one_out(spark, d):
-    return curves.errors(mixture.leave_one_out(law_runs(spark), 3), "actual", "predicted", "family")
+    return curves.errors(mixture.leave_one_out(law_runs(spark, d), 3, starts=3), "actual", "predicted", "family")
 
 
 @query("ml07_simplex_optimum")
 def simplex_optimum(spark, d):
-    return mixture.optimise(spark.createDataFrame(LAW, "family string, c double, k double, t array<double>"), 3, low=0.05, high=0.8)
+    return mixture.optimise(fitted_laws(spark, d), 3, low=0.05, high=0.8)
 
 
 @query("ml09_near_optimal")
 def near_optimal(spark, d):
-    laws = spark.createDataFrame(LAW, "family string, c double, k double, t array<double>")
-    cand = mixture.simplex_candidates(spark, 2000, 3, 2)
-    scored = cand.crossJoin(F.broadcast(laws)).groupBy("id", "w").agg(F.avg(mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("w"))).alias("loss"))
+    """Of all customers' own mixtures of orders, the near-optimal ones that are apart."""
+    o, share = t(spark, d, "orders"), lambda s: F.count_if(F.col("o_orderstatus") == s) / F.count("*")
+    cand = o.groupBy(F.col("o_custkey").alias("id")).agg(F.array(share("F"), share("O"), share("P")).alias("w"))
+    laws = fitted_laws(spark, d)
+    scored = cand.crossJoin(F.broadcast(laws)).groupBy("id", "w").agg(F.avg(mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("w"))).alias("loss"))  # a law a family
     return mixture.near_optimal(scored, 0.04, 8, 0.2)
 
 
@@ -207,14 +216,18 @@ def weight_trajectory(spark, d):
     return out.select(F.col("step").cast("string").alias("step"), "domain", F.round("p_after", 8).alias("p_after"))
 
 
+WEIGHTS = ["w0", "w1", "w2"]
+
+
+def surrogate_runs(spark: SparkSession, d: str) -> DataFrame:
+    return law_runs(spark, d).where("family = 'f0'").select("run", *[F.element_at("r", i + 1).alias(w) for i, w in enumerate(WEIGHTS)], "y")
+
+
 @query("ml06_gbt_surrogate")
 def gbt_surrogate(spark, d):
-    data = law_runs(spark).where("family = 'f0'").select(*[F.element_at("r", i + 1).alias(f"w{i}") for i in range(3)], "y")
-    from pyspark.ml.feature import VectorAssembler
-
-    model = mixture.boosted_surrogate(data, ["w0", "w1", "w2"], "y")
-    scored = model.transform(VectorAssembler(inputCols=["w0", "w1", "w2"], outputCol="_f").transform(data))
-    return scored.select("w0", "w1", "w2", "y", "prediction")
+    """Trees grown leaf by leaf on the months' mixtures, and what they predict for these."""
+    runs = surrogate_runs(spark, d)
+    return boosting.fit(runs, WEIGHTS, "y", boosting.Settings(leaves=5, depth=3, rounds=8, rate=0.3, bins=64)).predict(runs)
 
 
 # --- token selection --------------------------------------------------------------------------------------------------

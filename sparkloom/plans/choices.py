@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import chat
-from sparkloom.operators import contamination, curves, gates, mixture, probes, selection
+from sparkloom.operators import boosting, contamination, curves, gates, mixture, probes, selection
 from sparkloom.operators.running import ranked, with_totals
 from sparkloom.operators.sampling import hash_order
 from sparkloom.staging import scratch
 
-from .analytics import FIT, LAW, LOSSES, POINTS, SCORES, chosen, law_runs, mixes, points, probe_losses, rho_excess, scores
+from .analytics import FIT, LAW, LOSSES, POINTS, SCORES, WEIGHTS, chosen, fitted_laws, mixes, points, probe_losses, rho_excess, scores, surrogate_runs
 from .corpus import SHARDS, shards, t
 
 QUERIES: dict = {}
@@ -192,9 +192,12 @@ def alpha_by_draw(spark, d):
     return curves.profile_fit(p, curves.alpha_grid(spark, 40)).select("run", F.round("alpha", 6).alias("alpha"))
 
 
-@query("jn16_setting_grid", "SELECT * FROM (SELECT unnest([3.0, 4.0, 5.0]::DOUBLE[]) AS depth), (SELECT unnest([0.05, 0.1]::DOUBLE[]) AS rate), (SELECT unnest([50.0, 100.0, 200.0]::DOUBLE[]) AS rounds), (SELECT unnest([1.0, 3.0]::DOUBLE[]) AS leaf), (SELECT unnest([0.0, 1.0]::DOUBLE[]) AS l2), (SELECT unnest([0.8, 1.0]::DOUBLE[]) AS share)")
+@query("jn16_setting_grid", "SELECT * FROM (SELECT DISTINCT p_brand AS run FROM part), (SELECT unnest([3.0, 4.0, 5.0]::DOUBLE[]) AS depth), (SELECT unnest([0.05, 0.1]::DOUBLE[]) AS rate), (SELECT unnest([50.0, 100.0, 200.0]::DOUBLE[]) AS rounds), (SELECT unnest([1.0, 3.0]::DOUBLE[]) AS leaf), (SELECT unnest([0.0, 1.0]::DOUBLE[]) AS l2), (SELECT unnest([0.8, 1.0]::DOUBLE[]) AS share)")
 def setting_grid(spark, d):
-    return curves.grid_rows(spark, {"depth": [3, 4, 5], "rate": [0.05, 0.1], "rounds": [50, 100, 200], "leaf": [1, 3], "l2": [0, 1], "share": [0.8, 1]})
+    """Every setting for every run."""
+    runs = t(spark, d, "part").select(F.col("p_brand").alias("run")).distinct()
+    grid = curves.grid_rows(spark, {"depth": [3, 4, 5], "rate": [0.05, 0.1], "rounds": [50, 100, 200], "leaf": [1, 3], "l2": [0, 1], "share": [0.8, 1]})
+    return runs.crossJoin(F.broadcast(grid))  # 144 settings
 
 
 SUBSETS = {"all5": ["click", "view", "purchase", "scroll", "signup"], "three": ["click", "view", "purchase"], "pair": ["click", "view"]}
@@ -315,14 +318,13 @@ def registered_mixture(spark, d):
 
 @query("ml08_global_search")
 def global_search(spark, d):
-    laws = spark.createDataFrame(LAW, "family string, c double, k double, t array<double>")
-    return mixture.optimise_global(laws, 3, 0.05, 0.8)
+    return mixture.optimise_global(fitted_laws(spark, d), 3, 0.05, 0.8)
 
 
 @query("ml06_surrogate_grid")
 def surrogate_grid(spark, d):
-    data = law_runs(spark).where("family = 'f0'").select("run", *[F.element_at("r", i + 1).alias(f"w{i}") for i in range(3)], "y")
-    return mixture.surrogate_grid(data, ["w0", "w1", "w2"], "y", [2, 3], [5], 3, "run")
+    grid = [boosting.Settings(leaves=n, depth=3, rounds=3, rate=0.5, least_rows=2, bins=32) for n in (3, 7)]
+    return boosting.grid_errors(surrogate_runs(spark, d), WEIGHTS, "y", grid, 2, "run")
 
 
 @query("hx27_sampled_instances", "SELECT vec_id FROM embeddings ORDER BY md5('diagnostic:' || vec_id), vec_id LIMIT 64")

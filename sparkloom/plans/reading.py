@@ -12,7 +12,7 @@ from sparkloom.operators import contamination, curves, gates, mixture, relationa
 from sparkloom.operators.running import ranked
 from sparkloom.sources import arrays, files, ranges, records, rows, writers
 from sparkloom.staging import scratch
-from sparkloom.streaming import logs
+from sparkloom.streaming import averages, logs
 
 from .analytics import POINTS, SCORES, chosen, points, scores
 from .corpus import DOC_WORDS, ITEM_WORDS, KEYS, NORM, SHARDS, documents, shards, t
@@ -294,9 +294,13 @@ def table_cells(spark, d):
     return t(spark, d, "part").select("p_partkey", text.p_value_text(p, F.lit(100)).alias("p"), text.finite(x, 3).alias("x"))
 
 
-@query("fn33_checkpoint_ladder", "SELECT s AS step FROM (SELECT unnest(range(0, 1376, 125)) AS s UNION ALL SELECT 1440)")
+@query("fn33_checkpoint_ladder", """WITH f AS (SELECT p_brand AS run, CAST(sum(p_size) % 1500 + count(*) AS BIGINT) AS f FROM part GROUP BY 1)
+SELECT run, unnest(list_concat(range(0, CASE WHEN f % 125 > 0 AND f % 125 < 62.5 AND f >= 125 THEN f - f % 125 ELSE f - f % 125 + 1 END, 125), CASE WHEN f % 125 > 0 THEN [f] ELSE [] END)) AS step FROM f""")
 def checkpoint_ladder(spark, d):
-    return spark.createDataFrame([(s,) for s in curves.ladder(1440)], "step long")
+    """The ladder of each run up to its final step."""
+    final = (F.sum("p_size") % 1500 + F.count("*")).cast("long")
+    runs = t(spark, d, "part").groupBy(F.col("p_brand").alias("run")).agg(final.alias("final"))
+    return runs.select("run", F.explode(curves.ladder_of(F.col("final"))).alias("step"))
 
 
 @query("fn26_derivative_adjacency", "SELECT p_partkey, round(greatest(0, ((p_size % 7) - 3) * (p_retailprice / 100 - 9)), 8) AS a FROM part")
@@ -330,6 +334,16 @@ def tool_calls(spark, d):
     return c.select("conv_id", chat.keep_row(c, "dolci").alias("kept"))
 
 
+@query("pf05_nested_calls", "SELECT conv_id, count(*) FILTER (turn % 5 = 2 OR turn % 7 = 4) = 0 AS kept FROM conversations GROUP BY 1")
+def nested_calls(spark, d):
+    """Calls as lists and maps, empty or not."""
+    calls = F.when(F.col("turn") % 5 == 2, F.array(F.lit(""))).when(F.col("turn") % 3 == 0, F.array().cast("array<string>"))
+    named = F.when(F.col("turn") % 7 == 4, F.create_map(F.lit("f"), F.lit(1))).otherwise(F.create_map().cast("map<string,int>"))
+    turn = F.struct(calls.alias("function_calls"), named.alias("functions"))
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(turn).alias("messages"))
+    return c.select("conv_id", chat.keep_row(c, "dolci").alias("kept"))
+
+
 @query("pf06_skipped_configs", "SELECT p_partkey, p_size % 3 <> 0 AS kept FROM part")
 def skipped_configs(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, " Apigen-80K").when(F.col("p_size") % 3 == 1, "smol-summarize").alias("config"))
@@ -367,10 +381,11 @@ def one_at_least(spark, d):
     return sampling.greedy_prefix(shards(spark, d), "size", target, sampling.hash_order(4, F.col("path")), at_least_one=True).select("domain", "path")
 
 
-@query("sm15_simplex_points", """WITH e AS (SELECT id, i, -ln(1 - CAST(('0x' || md5('dirichlet:6:' || id || ':' || i)[1:13]) AS BIGINT) / 4503599627370496.0) AS e FROM range(500) a(id), range(3) b(i)), s AS (SELECT *, sum(e) OVER (PARTITION BY id) AS total FROM e)
+@query("sm15_simplex_points", """WITH e AS (SELECT c_custkey AS id, i, -ln(1 - CAST(('0x' || md5('dirichlet:6:' || c_custkey || ':' || i)[1:13]) AS BIGINT) / 4503599627370496.0) AS e FROM customer, range(3) b(i)), s AS (SELECT *, sum(e) OVER (PARTITION BY id) AS total FROM e)
 SELECT id, CAST(i AS INT) AS domain, round(e / total, 8) AS weight FROM s""")
 def simplex_points(spark, d):
-    c = mixture.simplex_candidates(spark, 500, 3, 6)
+    """A mixture for each customer."""
+    c = mixture.simplex_points(t(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id", 3, 6)
     return c.select("id", F.posexplode("w").alias("domain", "w")).select("id", "domain", F.round("w", 8).alias("weight"))
 
 
@@ -468,20 +483,30 @@ def idempotent_log(spark, d):
 @query("ss06_running_average", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT CAST(user_id AS VARCHAR) AS key, round(sum(value * CASE WHEN rn = 1 THEN pow(0.9::DOUBLE, n - 1) ELSE 0.1 * pow(0.9::DOUBLE, n - rn) END), 6) AS ema, CAST(max(n) AS BIGINT) AS n FROM r GROUP BY user_id""")
 def running_average(spark, d):
-    """Streaming state over the events as one file; the last state of each key."""
-    base = scratch(spark, "ema")
-    e = t(spark, d, "events").select("event_id", "user_id", "value").orderBy("event_id").coalesce(1)
-    e.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(e.schema).parquet(f"{base}/in")
-    out = logs.running_ema(stream, "user_id", "value", 0.1)
-
-    def keep(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/{i:06d}")
-
-    out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema("key string, ema double, n long").parquet(f"{base}/out/*")
-    last = got.groupBy("key").agg(F.max_by(F.struct("ema", "n"), "n").alias("r"))
-    return last.select("key", F.round("r.ema", 6).alias("ema"), "r.n")
+    """Streaming state over the events; the last state of each key."""
+    got = averaged_events(spark, d, 0.9, True)
+    last = got.groupBy("key").agg(F.max_by(F.struct("average", "n"), "n").alias("r"))
+    return last.select("key", F.round("r.average", 6).alias("ema"), "r.n")
+
+
+def averaged_events(spark: SparkSession, d: str, keep: float, seeded: bool) -> DataFrame:
+    """The events as a stream in three runs, each of which goes on from the state that the one before left."""
+    base = scratch(spark, "averages")
+    e = t(spark, d, "events").select("event_id", "user_id", "value")
+    cuts = e.agg(F.percentile_approx("event_id", [0.3, 0.8])).first()[0] or [0, 0]
+    part = F.when(F.col("event_id") <= cuts[0], 0).when(F.col("event_id") <= cuts[1], 1).otherwise(2)
+    for i in range(3):
+        e.where(part == i).write.mode("append").parquet(f"{base}/in")
+        stream = averages.running_averages(spark.readStream.schema(e.schema).parquet(f"{base}/in"), "user_id", "value", "event_id", keep, seeded)
+        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("ss06_previous_baseline", """SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS excess FROM events QUALIFY excess IS NOT NULL""")
+def previous_baseline(spark, d):
+    """What each event is above the one before it: the baseline is replaced, not blended."""
+    got = averaged_events(spark, d, 0.0, False).where("baseline is not null")
+    return got.select("event_id", F.round(F.col("average") - F.col("baseline"), 6).alias("excess"))
 
 
 __all__ = ["QUERIES", "SQL"]

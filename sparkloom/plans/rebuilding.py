@@ -3,15 +3,18 @@ SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
+from sparkloom.functions.bpe import BytePairs, load_ranks
 from sparkloom.operators import contamination as con
 from sparkloom.operators import coverage, gates, rebuild, relational, sampling
 from sparkloom.operators.running import ranked, running_totals
 from sparkloom.sources import files, listings, writers
-from sparkloom.staging import scratch
+from sparkloom.staging import balanced, scratch
 from sparkloom.streaming import logs, state
 
 from .corpus import DOC_WORDS, NORM, OBJECT, OBJECTS, SPANS, documents, spans, t
@@ -104,11 +107,13 @@ def merged_sentinels(spark, d):
     return coverage.merged_sentinels(each.withColumns({"spikes_injected": spikes, "spikes_recovered": spikes, "canary_ok": F.lit(True)}), docs.select("domain").distinct())
 
 
-@query("vg01_normaliser_canary", "SELECT 'normalise' AS canary, true AS ok")
+@query("vg01_normaliser_canary", f"SELECT 'normalise' AS canary, true AS ok, count(*) AS items, count(*) FILTER ({NORM.format('n')} = n) AS stable FROM (SELECT {NORM.format('text')} AS n FROM benchmark)")
 def normaliser_canary(spark, d):
-    """VG-01 with FN-03: raises unless the normaliser does what the index was made with."""
+    """VG-01 with FN-03: raises unless the normaliser does what the index was made with; then how many items it leaves as
+    they are once they are normalised."""
     coverage.require_normaliser(spark)
-    return spark.range(1).select(F.lit("normalise").alias("canary"), F.lit(True).alias("ok"))
+    n = t(spark, d, "benchmark").select(F.explode(F.array(text.normalize(F.col("text")))).alias("n"))
+    return n.agg(F.lit("normalise").alias("canary"), F.lit(True).alias("ok"), F.count("*").alias("items"), F.count_if(text.normalize(F.col("n")) == F.col("n")).alias("stable"))
 
 
 @query("fn17_benchmark_of", """WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'mmlu_' || p_size || '_rc_5shot_bpb' ELSE lower(replace(p_type, ' ', '_')) || '_rc_5shot_bpb' END AS label FROM part)
@@ -287,6 +292,18 @@ def tokenise(spark, d):
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n"), total.alias("total"), F.element_at("tokens", -1).alias("last"))
 
 
+#: Merge ranks of a public vocabulary; a file that is read, never kept.
+RANKS = os.environ.get("SPARKLOOM_MERGE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+@query("fn22_byte_pairs")
+def byte_pairs(spark, d, ranks: str = RANKS):
+    """Ids of every document by byte-level merges, and HX-01's counts of them."""
+    encode = BytePairs(load_ranks(spark, ranks)).encode
+    docs = rebuild.tokenise(balanced(t(spark, d, "documents")).select("doc_id", "text"), encode)
+    return docs.select("doc_id", (F.size("tokens") - 1).cast("long").alias("n_tokens"), "tokens")
+
+
 @query("hx01_token_counts", f"WITH {TOKENS.format(100257)} SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens FROM tk")
 def token_counts(spark, d):
     return rebuild.token_counts(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")

@@ -70,18 +70,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     """An extension for event streams: counts and sums by event-time window and type, with a watermark when streaming."""
     df = events.withWatermark("ts", late) if events.isStreaming else events
     return df.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
-
-
-def running_ema(events: DataFrame, key: str, value: str, alpha: float):
-    """Streaming exponential average by key as state; each batch emits the keys it touched."""
-    import pandas as pd
-
-    def step(k, frames, state):
-        mean, n = state.get if state.exists else (0.0, 0)
-        for f in frames:
-            for v in f.sort_values("event_id")[value]:
-                mean, n = (v if n == 0 else mean * (1 - alpha) + alpha * v), n + 1
-        state.update((float(mean), int(n)))
-        yield pd.DataFrame({"key": [str(k[0])], "ema": [float(mean)], "n": [int(n)]})
-
-    return events.groupBy(key).applyInPandasWithState(step, "key string, ema double, n long", "ema double, n long", "update", "NoTimeout")

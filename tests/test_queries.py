@@ -27,6 +27,7 @@ def cells(rows, columns):
 def test_query(spark, sf_dir, con, name):
     df = QUERIES[name](spark, sf_dir)
     rows = df.collect()
+    assert rows or name in SQL  # what is right of the rows of queries without SQL is in the tests of their operators
     if name in SQL:
         got = con.execute(SQL[name])
         columns = [c[0] for c in got.description]
