@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,22 +100,30 @@ def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (column fp) -> (a, b), a > b: enough of the links at RADIUS bits or less that their
     components are those of all such links. Every row is a verified link."""
     kinds = _flips(_block_variants())
-    spread = fps.select("fp", F.explode(kinds).alias("k")).select("fp", F.col("k.block").alias("block"), F.col("fp").bitwiseAND(F.col("k.keep")).bitwiseXOR(F.col("k.flip")).alias("variant"))
-    met = W.partitionBy("block", "variant")
-    tier = F.when(F.col("n") <= 3, 0).when(F.col("n") <= LISTED, 1).otherwise(2)
-    only = lambda k, c: F.when(F.col("tier") == k, F.col(c)).alias(c)
-    met = checkpoint(
-        spread.withColumns({"n": F.count("*").over(met), "low": F.min("fp").over(met), "high": F.max("fp").over(met)})
-        .where("n > 1")
-        .withColumn("tier", tier)
-        .groupBy("fp", "tier", only(0, "low"), only(0, "high"), only(1, "block"), only(1, "variant"))
-        .agg(F.lit(1).alias("_"))
-    )
-    few = met.where("tier = 0").select("fp", F.explode(F.array("low", "high")).alias("other"))
-    lists = met.where("tier = 1").groupBy("block", "variant").agg(F.collect_list("fp").alias("all"))
-    few = few.unionByName(lists.select("all").mapInArrow(_joined_lists, "fp long, other long"))
-    crowd = met.where("tier = 2").select("fp").distinct()
-    balls = few.limit(0) if crowd.isEmpty() else _crowd_links(checkpoint(crowd))
+
+    def spread(name: str) -> DataFrame:
+        each = fps.select("fp", F.explode(kinds).alias("k"))
+        return each.select("fp", F.col("k.block").alias("block"), F.col("fp").bitwiseAND(F.col("k.keep")).bitwiseXOR(F.col("k.flip")).alias(name))
+
+    # counted before and after the shuffle, so no task holds a variant's rows, however many
+    met = spread("variant").groupBy("block", "variant").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.bit_xor("fp").alias("all"))
+    met = checkpoint(met.where("n > 1"))
+    middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))  # of three; of two it is 0 ^ 0, and not asked for
+    pair = lambda a, b: F.struct(a.alias("fp"), b.alias("other"))
+    low, high = F.col("low"), F.col("high")
+    pairs = F.when(F.col("n") == 2, F.array(pair(low, high))).otherwise(F.array(pair(low, high), pair(low, middle), pair(middle, high)))
+    few = met.where("n <= 3").select(F.inline(pairs)).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).distinct()
+    many = met.where("n > 3").select(F.col("block").alias("_b"), F.col("variant").alias("_v"), (F.col("n") > LISTED).alias("crowd"))
+    if many.isEmpty():
+        members = None
+    else:  # only these fingerprints meet their variants again
+        members = checkpoint(spread("v").join(many, (F.col("block") == F.col("_b")) & (F.col("v") == F.col("_v"))).select("fp", "block", F.col("v").alias("variant"), "crowd"))
+    balls = few.limit(0)
+    if members is not None:
+        lists = members.where("not crowd").groupBy("block", "variant").agg(F.collect_list("fp").alias("all"))
+        few = few.unionByName(lists.select("all").mapInArrow(_joined_lists, "fp long, other long"))
+        crowd = members.where("crowd").select("fp").distinct()
+        balls = balls if crowd.isEmpty() else _crowd_links(checkpoint(crowd))
     both = few.unionByName(balls).where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
     return both.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
 
