@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpoint
+
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\s]+")
 DIMS = 1 << 18
 SCALE = 32.0
@@ -30,6 +32,8 @@ LAGS = 4
 #: Bound of the sample of labelled rows that the model is fitted on.
 SAMPLE = 4096
 EPOCHS = 3
+#: Features that are written at a time.
+AT_ONCE = 1 << 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.5, 0.01
 #: Tokens whose n-grams are scored at a time.
 AT_ONCE = 1 << 18
@@ -102,39 +106,54 @@ def learnable(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from the sample. docs: doc_id, text; labels: doc_id, quality."""
+    """Weights learnt from the sample: the labelled documents whose ids have the smallest hashes. docs: doc_id, text; labels:
+    doc_id, quality.
+
+    The features of the sample are kept in order in the shared folder, and each epoch is a pass over them that begins with
+    the state the one before left. A pass holds the state and one batch, however long the texts are."""
+    present = docs.select(F.col("doc_id").alias("_d")).where("_d is not null").distinct()
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
         .where(learnable(F.col("_id")) & F.col("_label").isin(0, 1))
+        .join(present, F.col("_id") == F.col("_d"), "left_semi")
         .withColumn("_order", F.xxhash64("_id"))
         .orderBy("_order", "_id", "_label")
         .limit(sample)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most SAMPLE ids
+    names = ["_order", "_id", "_label", "places", "values"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_order"), batch.column("_id"), batch.column("_label"), pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
-                ["_order", "_id", "_label", "places", "values"],
-            )
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            for p, v, y in zip(batch.column("places"), batch.column("values"), batch.column("_label").to_pylist()):
-                rows.append((p.values.to_numpy(), v.values.to_numpy(), y))
-        if rows:
-            w = fit_rows(rows)
-            at = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["place", "weight"])
+            held, start, size = [], 0, 0
+            for i, t in enumerate(batch.column("text")):
+                held.append(features(t.as_py()))
+                size += len(held[-1][0])
+                if size >= AT_ONCE or i + 1 == batch.num_rows:
+                    same = [batch.column(n).slice(start, len(held)) for n in names[:3]]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array([p for p, _ in held], pa.list_(pa.int64())), pa.array([v for _, v in held], pa.list_(pa.float64()))], names)
+                    held, start, size = [], i + 1, 0
 
     rows = texts.select("_order", "_id", "_label", "text").mapInArrow(extract, "_order long, _id long, _label int, places array<long>, values array<double>")
-    model = rows.repartition(1).sortWithinPartitions("_order", "_id", "_label", F.xxhash64("places")).mapInArrow(learn, "place long, weight double").toArrow()
-    weights = np.zeros(DIMS + 1)
-    weights[model.column("place").to_numpy()] = model.column("weight").to_numpy()
-    return weights
+    rows = checkpoint(rows.repartition(1).sortWithinPartitions("_order", "_id", "_label", F.xxhash64("places")))  # SAMPLE rows
+    model, shared = Ftrl(), docs.sparkSession.sparkContext.broadcast
+    for _ in range(EPOCHS):
+        begin = shared((model.z, model.n))
+
+        def learn(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+            now = Ftrl()
+            now.z, now.n = (x.copy() for x in begin.value)
+            for batch in batches:
+                for p, v, y in zip(batch.column("places"), batch.column("values"), batch.column("_label").to_pylist()):
+                    now.learn(p.values.to_numpy(), v.values.to_numpy(), y)
+            at = np.flatnonzero(now.n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(now.z[at]), pa.array(now.n[at])], ["place", "z", "n"])
+
+        state = rows.mapInArrow(learn, "place long, z double, n double").toArrow()
+        at = state.column("place").to_numpy()
+        model.z[at], model.n[at] = state.column("z").to_numpy(), state.column("n").to_numpy()
+        begin.unpersist()
+    return model.weights(np.arange(DIMS + 1))
 
 
 def score_text(text: str | None, weights: np.ndarray) -> float:

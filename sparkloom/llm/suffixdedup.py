@@ -284,10 +284,12 @@ def _merged(spans: DataFrame) -> DataFrame:
             if held is not None:
                 docs = pa.concat_arrays([pa.array([held[0]], pa.int64()), docs])
                 key, start, end = np.r_[held[1], key], np.r_[held[2], start], np.r_[held[3], end]
-            doc = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            ids = docs.fill_null(-1).to_numpy(zero_copy_only=False)  # ids too: keys of many documents may be equal
+            other = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (docs.is_null().to_numpy(zero_copy_only=False)[1:] != docs.is_null().to_numpy(zero_copy_only=False)[:-1])
+            doc = np.cumsum(np.r_[0, other])
             far = int(end.max()) + 1
             upto = np.maximum.accumulate(end + doc * far) - doc * far  # furthest end so far in the document
-            new = np.r_[True, (key[1:] != key[:-1]) | (start[1:] > upto[:-1])]
+            new = np.r_[True, other | (start[1:] > upto[:-1])]
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(key)] - 1
             held = (docs[int(first[-1])].as_py(), key[-1], start[first[-1]], upto[-1])
@@ -296,5 +298,5 @@ def _merged(spans: DataFrame) -> DataFrame:
         if held is not None:
             yield _batch(dict(zip(names, (pa.array([held[0]], pa.int64()), [held[2]], [held[3]], [held[3] - held[2]]))))
 
-    rows = spans.repartition("key").sortWithinPartitions("key", "start")
+    rows = spans.repartition("key").sortWithinPartitions("key", "doc_id", "start")
     return rows.mapInArrow(join_up, "doc_id long, start_word long, end_word long, n_words long")

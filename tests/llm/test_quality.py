@@ -84,3 +84,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = quality.train(no_docs, labels.limit(0))
     assert not none.any() and quality.score_text("anything", none) == 0.5
     assert quality.score(no_docs, none).collect() == []
+
+
+def test_epochs_over_kept_rows_equal_rows_in_memory(spark, sf_dir, monkeypatch):
+    """The sample is of labelled documents that are there; features are written a few at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 <> 0").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    monkeypatch.setattr(quality, "AT_ONCE", 50)
+    got = quality.train(docs, labels, sample=20)
+    rows = labels.join(docs, "doc_id").where(quality.learnable(F.col("doc_id")) & F.col("quality").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(20).collect()
+    assert len(rows) == 20
+    assert np.allclose(got, quality.fit_rows([(*quality.features(r.text), r.quality) for r in rows]), atol=1e-12)
