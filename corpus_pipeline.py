@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.withColumn(key, row_key).alias("a").join(chosen.alias("b"), same, "left_semi")
     repeated = seen.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_key").alias(key))
     if not repeated.isEmpty():  # rows equal in id and text
-        several = kept.join(repeated, key, "left_semi").dropDuplicates([key])
+        several = kept.join(repeated, key, "left_semi").dropDuplicates([key, "doc_id"])
         kept = kept.join(repeated, key, "left_anti").unionByName(several)
     return kept.select(*[f"`{c}`" for c in docs.columns])
 
