@@ -346,7 +346,7 @@ def stream_poll_once(spark, d):
     labels = [r.run for r in points(spark, d).select("run").distinct().orderBy("run").limit(3).collect()]
     rows.unionByName(rows).write.json(f"{root}/in")
     logs.poll_results(spark, f"{root}/in", "step long, values map<string,double>", labels, f"{root}/out", f"{root}/offsets").awaitTermination()
-    return spark.read.schema("step long, values map<string,double>").parquet(f"{root}/out").select("step", F.size("values").cast("long").alias("n"))
+    return logs.read_steps(spark, f"{root}/out", "step long, values map<string,double>").select("step", F.size("values").cast("long").alias("n"))
 
 
 __all__ = ["QUERIES", "SQL"]

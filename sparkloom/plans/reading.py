@@ -477,7 +477,7 @@ def idempotent_log(spark, d):
     u = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("step")).agg(F.count("*").alias("n"))
     for batch in (u.where("step % 2 = 0"), u.where("step % 2 = 0"), u):
         logs.append_new_steps(spark, batch, path, ["step"])
-    return spark.read.schema("step long, n long").parquet(path)
+    return logs.read_steps(spark, path, "step long, n long")
 
 
 @query("ss06_running_average", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,29 @@ def write_json(spark: SparkSession, path: str, what: dict) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, p, how)
 
 
+def create_json(spark: SparkSession, path: str, what: dict) -> bool:
+    """Makes a small JSON file whole unless there is one; whether it did."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    draft = _fs(spark, f"{p.getParent().toString()}/.{uuid.uuid4().hex}.tmp")[1]
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(what, sort_keys=True).encode()))
+    out.hsync()
+    out.close()
+    jvm = spark.sparkContext._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE  # fails where the file is there
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, p, how)
+        return True
+    except Py4JJavaError:
+        fs.delete(draft, False)
+        if not fs.exists(p):
+            raise
+        return False
+
+
 def write_splits(docs: DataFrame, path: str, by: tuple[str, ...] = ("source", "domain", "split")) -> None:
     """A folder for each source, domain and split, in place of what was there."""
     write_docs(docs, path, list(by), mode="overwrite")

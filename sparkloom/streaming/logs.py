@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,14 +22,42 @@ def poll_results(spark: SparkSession, folder: str, schema: str, labels: list[str
     return full.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _commits(spark: SparkSession, out: str) -> list[str]:
+    """Folders of the batches that a log holds, in order."""
+    from sparkloom.sources.writers import _fs, exists, read_json
+
+    if not exists(spark, f"{out}/log"):
+        return []
+    fs, folder = _fs(spark, f"{out}/log")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+    return [read_json(spark, f"{out}/log/{n}")["data"] for n in names]
+
+
 def append_new_steps(spark: SparkSession, batch: DataFrame, out: str, keys: list[str]) -> None:
-    """Appends rows whose keys aren't in the table yet; running it again changes nothing."""
-    new = batch.dropDuplicates(keys)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(out)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        new = new.join(spark.read.parquet(out).select(*keys), keys, "left_anti")
-    new.write.mode("append").parquet(out)
+    """Appends rows whose keys aren't in the log yet; running it again changes nothing.
+
+    A batch is written apart and counts once a numbered file names it. Such a file is made only if it isn't there, so of
+    two writers one gets the number; the other looks again at what is new and takes the next."""
+    from sparkloom.sources.writers import create_json
+    from sparkloom.staging import discard
+
+    first = batch.dropDuplicates(keys)
+    while True:
+        before = _commits(spark, out)
+        new = first
+        if before:
+            new = first.join(spark.read.schema(batch.schema).parquet(*[f"{out}/data/{b}" for b in before]).select(*keys), keys, "left_anti").select(*batch.columns)
+        name = uuid.uuid4().hex
+        new.write.parquet(f"{out}/data/{name}")
+        if create_json(spark, f"{out}/log/{len(before):08d}.json", {"data": name}):
+            return
+        discard(spark, f"{out}/data/{name}")
+
+
+def read_steps(spark: SparkSession, out: str, schema) -> DataFrame:
+    """What append_new_steps has added."""
+    held = _commits(spark, out)
+    return spark.read.schema(schema).parquet(*[f"{out}/data/{b}" for b in held]) if held else spark.createDataFrame([], schema)
 
 
 def upsert_steps(batch: DataFrame, path: str, keys: list[str]) -> None:

@@ -239,4 +239,28 @@ def test_polling_logs_each_step_once(spark, tmp_path):
     (tmp_path / "in" / "3.json").write_text(full)
     (tmp_path / "in" / "4.json").write_text(json.dumps({"step": 2, "values": {"a": 1.0, "b": 3.0}}))
     logs.poll_results(*args).awaitTermination()
-    assert sorted(r.step for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+    assert sorted(r.step for r in logs.read_steps(spark, str(tmp_path / "out"), "step long, values map<string,double>").collect()) == [1, 2]
+
+
+def test_two_writers_add_a_step_once(spark, tmp_path):
+    """The second writer commits while the first has looked but not committed: the first looks again."""
+    from sparkloom.sources import writers
+
+    path, kept = str(tmp_path / "log"), writers.create_json
+    rows = lambda *steps: spark.createDataFrame([(s, s * 10) for s in steps], "step int, v int")
+    calls = []
+
+    def between(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            logs.append_new_steps(spark, rows(2, 3), path, ["step"])
+        return kept(*args)
+
+    writers.create_json = between
+    try:
+        logs.append_new_steps(spark, rows(1, 2), path, ["step"])
+    finally:
+        writers.create_json = kept
+    assert len(calls) == 3 and sorted(map(tuple, logs.read_steps(spark, path, "step int, v int").collect())) == [(1, 10), (2, 20), (3, 30)]
+    logs.append_new_steps(spark, rows(1, 2, 3), path, ["step"])
+    assert logs.read_steps(spark, path, "step int, v int").count() == 3

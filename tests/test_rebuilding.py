@@ -266,7 +266,7 @@ def test_the_first_file_of_a_step_wins(spark, tmp_path):
         (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"step": 1, "values": {"x": v}}))
         os.utime(tmp_path / "in" / f"{name}.json", (1_700_000_000 + 10 * i,) * 2)
     logs.poll_results(spark, str(tmp_path / "in"), "step long, values map<string,double>", ["x"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [r["values"]["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1.0]
+    assert [r["values"]["x"] for r in logs.read_steps(spark, str(tmp_path / "out"), "step long, values map<string,double>").collect()] == [1.0]
 
 
 def test_a_run_of_one_step_has_no_fit(spark):
