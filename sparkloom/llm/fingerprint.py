@@ -13,11 +13,13 @@ equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, BINS, TUPLE = 8, 64, 2
@@ -106,6 +108,14 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     return _narrow(docs, text, [T.StructField(out, T.StringType())], lambda t: (written(sketch(t)),), (text,))
 
 
+def _above(key: Column, cuts: list[int], low: int, high: int, starts: list[int]) -> Column:
+    """The number of cuts above a key, looked up in starts: a search that asks about log2 of them."""
+    if low == high:
+        return F.lit(starts[len(cuts) - low])
+    mid = (low + high) // 2
+    return F.when(key < cuts[mid], _above(key, cuts, low, mid, starts)).otherwise(_above(key, cuts, mid + 1, high, starts))
+
+
 def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
@@ -116,17 +126,26 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     about = slim.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
-    cuts = sorted(set(about.cuts or []))
+    raw = about.cuts or []
+    # an id that several cuts fall on is dealt further by the hash of its texts, as rows without an id are
+    heavy = {c: n + 1 for c, n in Counter(raw).items() if n > 1}
+    cuts = sorted({*raw, *(h + 1 for h in heavy if h < (1 << 63) - 1)})
+    wide = {len(cuts) - bisect_right(cuts, h): n for h, n in heavy.items()}
+    starts = [0]
+    for i in range(len(cuts) + 1):
+        starts.append(starts[-1] + wide.get(i, 1))
     nameless = max(1, -(-about.none * parts // max(1, about.n)))  # ranges of rows without an id
-    ranges = len(cuts) + 1 + nameless
+    ranges = starts[-1] + nameless
 
     key, none = F.col("doc_id"), F.col("doc_id").isNull()
-    hashed = F.when(none, F.xxhash64("text"))
-    above = F.aggregate(F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda n, x: n + (x > key).cast("int")) if cuts else F.lit(0)
-    part = F.least(F.floor((hashed / float(1 << 64) + 0.5) * nameless), F.lit(nameless - 1))
-    slim = slim.withColumn("_b", F.when(none, part + len(cuts) + 1).otherwise(above).cast("int"))
+    hashed = F.when(none | key.isin(list(heavy)), F.xxhash64("text"))
+    dealt_by = lambda n: F.least(F.floor((hashed / float(1 << 64) + 0.5) * n), F.lit(n - 1))
+    named = _above(key, cuts, 0, len(cuts), starts)
+    for h, n in heavy.items():
+        named = F.when(key == h, starts[len(cuts) - bisect_right(cuts, h)] + dealt_by(n)).otherwise(named)
+    slim = slim.withColumn("_b", F.when(none, dealt_by(nameless) + starts[-1]).otherwise(named).cast("int"))
     # the first row of each range: one row a range, whatever the data
-    firsts = slim.groupBy(F.col("_b").alias("b")).agg(F.coalesce(F.max("doc_id"), F.min(hashed)).alias("first")).orderBy("b").collect()
+    firsts = slim.groupBy(F.col("_b").alias("b")).agg(F.coalesce(F.min(hashed), F.max("doc_id")).alias("first")).orderBy("b").collect()
     first_of, back = [None] * ranges, [0] * ranges
     for i, row in enumerate(firsts):
         first_of[row.b], back[row.b] = row.first, firsts[i - 1].b

@@ -43,8 +43,9 @@ def test_longest_texts_are_sorted_otherwise_and_give_the_same(monkeypatch):
     assert [fp.sketch(t).tolist() for t in texts] == want
 
 
-def test_rows_without_an_id_spread_and_keep_their_order(spark):
-    rows = [(None, f"text number {i * 7919 % 1000} of many") for i in range(300)] + [(i, f"other {i}") for i in range(20)] + [(None, None)] * 3
+@pytest.mark.parametrize("hot", [None, 10, 0, 25])
+def test_rows_of_one_id_or_none_spread_and_keep_their_order(spark, hot):
+    rows = [(hot, f"text number {i * 7919 % 1000} of many") for i in range(300)] + [(i, f"other {i}") for i in range(20)] + [(hot, None)] * 3 + [(None, "x")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string")
     ordered = [r.text or "" for r in df.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
     want = sorted((t, round(fp.likeness(fp.sketch(t), fp.sketch(n)), 9)) for t, n in zip(ordered, ordered[1:] + ordered[:1]))
