@@ -48,6 +48,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def token_counts_by_pieces(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """Totals of op4_token_counts' operator by a real model's tokens: all documents are inserted, toxic ones deleted."""
+    docs, model = table(spark, sf_dir, "documents"), spm.load_model(f"{folder}/{MODEL}")
+    counted = checkpoint(rollup.count_pieces(docs.select("doc_id", "source", "lang", "text"), model))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    totals = rollup.TokenRollup(spark, scratch(spark, "piece-rollup"))
+    totals.commit("load", rollup.inserts(counted, MODEL, "n_pieces"))
+    totals.commit("delete", rollup.deletes(counted.join(toxic, "doc_id", "left_semi"), MODEL, "n_pieces"))
+    return totals.totals()
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -92,7 +103,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_sentencepiece, op2_mixing, op3_topk, op4_token_counts, op5_order_minhash, op6_pii, op7_quality, op8_urlfilter, op9_suffix_dedup, op10_simhash, op11_license_scan, op12_filter_audit, op13_hard_negatives)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in (*found, token_counts_by_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -121,7 +121,7 @@ class TokenRollup:
         """Writes rows, summed by key, to a new folder: its name, and a digest of the rows in any order."""
         folder = f"data-{uuid.uuid4().hex}"
         summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        summed.repartition(1).write.parquet(f"{self.path}/{folder}")  # a row for each source, language and version
+        summed.write.parquet(f"{self.path}/{folder}")  # a row for each source, language and version
         written = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{folder}")
         return folder, written.agg(F.coalesce(F.bit_xor(F.xxhash64(*written.columns)), F.lit(0)).alias("x")).first().x
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import rollup, spm
 from sparkloom.llm.common import scratch
-from sparkloom.llm.queries import MODEL, TOKENIZERS, op4_token_counts
+from sparkloom.llm.queries import MODEL, TOKENIZERS, op4_token_counts, token_counts_by_pieces
 
 
 def test_batches_are_idempotent_and_signed(spark, odd_docs, no_docs):
@@ -91,3 +91,15 @@ def test_sql(spark, sf_dir):
     for t in ("documents", "labels"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     assert sorted(map(tuple, op4_token_counts(spark, sf_dir).collect())) == sorted(con.execute(rollup.ORACLE).fetchall())
+
+
+def test_totals_by_a_model_equal_the_library_s(spark, sf_dir):
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/{MODEL}")
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()}
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        if r.doc_id not in toxic:
+            docs, tokens = want.get((r.source, r.lang), (0, 0))
+            want[r.source, r.lang] = docs + 1, tokens + len(sp.encode(r.text))
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in token_counts_by_pieces(spark, sf_dir).collect()}
+    assert got == want
