@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import SHORTEST, WIDTH, normalize
+from sparkloom.staging import with_each
 
 from .gates import duplicate_keys, missing, require
 
@@ -59,7 +60,7 @@ def found_by_benchmark(hits: DataFrame, items: DataFrame, domains: DataFrame) ->
     base = items.groupBy("bench", "field").agg(F.count_if("assessable").alias("assessable"))
     known = items.select("item_id", "bench", "field")
     found = hits.join(known, ["item_id", "field"]).groupBy("domain", "bench", "field").agg(F.countDistinct("item_id").alias("found"))
-    grid = domains.select("domain").distinct().crossJoin(F.broadcast(base)).join(found, ["domain", "bench", "field"], "left")
+    grid = with_each(domains.select("domain").distinct(), base).join(found, ["domain", "bench", "field"], "left")
     grid = grid.withColumn("found", F.coalesce("found", F.lit(0)))
     return grid.withColumn("rate", F.try_divide("found", "assessable")).select("domain", "bench", "field", "found", "assessable", "rate")
 

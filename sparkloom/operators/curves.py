@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.staging import with_each
+
 
 def alpha_grid(spark, n: int = 400, low: float = 0.05, high: float = 3.0) -> DataFrame:
     return spark.range(n).select((F.lit(low) + F.col("id") * ((high - low) / (n - 1))).alias("alpha"))
@@ -17,7 +19,7 @@ def profile_fit(points: DataFrame, grid: DataFrame, run: str = "run", step: str
     """loss = a + b * step^-alpha: ordinary least squares at every alpha of the grid, and the one with the least
     squared error. The grid is a few hundred rows."""
     x, y = F.power(F.col(step).cast("double"), -F.col("alpha")), F.col(loss)
-    crossed = points.select(run, step, loss).crossJoin(F.broadcast(grid)).withColumn("_x", x)
+    crossed = with_each(points.select(run, step, loss), grid).withColumn("_x", x)
     fits = crossed.groupBy(run, "alpha").agg(
         F.regr_slope(y, F.col("_x")).alias("b"), F.regr_intercept(y, F.col("_x")).alias("a"),
         (F.regr_syy(y, F.col("_x")) - F.try_divide(F.power(F.regr_sxy(y, F.col("_x")), F.lit(2)), F.regr_sxx(y, F.col("_x")))).alias("sse"),
@@ -62,7 +64,7 @@ def bootstrap(points: DataFrame, draws: int, final: float, seed: int = 0, n: int
         return pd.DataFrame({"run": g.run.iloc[0], "draw": block * 10_000 + np.arange(len(f)), "final": f[:, 1] + f[:, 2] * final ** -f[:, 0]})
 
     blocks = points.sparkSession.range(-(-draws // 10_000)).select(F.col("id").alias("block"), F.least(F.lit(10_000), F.lit(draws) - F.col("id") * 10_000).cast("long").alias("size"))
-    work = points.select(F.col("run").cast("string"), F.col("step").cast("double"), F.col("loss").cast("double")).crossJoin(F.broadcast(blocks))
+    work = with_each(points.select(F.col("run").cast("string"), F.col("step").cast("double"), F.col("loss").cast("double")), blocks)
     return work.groupBy("run", "block").applyInPandas(draw, "run string, draw long, final double")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.staging import checkpoint
+from sparkloom.staging import checkpoint, with_each
 
 
 def law(c: Column, k: Column, t: Column, r: Column) -> Column:
@@ -53,7 +53,7 @@ def registered(mixes: DataFrame, name: str) -> DataFrame:
 
 def macro_predictions(mixes: DataFrame, laws: DataFrame, mix: str = "mix_id", r: str = "r") -> DataFrame:
     """Mean over families of the predicted losses of each mixture. laws has a row a family."""
-    each = mixes.crossJoin(F.broadcast(laws)).select(mix, law(F.col("c"), F.col("k"), F.col("t"), F.col(r)).alias("_p"))
+    each = with_each(mixes, laws).select(mix, law(F.col("c"), F.col("k"), F.col("t"), F.col(r)).alias("_p"))
     return each.groupBy(mix).agg(F.avg("_p").alias("macro"))
 
 

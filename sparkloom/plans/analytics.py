@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators import boosting, curves, gates, mixture, relational, selection
-from sparkloom.staging import scratch
+from sparkloom.staging import scratch, with_each
 from sparkloom.streaming import logs
 
 from .corpus import t
@@ -135,7 +135,7 @@ def mixes(spark: SparkSession, d: str) -> DataFrame:
 SELECT mix_id, 'f0' AS family, round(1.0 + 0.5 * exp(-1.0 * a + 0.5 * b + 0.2 * c), 8) AS loss FROM m UNION ALL SELECT mix_id, 'f1', round(0.8 + 0.9 * exp(0.3 * a - 0.7 * b + 0.1 * c), 8) FROM m""")
 def mixing_law_predict(spark, d):
     laws = spark.createDataFrame(LAW, "family string, c double, k double, t array<double>")
-    return mixes(spark, d).crossJoin(F.broadcast(laws)).select("mix_id", "family", F.round(mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("r")), 8).alias("loss"))
+    return with_each(mixes(spark, d), laws).select("mix_id", "family", F.round(mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("r")), 8).alias("loss"))
 
 
 def law_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,7 @@ def law_runs(spark: SparkSession, d: str) -> DataFrame:
     runs = o.groupBy(F.months_between(F.trunc("o_orderdate", "month"), F.lit("1990-01-01")).cast("int").alias("run")).agg(F.array(share("F"), share("O"), share("P")).alias("r"), F.avg("o_totalprice").alias("_p"))
     laws = spark.createDataFrame(LAW, "family string, c double, k double, t array<double>")
     y = mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("r")) + 1e-4 * F.sin("_p")
-    return runs.crossJoin(F.broadcast(laws)).select("run", "family", "r", y.alias("y"))  # two laws
+    return with_each(runs, laws).select("run", "family", "r", y.alias("y"))  # two laws
 
 
 def fitted_laws(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ def near_optimal(spark, d):
     o, share = t(spark, d, "orders"), lambda s: F.count_if(F.col("o_orderstatus") == s) / F.count("*")
     cand = o.groupBy(F.col("o_custkey").alias("id")).agg(F.array(share("F"), share("O"), share("P")).alias("w"))
     laws = fitted_laws(spark, d)
-    scored = cand.crossJoin(F.broadcast(laws)).groupBy("id", "w").agg(F.avg(mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("w"))).alias("loss"))  # a law a family
+    scored = with_each(cand, laws).groupBy("id", "w").agg(F.avg(mixture.law(F.col("c"), F.col("k"), F.col("t"), F.col("w"))).alias("loss"))  # a law a family
     return mixture.near_optimal(scored, 0.04, 8, 0.2)
 
 

@@ -10,7 +10,7 @@ from sparkloom.functions import chat
 from sparkloom.operators import boosting, contamination, curves, gates, mixture, probes, selection
 from sparkloom.operators.running import ranked, with_totals
 from sparkloom.operators.sampling import hash_order
-from sparkloom.staging import scratch
+from sparkloom.staging import scratch, with_each
 
 from .analytics import FIT, LAW, LOSSES, POINTS, SCORES, WEIGHTS, chosen, fitted_laws, mixes, points, probe_losses, rho_excess, scores, surrogate_runs
 from .corpus import SHARDS, shards, t
@@ -197,7 +197,7 @@ def setting_grid(spark, d):
     """Every setting for every run."""
     runs = t(spark, d, "part").select(F.col("p_brand").alias("run")).distinct()
     grid = curves.grid_rows(spark, {"depth": [3, 4, 5], "rate": [0.05, 0.1], "rounds": [50, 100, 200], "leaf": [1, 3], "l2": [0, 1], "share": [0.8, 1]})
-    return runs.crossJoin(F.broadcast(grid))  # 144 settings
+    return with_each(runs, grid)  # 144 settings
 
 
 SUBSETS = {"all5": ["click", "view", "purchase", "scroll", "signup"], "three": ["click", "view", "purchase"], "pair": ["click", "view"]}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +54,18 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL and df.rdd.getNumPartitions() < cores else df
 
 
+#: Most rows of a table that every row of another meets.
+FEW = 100_000
+
+
+def with_each(df: DataFrame, few: DataFrame, most: int = FEW) -> DataFrame:
+    """Each row of df beside each of few, which is counted and then sent to all tasks; more than `most` rows raise: a table
+    that grows with the data isn't met whole."""
+    if few.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows would meet every row of another table")
+    return df.crossJoin(F.broadcast(few))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes what is no longer read below a path in the shared folder."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.running import ranked
 from sparkloom.operators.sampling import hash_order
+from sparkloom.staging import with_each
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def normalised_weights(weights: DataFrame, domains: DataFrame, *by: str) -> Data
     from sparkloom.operators.gates import require
 
     sets = weights.select(*by).distinct() if by else weights.limit(1).select(F.lit(1).alias("_"))
-    d = sets.crossJoin(F.broadcast(domains)).join(weights, [*by, "domain"], "left")  # one row a set and domain
+    d = with_each(sets, domains).join(weights, [*by, "domain"], "left")  # one row a set and domain
     bad = F.col("weight").isNull() | F.isnan("weight") | (F.abs("weight") == float("inf")) | (F.col("weight") < 0)
     require(d.where(bad).select(*by, "domain"), "weights that are missing, negative or not finite")
     total = F.sum("weight").over(W.partitionBy(*(by or [F.lit(1)])))

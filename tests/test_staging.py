@@ -1,3 +1,5 @@
+import pytest
+
 from sparkloom.staging import balanced, checkpoint, discard, free_name, scratch
 
 
@@ -20,3 +22,12 @@ def test_checkpoints_names_and_scratch(spark):
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
     assert free_name(df.selectExpr("id", "1 as A", "2 as _a"), "a") == "__a"
+
+
+def test_a_table_that_meets_every_row_is_bounded(spark):
+    from sparkloom.staging import with_each
+
+    few = spark.range(3).withColumnRenamed("id", "k")
+    assert with_each(spark.range(5), few, 3).count() == 15
+    with pytest.raises(ValueError):
+        with_each(spark.range(5), few, 2)
