@@ -117,12 +117,15 @@ def links(fps: DataFrame) -> DataFrame:
     if many.isEmpty():
         members = None
     else:  # only these fingerprints meet their variants again
-        members = checkpoint(spread("v").join(many, (F.col("block") == F.col("_b")) & (F.col("v") == F.col("_v"))).select("fp", "block", F.col("v").alias("variant"), "crowd"))
+        again = spread("v").join(many, (F.col("block") == F.col("_b")) & (F.col("v") == F.col("_v")))
+        listed = lambda c, name: F.when(~F.col("crowd"), F.col(c)).alias(name)
+        # one row is left of each fingerprint in a crowd
+        members = checkpoint(again.groupBy("fp", "crowd", listed("block", "block"), listed("v", "variant")).agg(F.lit(1).alias("_")))
     balls = few.limit(0)
     if members is not None:
         lists = members.where("not crowd").groupBy("block", "variant").agg(F.collect_list("fp").alias("all"))
         few = few.unionByName(lists.select("all").mapInArrow(_joined_lists, "fp long, other long"))
-        crowd = members.where("crowd").select("fp").distinct()
+        crowd = members.where("crowd").select("fp")
         balls = balls if crowd.isEmpty() else _crowd_links(checkpoint(crowd))
     both = few.unionByName(balls).where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
     return both.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
