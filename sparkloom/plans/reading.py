@@ -145,7 +145,7 @@ def token_shards(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     """The customers of all orders, in order, as token shards of SHARD tokens; (piece, path, bytes) of the shards."""
     path = scratch(spark, "tokens")
     o = ranked(t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"]).withColumn("piece", F.floor((F.col("rank") - 1) / SHARD))
-    raw = F.to_binary(F.hex(F.reverse(F.to_binary(F.lpad(F.hex("o_custkey"), 8, "0"), F.lit("hex")))), F.lit("hex"))  # little-endian
+    raw = ranges.packed(F.array("o_custkey"), "<u4")
     return path, writers.write_raw(o.withColumn("raw", raw), path, "piece", "rank")
 
 
