@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,17 +168,56 @@ def capped_pieces(df: DataFrame, size: Column, cap: int, order: str) -> DataFram
     return d.withColumn("piece", F.floor((F.col("_end") - size) / cap).cast("long")).drop("_end")
 
 
-def write_pieces(df: DataFrame, path: str) -> list[int]:
-    """Writes the pieces that aren't there yet, a folder each, and a mark when a piece is whole; the pieces written."""
-    spark = df.sparkSession
-    wanted = sorted(r.piece for r in df.select("piece").distinct().collect())
-    todo = [p for p in wanted if not exists(spark, f"{path}/{p}.{DONE}")]
-    if todo:
-        # pieces cut short before are replaced, whole ones aren't touched
-        df.where(F.col("piece").isin(todo)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("piece").parquet(f"{path}/pieces")
-    for p in todo:
-        write_json(spark, f"{path}/{p}.{DONE}", {"piece": p})
-    return todo
+def write_pieces(df: DataFrame, path: str, order: str) -> DataFrame:
+    """Writes the pieces that aren't there yet, pieces/piece-<n>.parquet each, rows in order, and a mark, <n>.DONE.json, when
+    a piece is whole; (piece) of those written.
+
+    Tasks look for the marks, write and mark, a piece in one task, row by row; so the driver does nothing for each piece.
+    A draft is renamed once it is whole: pieces cut short before are replaced, whole ones aren't touched."""
+    columns = [c for c in df.columns if c != "piece"]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = located(path)
+        piece, file, draft, done = None, None, "", []
+
+        def close() -> None:
+            if file is None:
+                return
+            file.close()
+            store.move(draft, f"{root}/pieces/piece-{piece}.parquet")
+            mark = f"{root}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(mark) as out:
+                out.write(json.dumps({"piece": piece}).encode())
+            store.move(mark, f"{root}/{piece}.{DONE}")
+            done.append(piece)
+
+        for batch in batches:
+            held = batch.column("piece").to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist()] if len(held) else []
+            rows = batch.select(columns)
+            for i, n in zip(starts, [*starts[1:], len(held)]):
+                if piece != int(held[i]):
+                    close()
+                    piece, file = int(held[i]), None
+                    if store.get_file_info(f"{root}/{piece}.{DONE}").type == FileType.NotFound:
+                        draft = f"{root}/pieces/.{uuid.uuid4().hex}"
+                        file = pq.ParquetWriter(draft, rows.schema, filesystem=store)
+                if file is not None:
+                    file.write_batch(rows.slice(i, n - i))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["piece"])
+
+    fs, folder = _fs(df.sparkSession, f"{path}/pieces")
+    fs.mkdirs(folder)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(parts, "piece").sortWithinPartitions("piece", order)
+    return checkpoint(rows.mapInArrow(put, "piece long"))
+
+
+def read_pieces(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the pieces that write_pieces has written, with the piece of each."""
+    piece = F.regexp_extract("_metadata.file_name", r"^piece-(\d+)\.parquet$", 1).cast("long")
+    return spark.read.schema(schema).parquet(f"{path}/pieces").select("*", piece.alias("piece"))
 
 
 def write_with_mark(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict:

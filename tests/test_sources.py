@@ -13,7 +13,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In,
 
 from sparkloom.operators import relational
 from sparkloom.operators.running import last_seen, next_value
-from sparkloom.sources import arrays, files, ranges, records, rows
+from sparkloom.sources import arrays, files, ranges, records, rows, writers
 
 
 # --- fixed records ----------------------------------------------------------------------------------------------------
@@ -260,3 +260,25 @@ def test_truncated_compressed_file_fails(spark, tmp_path):
     (tmp_path / "a.jsonl.gz").write_bytes(whole[: len(whole) // 2])
     with pytest.raises(Exception):
         files.read_lines(spark, str(tmp_path / "a.jsonl.gz")).count()
+
+
+# --- writers ----------------------------------------------------------------------------------------------------------
+def test_pieces_are_written_and_marked_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver does nothing for each piece; what has no mark is written again, in place of what was there."""
+    def never(*_):
+        raise AssertionError("a piece went through the driver")
+
+    monkeypatch.setattr(writers, "write_json", never)
+    monkeypatch.setattr(writers, "exists", never)
+    path = f"file://{tmp_path}/p"
+    df = writers.capped_pieces(spark.range(1000).select("id", (F.col("id") % 7 * 10).alias("size")), F.col("size"), 100, "id")
+    want = sorted((r.id, r.size, r.piece) for r in df.collect())
+    pieces = sorted({p for _, _, p in want})
+    assert sorted(r.piece for r in writers.write_pieces(df, path, "id").collect()) == pieces
+    for p in (0, 5):
+        (tmp_path / "p" / f"{p}.{writers.DONE}").unlink()
+    (tmp_path / "p" / "pieces" / "piece-5.parquet").write_bytes(b"cut short")
+    assert sorted(r.piece for r in writers.write_pieces(df, path, "id").collect()) == [0, 5]
+    assert writers.write_pieces(df, path, "id").count() == 0
+    assert sorted((r.id, r.size, r.piece) for r in writers.read_pieces(spark, path, "id long, size long").collect()) == want
+    assert sorted(int(f.name.split(".")[0]) for f in (tmp_path / "p").glob("*.json")) == pieces
