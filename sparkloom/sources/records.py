@@ -20,6 +20,8 @@ from .ranges import listed, located
 
 #: Bytes of a split, and bytes that are unpacked at a time, unless options say otherwise.
 SPLIT, UNPACKED = 64 << 20, 4 << 20
+#: Splits that get a task of their own. Of more, neighbours share a task, up to SPLIT bytes (or a split, if that is more).
+TASKS = 1000
 #: Kinds of numbers, their bytes and the type they are read as.
 KINDS = {"<u4": (4, "bigint", np.int64, pa.int64()), "<f4": (4, "float", np.float32, pa.float32())}
 LAST = (1 << 63) - 1
@@ -37,6 +39,13 @@ class Span(InputPartition):
     tail_at: int
 
 
+@dataclass
+class Spans(InputPartition):
+    """What one task reads."""
+
+    held: list[Span]
+
+
 class FixedRecords(DataSource):
     """Options: kind (<u4 or <f4), width (numbers of a record), split (bytes), tail: what to do with numbers after the last
     whole record: raise, drop them, or keep them as a shorter record. Files of broken numbers raise."""
@@ -86,9 +95,31 @@ class RecordReader(DataSourceReader):
             last, step = min(self.last, whole + (tail > 0 and self.tail == "keep")), max(1, self.split // (size * self.width))
             if self.files is None or path in self.files:
                 out += [Span(path, a, min(a + step, last), tail, whole) for a in range(max(0, self.first), last, step)]
-        return out or [Span("", 0, 0, 0, 0)]
+        return self._shared(out) or [Span("", 0, 0, 0, 0)]
+
+    def _shared(self, spans: list[Span]) -> list[InputPartition]:
+        """Splits dealt to tasks: each its own up to TASKS of them, else runs of neighbours, joined within a file."""
+        if len(spans) <= TASKS:
+            return spans
+        each, most = -(-len(spans) // TASKS), max(SPLIT, self.split) // (KINDS[self.kind][0] * self.width)
+        out, n, records = [], each, 0
+        for s in spans:
+            if n >= each or records + s.last - s.first > most:
+                out.append(Spans([]))
+                n, records = 0, 0
+            held = out[-1].held
+            if held and held[-1].path == s.path and held[-1].last == s.first:
+                held[-1].last = s.last
+            else:
+                held.append(s)
+            n, records = n + 1, records + s.last - s.first
+        return out
+
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+        for span in part.held if isinstance(part, Spans) else [part]:
+            yield from self._span(span)
 
-    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
+    def _span(self, span: Span) -> Iterator[pa.RecordBatch]:
         size, _, to, arrow = KINDS[self.kind]
         if span.first >= span.last:
             return

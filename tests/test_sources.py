@@ -53,6 +53,24 @@ def test_record_filters_narrow_the_ranges(tmp_path):
     assert read(EqualTo(("record",), 500))[1:] == (set(), [])
 
 
+def test_many_splits_share_tasks(spark, tmp_path):
+    """Small files, or small splits, don't make a task each without end; rows and their numbers stay as they are."""
+    values = np.arange(40_003, dtype="<u4")
+    for i in range(40):
+        values[i * 1000 : i * 1000 + 1000].tofile(tmp_path / f"a{i:02}.bin")
+    values.tofile(tmp_path / "b.bin")
+    df = files.read_tokens(spark, str(tmp_path), 4, split=16)
+    assert df.rdd.getNumPartitions() <= records.TASKS
+    held = {f"a{i:02}.bin": values[i * 1000 : i * 1000 + 1000] for i in range(40)} | {"b.bin": values}
+    assert {(r.path.rsplit("/", 1)[1], r.chunk): r.tokens for r in df.collect()} == {(f, k): v[k * 4 : k * 4 + 4].tolist() for f, v in held.items() for k in range(-(-len(v) // 4))}
+    reader = records.RecordReader({"path": str(tmp_path), "width": "4", "split": str(16), "tail": "keep"})
+    reader.split = records.SPLIT
+    spans = [records.Span("x", i, i + 1, 0, 9) for i in range(0, 4000, 2)]
+    assert [len(p.held) for p in reader._shared(spans)] == [2] * 1000
+    big = records.SPLIT // 16
+    assert all(len(p.held) == 1 for p in reader._shared([records.Span(str(i), 0, big, 0, big) for i in range(1001)]))  # no task takes more than SPLIT
+
+
 def test_pushed_filters_reach_the_source(spark, tmp_path):
     np.arange(1000, dtype="<u4").tofile(tmp_path / "a.bin")
     df = files.read_tokens(spark, str(tmp_path), 10, split=40).where("chunk >= 90 and chunk < 92")
