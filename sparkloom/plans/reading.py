@@ -101,19 +101,26 @@ def snapshot(spark, d):
     return rows.read_snapshot(spark, f"{path}/snap", "doc_id long, text string").agg(F.count("*").alias("docs"))
 
 
+#: Bytes of texts of an array file, about: a language of more has more files, as one task writes a file.
+ARRAY_BYTES = 32 << 20
+
+
+def array_files(docs: DataFrame, limit: int = ARRAY_BYTES) -> DataFrame:
+    """docs (doc_id, lang, text) with piece: the number of the file of its language that each goes to, by hash."""
+    langs = docs.groupBy("lang").agg(F.ceil((F.sum(F.octet_length("text")) + 1) / limit).alias("n")).fillna(1, ["n"])  # one row a language
+    first = F.coalesce(F.sum("n").over(W.orderBy("lang").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    langs = langs.select(F.col("lang").alias("_lang"), F.col("n").alias("_n"), first.alias("_first"))
+    piece = F.col("_first") + F.pmod(F.xxhash64("doc_id"), "_n")
+    return docs.join(F.broadcast(langs), F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("piece", piece).drop("_lang", "_n", "_first")
+
+
 @query("sc14_json_array", "SELECT doc_id, lang, md5(text) AS md5 FROM documents")
 def json_array(spark, d):
     """Files that are one JSON array each, read by pieces that know nothing of elements."""
     path = scratch(spark, "array")
-    docs = t(spark, d, "documents").select("doc_id", "lang", "text")
-    docs = ranked(docs, ["doc_id"], ["lang"])
-    lines = docs.select("lang", "doc_id", F.concat(F.when(F.col("rank") == 1, "[").otherwise(","), F.to_json(F.struct("doc_id", "lang", "text"))).alias("value"))
-    ends = docs.select("lang").distinct().select("lang", F.lit(1 << 62).alias("doc_id"), F.lit("]").alias("value"))
-    raw = F.encode(F.concat("value", F.lit("\n")), "utf-8")
-    piece = F.dense_rank().over(W.orderBy("lang"))
-    langs = docs.select("lang").distinct().withColumn("piece", piece)  # one row a language
-    whole = lines.unionByName(ends).join(langs, "lang").withColumn("raw", raw)
-    writers.write_raw(whole, path, "piece", "doc_id")
+    docs = array_files(t(spark, d, "documents").select("doc_id", "lang", "text"))
+    whole = docs.select("piece", "doc_id", F.encode(F.to_json(F.struct("doc_id", "lang", "text")), "utf-8").alias("raw"))
+    writers.write_raw(whole, path, "piece", "doc_id", frame=(b"[", b"\n,", b"\n]\n"))
     got = arrays.parsed(arrays.read_array(spark, path, 1 << 16), "doc_id long, lang string, text string")
     return got.select("doc_id", "lang", F.md5("text").alias("md5"))
 

@@ -10,6 +10,7 @@ borders (the opening bracket and the commas at depth 1) and reads on to the end
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -22,8 +23,8 @@ from sparkloom.staging import checkpoint
 
 from .ranges import listed, located
 
-#: Bytes of a piece, and bytes that are looked at together.
-PIECE, LOOK = 64 << 20, 1 << 20
+#: Bytes of a piece, bytes that are looked at together, and those that are at a time past a piece's end.
+PIECE, LOOK, AHEAD = 64 << 20, 1 << 20, 1 << 16
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 NOWHERE = 1 << 40
 _DEEPER = np.zeros(256, np.int8)
@@ -101,12 +102,12 @@ def placed(pieces: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "start", "size", "state", "depth", "first"])
 
 
-def _read(path: str, start: int, size: int | None = None) -> Iterator[bytes]:
+def _read(path: str, start: int, size: int | None = None, look: int = LOOK) -> Iterator[bytes]:
     store, at = located(path)
     with store.open_input_file(at) as file:
         file.seek(start)
         while size is None or size > 0:
-            data = file.read(LOOK if size is None else min(LOOK, size))
+            data = file.read(look if size is None else min(look, size))
             if not data:
                 return
             size = None if size is None else size - len(data)
@@ -119,7 +120,7 @@ def elements(path: str, start: int, size: int, state: int, depth: int) -> Iterat
     if start == 0 and not next(_read(path, 0)).removeprefix(b"\xef\xbb\xbf").lstrip().startswith(b"["):
         raise ValueError(f"{path}: not a JSON array")
     place, end = start, start + size
-    for data in _read(path, start):
+    for data in chain(_read(path, start, size), _read(path, end, look=AHEAD)):
         at, deeper, after = marks(data, state)
         chars, deeper = np.frombuffer(data, np.uint8)[at], deeper + depth
         last = 0

@@ -130,8 +130,9 @@ def join_files(spark: SparkSession, names: list[str], out: str) -> None:
         stream.close()
 
 
-def write_raw(df: DataFrame, path: str, piece: str, order: str, raw: str = "raw") -> DataFrame:
-    """Binary values as headerless files: one for each piece, piece-<n>.bin, in order; (piece, path, bytes) of each.
+def write_raw(df: DataFrame, path: str, piece: str, order: str, raw: str = "raw", frame: tuple[bytes, bytes, bytes] = (b"", b"", b"")) -> DataFrame:
+    """Binary values as headerless files: one for each piece, piece-<n>.bin, in order; (piece, path, bytes) of each. frame:
+    what stands before a file's values, between two and after them.
 
     A piece is streamed by one task, row by row, to a draft that is renamed once it is whole, so a task that runs again
     replaces what it left."""
@@ -145,8 +146,9 @@ def write_raw(df: DataFrame, path: str, piece: str, order: str, raw: str = "raw"
                     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     draft = f"{at.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
                     held = [k, store, draft, at, store.open_output_stream(draft), 0]
-                held[4].write(value)
-                held[5] += len(value)
+                for part in (frame[1] if held[5] else frame[0], value):
+                    held[4].write(part)
+                    held[5] += len(part)
         done += _close(held)
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], ["piece", "path", "bytes"])
 
@@ -154,9 +156,10 @@ def write_raw(df: DataFrame, path: str, piece: str, order: str, raw: str = "raw"
         if held is None:
             return []
         k, store, draft, at, stream, n = held
+        stream.write(frame[2])
         stream.close()
         store.move(draft, at)
-        return [(k, f"{path}/piece-{k}.bin", n)]
+        return [(k, f"{path}/piece-{k}.bin", n + len(frame[2]))]
 
     rows = df.select(F.col(piece).cast("long").alias(piece), order, raw).repartition(piece).sortWithinPartitions(piece, order)
     return checkpoint(rows.mapInArrow(put, "piece long, path string, bytes long"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, StringContains
 
 from sparkloom.operators import relational
+from sparkloom.plans import reading
 from sparkloom.operators.running import last_seen, next_value
 from sparkloom.sources import arrays, files, ranges, records, rows, writers
 
@@ -300,3 +301,15 @@ def test_pieces_are_written_and_marked_by_tasks(spark, tmp_path, monkeypatch):
     assert writers.write_pieces(df, path, "id").count() == 0
     assert sorted((r.id, r.size, r.piece) for r in writers.read_pieces(spark, path, "id long, size long").collect()) == want
     assert sorted(int(f.name.split(".")[0]) for f in (tmp_path / "p").glob("*.json")) == pieces
+
+
+def test_array_files_are_bounded(spark, tmp_path):
+    """A language of many bytes has many files, each one JSON array; none is one task's work whole."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "en").when(F.col("id") > 0, "fr").alias("lang"), F.lpad(F.col("id").cast("string"), 100, '"').alias("text"))
+    placed = reading.array_files(docs, 4000)
+    assert {r.lang: r.n for r in placed.groupBy("lang").agg(F.count_distinct("piece").alias("n")).collect()} == {"en": 10, "fr": 1, None: 1}
+    raw = placed.select("piece", "doc_id", F.encode(F.to_json(F.struct("doc_id", "lang", "text")), "utf-8").alias("raw"))
+    written = writers.write_raw(raw, f"file://{tmp_path}/a", "piece", "doc_id", frame=(b"[", b"\n,", b"\n]\n")).collect()
+    assert all(len((tmp_path / "a" / r.path.rsplit("/", 1)[1]).read_bytes()) == r.bytes < 12_000 for r in written)
+    got = arrays.parsed(arrays.read_array(spark, f"file://{tmp_path}/a", 700), "doc_id long, lang string, text string")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
