@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.gates import require
 from sparkloom.operators.running import ranked, running_totals, with_totals
+from sparkloom.staging import free_name
 
 
 CUTS = 256
@@ -78,40 +81,34 @@ def draw_with_replacement(slots: DataFrame, weights: DataFrame, seed: int) -> Da
     return drawn.join(bounds.withColumn("_cut", cut), "_cut").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "domain")
 
 
+def _prefix(df: DataFrame, by: str, size: str, rate: Column, low: Column, fits: Callable[[Column], Column], constants: Sequence[str]) -> DataFrame:
+    """Smallest first until have + rate * sizes reaches low; a file with which the sum doesn't fit is skipped, and so are all
+    after it, which are no smaller. So the files taken are a running sum's: no task sees a domain whole. What stands in constants is
+    one value a domain, or this raises, as does a negative size or rate."""
+    same = df.groupBy(by).agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b"), F.count_if(F.col(c).isNull()).alias("n")).alias(c) for c in constants], F.min(F.least(F.col(size), F.lit(0))).alias("_least"), F.min(rate).alias("_rate"))
+    odd = F.col("_least") < 0
+    for c in constants:
+        odd = odd | ~F.col(f"{c}.a").eqNullSafe(F.col(f"{c}.b")) | (F.col(f"{c}.n") > 0)
+    require(same.where(odd | (F.col("_rate") < 0)), "domains whose files differ in rate or bounds, or have negative sizes")
+    upto = free_name(df, "_upto")
+    d = running_totals(df, {upto: F.col(size).cast("long")}, [size, "path"], [by])
+    before = F.col("have") + rate * (F.col(upto) - F.col(size))
+    return d.where((before < low) & fits(F.col("have") + rate * F.col(upto))).select(*df.columns)
+
+
 def band_topup(df: DataFrame, by: str = "domain") -> DataFrame:
     """Smallest files first until a domain reaches its floor; a file that would pass the ceiling is skipped. df: domain,
-    path, size, rate, have, floor, ceiling. State-dependent, so one task a domain; a domain's list of files is small."""
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["size", "path"])
-        have, kept = float(g.have.iloc[0]) if len(g) else 0.0, []
-        for i, (size, rate, low, high) in enumerate(zip(g["size"], g.rate, g.floor, g.ceiling)):
-            if have >= low:
-                break
-            if have + rate * size <= high:
-                kept.append(i)
-                have += rate * size
-        return g.iloc[kept]
-
-    return df.groupBy(by).applyInPandas(pick, df.schema)
+    path, size, rate, have, floor, ceiling; all but path and size are one value a domain."""
+    return _prefix(df, by, "size", F.col("rate"), F.col("floor"), lambda s: s <= F.col("ceiling"), ["rate", "have", "floor", "ceiling"])
 
 
 def trim_topup(df: DataFrame, by: str = "domain", tolerance: float = 0.1) -> DataFrame:
     """Trims added files back into the band: smallest first until a domain reaches plan / (1 + tolerance); a file that
     would pass plan / (1 - tolerance) is only taken if the sum is then within the tolerance of the plan. df: domain, path,
-    tokens, plan, have. State-dependent, so one task a domain; a domain's list of files is small."""
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tokens", "path"])
-        have, plan, kept = float(g.have.iloc[0]), float(g.plan.iloc[0]), []
-        low, high = plan / (1 + tolerance), plan / (1 - tolerance)
-        for i, n in enumerate(g.tokens):
-            if have >= low:
-                break
-            if have + n <= high or (have + n and abs(plan - have - n) / (have + n) <= tolerance):
-                kept.append(i)
-                have += n
-        return g.iloc[kept]
-
-    return df.groupBy(by).applyInPandas(pick, df.schema)
+    tokens, plan, have; plan and have are one value a domain."""
+    plan = F.col("plan")
+    fits = lambda s: (s <= plan / (1 - tolerance)) | ((s != 0) & (F.try_divide(F.abs(plan - s), s) <= tolerance))
+    return _prefix(df, by, "tokens", F.lit(1), plan / (1 + tolerance), fits, ["plan", "have"])
 
 
 def trim_to_budget(docs: DataFrame, tokens: str, target: int, order: Column) -> DataFrame:

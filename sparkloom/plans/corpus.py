@@ -212,10 +212,8 @@ def byte_token_estimate(spark, d):
 @query("sm06_band_topup", f"""WITH {SHARDS}, c AS (SELECT *, sum(size) OVER (PARTITION BY domain ORDER BY size, path ROWS UNBOUNDED PRECEDING) AS cum, sum(size) OVER (PARTITION BY domain) AS total FROM shards)
 SELECT domain, path, size FROM c WHERE (cum - size) * 0.25::DOUBLE < total * 0.1::DOUBLE / 1.1 AND cum * 0.25::DOUBLE <= total * 0.1::DOUBLE / 0.9""")
 def band_topup(spark, d):
-    from pyspark.sql import Window as W
-
-    total = F.sum("size").over(W.partitionBy("domain"))
-    s = shards(spark, d).select("domain", "path", "size", F.lit(0.25).alias("rate"), F.lit(0.0).alias("have"), (total * 0.1 / 1.1).alias("floor"), (total * 0.1 / 0.9).alias("ceiling"))
+    s, total = with_totals(shards(spark, d), {"total": F.sum("size")}, ["domain"]), F.col("total")
+    s = s.select("domain", "path", "size", F.lit(0.25).alias("rate"), F.lit(0.0).alias("have"), (total * 0.1 / 1.1).alias("floor"), (total * 0.1 / 0.9).alias("ceiling"))
     return sampling.band_topup(s).select("domain", "path", "size")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import chat, text
 from sparkloom.operators import contamination, curves, gates, mixture, relational, sampling, selection
+from sparkloom.plans import corpus
 from sparkloom.sources import files
 from sparkloom.streaming import logs
 
@@ -105,6 +106,26 @@ def test_band_topup_skips_what_would_overshoot(spark):
     assert sorted(r.path for r in sampling.band_topup(df).collect()) == ["a", "b", "e"]
 
 
+def test_topups_see_no_domain_whole(spark):
+    """One hot domain: rows equal the rule taken file by file, and no plan sends a domain to one Python task."""
+    rows = [("hot" if i % 9 else "cold", i, i * 7919 % 101, 0.25, 3.0, 300.0, 340.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "domain string, path long, size long, rate double, have double, floor double, ceiling double")
+    want = []
+    for domain in ("hot", "cold"):
+        have = 3.0
+        for _, path, size, rate, _, low, high in sorted((r for r in rows if r[0] == domain), key=lambda r: (r[2], r[1])):
+            if have < low and have + rate * size <= high:
+                want.append((domain, path))
+                have += rate * size
+    got = sampling.band_topup(df)
+    assert sorted((r.domain, r.path) for r in got.collect()) == sorted(want)
+    trimmed = sampling.trim_topup(df.select("domain", "path", F.col("size").alias("tokens"), F.lit(400.0).alias("plan"), "have"))
+    for plan in (got, trimmed):
+        assert "Pandas" not in plan._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        sampling.band_topup(df.withColumn("rate", F.col("path").cast("double")))
+
+
 @pytest.mark.parametrize("target", [20_000, 50_000, 10**7])
 def test_trim_equals_the_sequential_rule(spark, target):
     df = spark.createDataFrame([(i, 100 if i % 7 else 3000) for i in range(200)], "id long, n long")
