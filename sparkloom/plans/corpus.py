@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import chat, text
 from sparkloom.operators import contamination as con
 from sparkloom.operators import gates, relational, sampling
-from sparkloom.operators.running import ranked, with_totals
+from sparkloom.operators.running import next_value, ranked, with_totals
 from sparkloom.staging import balanced, checkpoint
 
 QUERIES: dict = {}
@@ -123,11 +123,9 @@ def common_prefix(spark, d):
 @query("fn07_shared_word_prefix", f"""WITH {DOC_WORDS}, n AS (SELECT source, doc_id, w, lead(w) OVER (PARTITION BY source ORDER BY doc_id) AS v FROM dw)
 SELECT doc_id, CAST(coalesce(list_min(list_filter(range(1, least(len(w), len(v)) + 1), lambda i: w[i] <> v[i])) - 1, least(len(w), len(v))) AS BIGINT) AS shared FROM n WHERE v IS NOT NULL""")
 def shared_prefix(spark, d):
-    from pyspark.sql import Window as W
-
-    w = t(spark, d, "documents").select("source", "doc_id", text.words(text.normalize(F.col("text"))).alias("w"))
-    n = w.withColumn("v", F.lead("w").over(W.partitionBy("source").orderBy("doc_id"))).where("v is not null")
-    return n.select("doc_id", text.shared_word_prefix(F.col("w"), F.col("v")).alias("shared"))
+    docs = t(spark, d, "documents").select("source", "doc_id", text.normalize(F.col("text")).alias("n"))
+    n = next_value(docs, F.coalesce("n", F.lit("")), ["doc_id"], ["source"], out="v").where("v is not null")
+    return n.select("doc_id", text.shared_word_prefix(text.words(F.col("n")), text.words(F.col("v"))).alias("shared"))
 
 
 @query("wn06_strip_exemplars", f"""WITH {ITEM_WORDS}, a AS (SELECT item_id, w, lead(w) OVER (ORDER BY w, item_id) AS v FROM iw),

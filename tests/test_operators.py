@@ -285,3 +285,14 @@ def test_two_writers_add_a_step_once(spark, tmp_path):
     assert len(calls) == 3 and sorted(map(tuple, logs.read_steps(spark, path, "step int, v int").collect())) == [(1, 10), (2, 20), (3, 30)]
     logs.append_new_steps(spark, rows(1, 2, 3), path, ["step"])
     assert logs.read_steps(spark, path, "step int, v int").count() == 3
+
+
+def test_shared_prefix_sees_no_source_whole(spark, tmp_path):
+    rows = [(i, "s", f"{'a b c' if i % 3 else 'a b'} {'x' * (i % 5)} d") for i in range(100)] + [(100, "s", None), (101, "s", "a"), (7, "r", "a b")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = corpus.QUERIES["fn07_shared_word_prefix"](spark, str(tmp_path))
+    split = {i: (text or "").split() for i, s, text in rows if s == "s"}
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert sorted((r.doc_id, r.shared) for r in df.collect()) == [(i, common(split[i], split[i + 1])) for i in range(101)]
+    plan = df._jdf.queryExecution().toString()
+    assert "lead(" not in plan or "_part" in plan  # windows are within ranges
