@@ -129,6 +129,27 @@ def test_a_restarted_stream_equals_the_fold(spark, tmp_path, keep, seeded):
         assert got[i][0] == k and got[i][3] == n and got[i][2] == pytest.approx(now) and (got[i][1] == pytest.approx(base) if base is not None else got[i][1] is None)
 
 
+def test_keys_share_calls_and_states():
+    """A call holds a bucket's keys, each with its own state, so calls don't grow with the keys."""
+    held = []
+
+    class Held:
+        exists = lambda _: bool(held)
+        get = lambda _: iter(list(held))
+
+        def put(self, rows):
+            held[:] = rows
+
+    one = averages.Averages(0.0, "event", "value", False)
+    one.state = Held()
+    frame = lambda rows: pd.DataFrame([(0, *r) for r in rows], columns=["_bucket", "_key", "event", "value"])
+    first = pd.concat(one.handleInputRows((0,), iter([frame([("a", 3, 5.0), ("b", 2, 1.0)]), frame([("a", 1, 4.0), (None, 4, 9.0)])]), None))
+    assert sorted(first[["key", "event", "baseline", "average", "n"]].itertuples(index=False, name=None), key=lambda r: r[1]) == [("a", 1, None, 4.0, 1), ("b", 2, None, 1.0, 1), ("a", 3, 4.0, 5.0, 2), ("None", 4, None, 9.0, 1)]
+    second = pd.concat(one.handleInputRows((0,), iter([frame([("b", 5, 2.0), (None, 6, 8.0)])]), None))
+    assert sorted(second[["key", "baseline", "n"]].itertuples(index=False, name=None)) == [("None", 9.0, 2), ("b", 1.0, 2)]
+    assert sorted((r[0] or "", r[-1]) for r in held) == [("", 2), ("a", 2), ("b", 2)]
+
+
 def test_decay_over_many_blocks():
     v = np.random.default_rng(1).normal(size=5000)
     for keep in (0.01, 0.9, 0.9999):
